@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from palisade.llm import byte_bpe, token_counts
+from palisade.llm import byte_bpe, chat_template, line_dedup, mixing, token_counts
 
 
 def queries():
     return {
         "op1_byte_bpe": byte_bpe.query,
+        "op3_mixing": mixing.query,
         "op4_token_counts": token_counts.query,
+        "op6_line_dedup": line_dedup.query,
+        "op7_chat_template": chat_template.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_mixing": mixing.oracle_sql(),
+        "op6_line_dedup": line_dedup.oracle_sql(),
+        "op7_chat_template": chat_template.oracle_sql(),
+    }
