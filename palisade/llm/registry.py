@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from palisade.llm import byte_bpe, chat_template, line_dedup, mixing, token_counts
+from palisade.llm import ball_tree, byte_bpe, chat_template, line_dedup, mixing, projections, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_byte_bpe": byte_bpe.query,
+        "op2_projections": projections.query,
         "op3_mixing": mixing.query,
         "op4_token_counts": token_counts.query,
         "op6_line_dedup": line_dedup.query,
         "op7_chat_template": chat_template.query,
+        "op8_ball_tree": ball_tree.query,
+        "op9_toxicity": toxicity.query,
     }
 
 
@@ -20,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.oracle_sql(),
         "op6_line_dedup": line_dedup.oracle_sql(),
         "op7_chat_template": chat_template.oracle_sql(),
+        "op8_ball_tree": ball_tree.oracle_sql(),
     }
