@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.llm import ball_tree, byte_bpe, chat_template, line_dedup, mixing, projections, token_counts, toxicity
+from palisade.llm import ball_tree, byte_bpe, chat_template, line_dedup, mixing, near_dup, projections, token_counts, toxicity
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_projections": projections.query,
         "op3_mixing": mixing.query,
         "op4_token_counts": token_counts.query,
+        "op5_near_dup": near_dup.query,
         "op6_line_dedup": line_dedup.query,
         "op7_chat_template": chat_template.query,
         "op8_ball_tree": ball_tree.query,
