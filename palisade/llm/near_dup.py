@@ -10,9 +10,8 @@ exhaustively on sketches of the signature, and what passes is confirmed on the
 full sets.
 
 Equal sets are one class from the start.  A node that is still large at DEPTH
-holds documents that are alike all over: it is compared in cells of a grid of
-blocks, first for the nearest neighbours of each member only, and after these
-links have been drawn for all pairs that are still in different components.
+holds documents that are alike all over; such nodes are compared exactly, in
+the cells of a grid of blocks, and give only as many links as connect them.
 """
 
 from __future__ import annotations
@@ -36,9 +35,7 @@ DEPTH = 3
 #: Members up to which a node is compared exhaustively.
 SMALL = 64
 #: Members of a block of a large node.
-BLOCK = 1024
-#: Nearest neighbours of a member that a cell of a large node hands on in the first round.
-NEAREST = 4
+BLOCK = 512
 #: Standard deviations of the sketch's estimate that a pair may lie below the wanted similarity.
 SLACK = 4.0
 _BLOOM_BITS = 1 << 25
@@ -166,18 +163,19 @@ def _children(nodes: DataFrame, similarity: float) -> DataFrame:
     return nodes.select(*([] if root else ["path"]), "k", "sig").mapInArrow(run, "path long, k long")
 
 
-def _groups(batches, columns: tuple[str, ...]):
+def _groups(batches, columns: tuple[str, ...], least: int = 100_000):
     """Column arrays of whole groups; batches are sorted by the columns, and every group is of bounded size."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
     def arrays(t: pa.Table) -> dict:
-        return {c: np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, 4) if c == "sketch" else t[c].to_numpy() for c in t.column_names}
+        special = {"sketch": lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(-1, 4), "raw": lambda x: x.to_pylist()}
+        return {c: special[c](t[c]) if c in special else t[c].to_numpy() for c in t.column_names}
 
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= 100_000:
+        if rows >= least:
             t = pa.Table.from_batches(held)
             same = np.ones(rows, bool)
             for c in columns:
@@ -221,53 +219,67 @@ def _small_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return nodes.select("path", "k", "n", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(run, _PAIRS)
 
 
-def _large_pairs(nodes: DataFrame, similarity: float, first: bool) -> DataFrame:
-    """Pairs within cells of large nodes: of each member with its nearest, or (not first) all between components."""
-    most = most_differing(similarity)
+def _dense_links(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join all that belongs together among the members (k, group) of large nodes.
+
+    A group's members are dealt to blocks; a cell compares two blocks exactly,
+    one member with all others at a time, and gives as many links as it takes
+    to connect what the links in this cell connect.
+    """
+    sizes = dense.groupBy("group").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = nodes.withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "k", "n", "sketch", *([] if first else ["label"]))
+    cells = dense.join(sizes, "group").join(sets, "k").withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = cells.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "raw")
 
     def run(batches):
-        for g in _groups(batches, ("path", "i", "j")):
-            cell = np.stack([g["path"], g["i"], g["j"]], 1)
+        for g in _groups(batches, ("group", "i", "j"), 2 * BLOCK):
+            cell = np.stack([g["group"], g["i"], g["j"]], 1)
             new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
             left, right = [], []
             for a, b in zip(new, np.append(new[1:], len(cell))):
-                own, other = np.arange(a, b)[g["block"][a:b] == g["i"][a]], np.arange(a, b)[g["block"][a:b] == g["j"][a]]
-                n, s, k = g["n"].astype(float), g["sketch"], g["k"]
-                for c in range(0, len(own), 256):
-                    some = own[c : c + 256]
-                    d = np.zeros((len(some), len(other)), np.int32)
-                    for w in range(4):
-                        d += differing((s[some, w][:, None] ^ s[other, w])[..., None])
-                    good = (d <= most) & (k[some][:, None] != k[other]) & (np.minimum(n[some][:, None], n[other]) >= similarity * np.maximum(n[some][:, None], n[other]) - 1e-9)
-                    if first:
-                        d[~good] = 1000
-                        nearest = np.argpartition(d, min(NEAREST, d.shape[1] - 1), axis=1)[:, :NEAREST] if d.shape[1] else np.zeros((len(some), 0), int)
-                        x = np.repeat(np.arange(len(some)), nearest.shape[1])
-                        y = nearest.ravel()
-                        keep = d[x, y] < 1000
-                        x, y = x[keep], y[keep]
-                    else:
-                        x, y = np.nonzero(good & (g["label"][some][:, None] != g["label"][other]))
-                    left.append(k[some[x]])
-                    right.append(k[other[y]])
-            if left:
-                yield _pair_batch(np.concatenate(left), np.concatenate(right))
+                for x, y in connecting(g["raw"][a:b], percent):
+                    left.append(g["k"][a + x])
+                    right.append(g["k"][a + y])
+            yield _pair_batch(np.array(left, np.int64), np.array(right, np.int64))
+
+    return cells.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, _PAIRS)
+
+
+def connecting(raws: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Similar pairs among packed sets, as many as connect what all similar pairs connect."""
+    if len(raws) < 2:
+        return []
+    sets = [_wide(r) for r in raws]
+    size = np.array([len(s) for s in sets])
+    starts = np.cumsum(size) - size
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    label, out, held = np.arange(len(sets)), [], np.zeros(len(distinct), np.int64)
+    for x in range(len(sets)):
+        own = number[starts[x] : starts[x] + size[x]]
+        held[own] = 1
+        shared = np.add.reduceat(held[number], starts)
+        held[own] = 0
+        like = np.flatnonzero((100 * shared >= percent * (size + size[x] - shared)) & (label != label[x]))
+        if len(like):
+            groups, first = np.unique(label[like], return_index=True)
+            out += [(x, int(y)) for y in like[first]]
+            label[np.isin(label, groups)] = label[x]
+    return out
 
-    return cells.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(run, _PAIRS)
 
+def _wide(raw: bytes) -> np.ndarray:
+    return np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel()
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """k, bytes: the full sets (48 bits of each hash) of the classes in pairs.
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """k, raw: the full sets (48 bits of each hash) of the classes wanted (k).
 
     A bit array of fixed size keeps most other documents' sets from being
     shuffled; where it is full, they merely travel.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     place = F.pmod("k", F.lit(_BLOOM_BITS))
-    words_ = wanted.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(k, 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words_ = wanted.select(F.shiftright(place, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(k, 64) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     bloom = np.zeros(_BLOOM_BITS >> 6, np.uint64)
     bloom[words_["w"].to_numpy()] = words_["bits"].to_numpy().view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
@@ -293,11 +305,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
 
     def run(batches):
-        wide = lambda raw: np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view(np.uint64).ravel()
         for batch in batches:
             good = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                both = np.concatenate([wide(x), wide(y)])
+                both = np.concatenate([_wide(x), _wide(y)])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= percent * (len(both) - shared))
@@ -336,24 +347,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if depth < DEPTH:
             level = materialize(_children(large.select("path", "k").join(classes.select("k", "sig"), "k"), similarity), "dup-nodes")
         else:
-            dense = large
-            pairs.append(_large_pairs(dense, similarity, True))
+            dense = large.select("path", "k")
     all_pairs = pairs[0]
     for more in pairs[1:]:
         all_pairs = all_pairs.unionByName(more)
     candidates = materialize(all_pairs.distinct(), "dup-pairs")
-    sets = materialize(_sets_of(source, candidates, words), "dup-sets")
-    links = materialize(_confirmed(candidates, sets, percent), "dup-links")
-    forget(sets)
-    label = labels(links)
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("k"))
+    if dense is not None:  # large nodes of different trees that share members are one group, so that a pair is compared once
+        hubs = dense.groupBy("path").agg(F.min("k").alias("a"))
+        groups = labels(dense.join(hubs, "path").select("a", F.col("k").alias("b")).distinct()).select(F.col("node").alias("k"), F.col("label").alias("group"))
+        wanted = wanted.unionByName(groups.select("k"))
+    sets = materialize(_sets_of(source, wanted.distinct(), words), "dup-sets")
+    links = _confirmed(candidates, sets, percent)
     if dense is not None:
-        named = dense.join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        rest = materialize(_large_pairs(named, similarity, False).distinct().join(candidates, ["a", "b"], "left_anti"), "dup-pairs")
-        if rest.take(1):
-            sets = materialize(_sets_of(source, rest, words), "dup-sets")
-            more = materialize(_confirmed(rest, sets, percent), "dup-links")
-            forget(sets)
-            label = labels(links.unionByName(more))
+        links = links.unionByName(_dense_links(groups, sets, percent))
+    label = labels(links)
+    forget(sets)
     named = classes.select("k", "least").join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     belongs = named.join(smallest, "label").select("k", "component_id")
