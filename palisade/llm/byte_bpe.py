@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palisade.llm import scan
 from palisade.llm.shared import table, text_or_empty
@@ -127,13 +128,15 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column(1).to_pylist()]
 
 
-def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ids array<int>, offsets array<int> (byte at which each token starts).
+def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, ids array<int>, offsets array<int> (byte at which each token starts), the columns in keep.
 
     A null or empty text has no ids.  Rows with equal ids or texts stay
     separate; a text of any length is encoded whole; an empty table gives an
     empty one.  No shuffle takes place.
     """
+    rest = [f"_keep{i}" for i in range(len(keep))]
+    source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *[F.col(c).alias(r) for c, r in zip(keep, rest)])
 
     def run(batches):
         own = codec(path)
@@ -141,10 +144,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             texts = _texts(batch)
             for a, b in scan.groups([len(t) for t in texts], 1 << 22):
                 ids = own.encode(texts[a:b])
-                yield pa.record_batch([batch.column(0)[a:b], pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([own.offsets(i).astype(np.int32) for i in ids], pa.list_(pa.int32()))], [id_col, "ids", "offsets"])
+                lists = [pa.array([f(i).astype(np.int32) for i in ids], pa.list_(pa.int32())) for f in (lambda i: i, own.offsets)]
+                yield pa.record_batch([batch.column("_id")[a:b], *lists, *(batch.column(r)[a:b] for r in rest)], ["_id", "ids", "offsets", *rest])
 
-    source = df.select(id_col, text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>, offsets array<int>")
+    types = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ("_id", *rest))
+    out = source.mapInArrow(run, f"{types}, ids array<int>, offsets array<int>")
+    return out.select(F.col("_id").alias(id_col), "ids", "offsets", *[F.col(r).alias(c) for c, r in zip(keep, rest)])
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

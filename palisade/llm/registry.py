@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.llm import ball_tree, byte_bpe, chat_template, line_dedup, mixing, near_dup, projections, token_counts, toxicity
+from palisade.llm import ball_tree, byte_bpe, chat_template, line_dedup, lm, mixing, near_dup, projections, token_counts, toxicity
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_chat_template": chat_template.query,
         "op8_ball_tree": ball_tree.query,
         "op9_toxicity": toxicity.query,
+        "op10_language_model": lm.query,
     }
 
 
