@@ -147,8 +147,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 lists = [pa.array([f(i).astype(np.int32) for i in ids], pa.list_(pa.int32())) for f in (lambda i: i, own.offsets)]
                 yield pa.record_batch([batch.column("_id")[a:b], *lists, *(batch.column(r)[a:b] for r in rest)], ["_id", "ids", "offsets", *rest])
 
-    types = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ("_id", *rest))
-    out = source.mapInArrow(run, f"{types}, ids array<int>, offsets array<int>")
+    types = [f"{c} {source.schema[c].dataType.simpleString()}" for c in ("_id", *rest)]
+    out = source.mapInArrow(run, f"{types[0]}, ids array<int>, offsets array<int>{''.join(', ' + t for t in types[1:])}")
     return out.select(F.col("_id").alias(id_col), "ids", "offsets", *[F.col(r).alias(c) for c, r in zip(keep, rest)])
 
 

@@ -1,9 +1,12 @@
 """Operator 9: toxicity by class-conditional Kneser-Ney models.
 
 Two models over the letters of running text, one of toxic and one of ordinary
-documents, share the counts they back off to.  The toxicity of a document is
-the difference of its two log-likelihoods, normalised by its length, on a
-logistic scale fitted to labelled documents that neither model has seen.
+documents, share the counts they back off to.  Each word has a log-likelihood
+under either.  The toxicity of a document is what its words are likelier as
+toxic than as ordinary, normalised by its length, on a logistic scale fitted to
+labelled documents that neither model has seen.  A word counts by what it
+exceeds a margin, also fitted there: thousands of ordinary words differ a
+little by chance, and would drown the few that matter.
 
 Contexts reach over word ends: the letters before a word tell the language, so
 that languages commoner in one class do not speak for that class.
@@ -27,9 +30,12 @@ from palisade.llm.shared import crc_mod, table, text_or_empty
 
 #: Labelled documents of each class that a model is fitted on, at most: those of smallest MD5 of the id.
 SAMPLE = 4000
-ORDER = 6
+ORDER = 4
 #: Taken from every class count; what it frees goes to the shared counts.
-DISCOUNT = 0.9
+DISCOUNT = 3.0
+#: Margins and powers of the length to choose from.
+MARGINS = (0.0, 1.0, 2.0, 3.0)
+POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 _BITS = 6
 _GAP = 1
 
@@ -159,27 +165,34 @@ class SharedBackoff:
 
 @dataclass
 class Detector:
-    """Fitted models, power of the length that the difference is divided by, slope and offset of the logistic scale."""
+    """Fitted models, margin of a word, power of the length that evidence is divided by, slope and offset of the logistic scale."""
 
     model: SharedBackoff
+    margin: float = 0.0
     power: float = 1.0
     slope: float = 1.0
     offset: float = 0.0
 
-    def differences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Difference of log-likelihoods, and symbols, of each text."""
-        total, size = np.zeros(len(texts)), np.ones(len(texts))
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Difference of log-likelihoods of each word, and the number of words of each text."""
+        out, size = [np.zeros(0)], np.zeros(len(texts), np.int64)
         for a, b in scan.groups([len(t) for t in texts], 1 << 19):
             codes = [gram_codes(t, self.model.order) for t in texts[a:b]]
-            n = np.array([len(c) for c in codes])
-            sums = np.concatenate([[0.0], np.cumsum(self.model.contrasts(np.concatenate(codes)), dtype=float)])
-            ends = np.cumsum(n)
-            total[a:b], size[a:b] = sums[ends] - sums[ends - n], np.maximum(n, 1)
-        return total, size
+            size[a:b] = [int((c & 63 == _GAP).sum()) for c in codes]
+            joined = np.concatenate(codes)
+            ends = np.flatnonzero(joined & 63 == _GAP) + 1  # a text ends with a gap
+            sums = np.concatenate([[0.0], np.cumsum(self.model.contrasts(joined), dtype=float)])
+            out.append(np.diff(sums[ends], prepend=0.0))
+        return np.concatenate(out), size
+
+    def evidence(self, words: np.ndarray, size: np.ndarray, margin: float, power: float) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(np.maximum(words - margin, 0.0))])
+        ends = np.cumsum(size)
+        return (sums[ends] - sums[ends - size]) / np.maximum(size, 1) ** power
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        total, n = self.differences(texts)
-        return 1 / (1 + np.exp(-np.clip(self.slope * total / n**self.power + self.offset, -500, 500)))
+        x = self.evidence(*self.words(texts), self.margin, self.power)
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -500, 500)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
@@ -206,19 +219,19 @@ def fit(examples: list[tuple[str, int, int]], base_rate: float, order: int = ORD
     """
     by_class = lambda part: [[t for t, y, _ in part if y == c] for c in (0, 1)]
     if len({y for _, y, _ in examples}) < 2:
-        return Detector(SharedBackoff(order).fit([[], []]), 1.0, 0.0, math.log((base_rate + 1e-3) / (1 - base_rate + 1e-3)))
+        return Detector(SharedBackoff(order).fit([[], []]), slope=0.0, offset=math.log((base_rate + 1e-3) / (1 - base_rate + 1e-3)))
     seen = []
     for k in range(2):
         rest, held = [e for e in examples if e[2] % 2 != k], [e for e in examples if e[2] % 2 == k]
         if held and len({y for _, y, _ in rest}) == 2:
-            total, n = Detector(SharedBackoff(order).fit(by_class(rest))).differences([t for t, _, _ in held])
-            seen.append((total, n, np.array([y for _, y, _ in held], float)))
-    total, n, y = map(np.concatenate, zip(*seen)) if seen else (np.array([0.0, 0.0]), np.ones(2), np.array([0.0, 1.0]))
-    best = min((logistic(total / n**power, y)[2], power) for power in (0.0, 0.25, 0.5, 0.75, 1.0))[1]
-    slope, offset, _ = logistic(total / n**best, y)
+            seen.append((*Detector(SharedBackoff(order).fit(by_class(rest))).words([t for t, _, _ in held]), [y for _, y, _ in held]))
+    words, size, y = (np.concatenate(x) for x in zip(*seen)) if seen else (np.zeros(2), np.ones(2, np.int64), np.array([0, 1]))
+    final, y = Detector(SharedBackoff(order).fit(by_class(examples))), y.astype(float)
+    choices = [(logistic(final.evidence(words, size, m, p), y), m, p) for m in MARGINS for p in POWERS]
+    (slope, offset, _), final.margin, final.power = min(choices, key=lambda c: c[0][2])
     rate = min(max(y.mean(), 1e-6), 1 - 1e-6)  # the sample may hold more toxic documents than the corpus
-    offset += math.log((base_rate + 1e-6) / (1 - base_rate + 1e-6)) - math.log(rate / (1 - rate))
-    return Detector(SharedBackoff(order).fit(by_class(examples)), best, slope, offset)
+    final.slope, final.offset = slope, offset + math.log((base_rate + 1e-6) / (1 - base_rate + 1e-6)) - math.log(rate / (1 - rate))
+    return final
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] | None = (4, 2), sample: int = SAMPLE) -> Detector:
