@@ -110,16 +110,15 @@ class Trie:
             setattr(self, name, parts[name])
 
     @classmethod
-    def build(cls, before: np.ndarray, word: np.ndarray, after: np.ndarray, count: np.ndarray, discount: float) -> "Trie":
-        """From distinct trigrams (before, word, after; hashes) and their counts.
+    def build(cls, vocabulary: np.ndarray, b: np.ndarray, w: np.ndarray, a: np.ndarray, count: np.ndarray, discount: float) -> "Trie":
+        """From distinct trigrams (word before, word, word after; places in the sorted vocabulary) and their counts.
 
         An n-gram keeps max(count - discount, 0) / total of its context; a
         context keeps discount * distinct followers / total for the order
         below.  Counts of the lower order are numbers of distinct words before.
         """
-        vocabulary, number = np.unique(np.concatenate([before, word, after]), return_inverse=True)
         n = len(count)
-        b, w, a = number[:n], number[n : 2 * n], number[2 * n :]
+        b, w, a = (x.astype(np.int64) for x in (b, w, a))
         u = np.int64(max(1, len(vocabulary)))
         d = discount
         # followers of a word
@@ -155,24 +154,28 @@ class Trie:
             parts |= {name + ".head": np.array([coded.n, coded.width]), name + ".low": coded.low, name + ".high": coded.high}
         return cls(parts)
 
-    def lookup(self, before: np.ndarray, word: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(A, B): P(after | before word) = A + B * P(after)."""
-        number = lambda h: np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1) if len(self.vocabulary) else np.zeros(len(h), np.int64)
-        known = lambda h, k: (self.vocabulary[k] == h) if len(self.vocabulary) else np.zeros(len(h), bool)
-        given, rest = np.zeros(len(word)), np.ones(len(word))
-        w, b, a = number(word), number(before), number(after)
-        known_a = known(after, a)
-        head = self.words.find(w.astype(np.uint64))
-        head[~known(word, w)] = -1
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each word in the vocabulary, -1 if it is unknown."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == hashes, at, -1)
+
+    def lookup(self, b: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(A, B): P(a | b w) = A + B * P(a), for words by their number."""
+        given, rest = np.zeros(len(w)), np.ones(len(w))
+        w, b, a = (x.astype(np.int64) for x in (w, b, a))
+        head = self.words.find(np.maximum(w, 0).astype(np.uint64))
+        head[w < 0] = -1
         seen = np.flatnonzero(head >= 0)
         h = head[seen]
-        follow = self.follow.find(h.astype(np.uint64) * self.universe + a[seen].astype(np.uint64))
-        follow[~known_a[seen]] = -1
+        follow = self.follow.find(h.astype(np.uint64) * self.universe + np.maximum(a[seen], 0).astype(np.uint64))
+        follow[a[seen] < 0] = -1
         rest[seen] = restore(self.word_rest[h])
         hit = follow >= 0
         given[seen[hit]] = restore(self.follow_p[follow[hit]])
-        pair = self.before.find(h.astype(np.uint64) * self.universe + b[seen].astype(np.uint64))
-        pair[~known(before, b)[seen]] = -1
+        pair = self.before.find(h.astype(np.uint64) * self.universe + np.maximum(b[seen], 0).astype(np.uint64))
+        pair[b[seen] < 0] = -1
         in_pair = np.flatnonzero(pair >= 0)
         at, k = seen[in_pair], pair[in_pair]
         share = restore(self.pair_rest[k])

@@ -87,9 +87,9 @@ class _Chunk:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         trained = int(np.array(self.sizes)[np.array(self.train)].sum())
-        cells = [[number], [self.ids], [self.train], [self.sizes], [squeeze(rank[tokens])], [hashes[order].tobytes()], [self.n], [trained]]
-        types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["chunk", "ids", "train", "sizes", "tokens", "hashes", "n", "n_train"])
+        cells = [[number], [self.ids], [self.train], [self.sizes], [squeeze(rank[tokens])], [hashes[order].tobytes()], [(hashes[order] >> np.uint64(32)).astype(np.uint32).tobytes()], [self.n], [trained]]
+        types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["chunk", "ids", "train", "sizes", "tokens", "hashes", "halves", "n", "n_train"])
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -108,22 +108,27 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if now:
             yield now.row(type_, number)
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, tokens binary, hashes binary, n long, n_train long")
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, tokens binary, hashes binary, halves binary, n long, n_train long")
 
 
 def _trained(sizes: np.ndarray, train: np.ndarray) -> np.ndarray:
     return np.repeat(train, sizes)
 
 
+def _word_order(shard: np.ndarray, half: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words by shard and upper half of the hash, which is all that travels with a chunk, and where shards begin."""
+    order = np.lexsort((half, shard))
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
 def _word_messages(chunks: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for chunk, train, sizes, tokens, hashes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "sizes", "tokens", "hashes"))):
                 hashes = np.frombuffer(hashes, np.uint64)
                 counts = np.bincount(unsqueeze(tokens).astype(np.int64), _trained(np.array(sizes), np.array(train)), len(hashes)).astype(np.uint64)
-                shard = (_mixed(hashes) % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((hashes, shard))
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+                shard = (_mixed(hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+                order, cuts = _word_order(shard, hashes >> np.uint64(32), shards)
                 for s in range(shards):
                     own = order[cuts[s] : cuts[s + 1]]
                     if len(own):
@@ -176,16 +181,16 @@ def trigrams(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own >> 32, own & 0xFFFFFFFF, keys & 0xFFFFFFFF, number
 
 
-def _dealt(hashes: np.ndarray, middle: np.ndarray, before: np.ndarray, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _dealt(half: np.ndarray, middle: np.ndarray, before: np.ndarray, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Shard of each trigram: by the middle word; for a hot word also by the word before, over its number of parts."""
     words, parts = hot
-    share = np.ones(len(hashes), np.uint64)
+    share = np.ones(len(half), np.uint64)
     if len(words):
-        at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-        same = words[at] == hashes
+        at = np.minimum(np.searchsorted(words, half), len(words) - 1)
+        same = words[at] == half
         share[same] = parts[at[same]]
-    home = _mixed(hashes)
-    part = _mixed(hashes * _M)[before] % share[middle]
+    home = _mixed(half)
+    part = _mixed(half * _M)[before] % share[middle]
     return (_mixed(home[middle] + part * _M) % np.uint64(shards)).astype(np.int64)
 
 
@@ -197,7 +202,7 @@ def _trigram_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
                 hashes, sizes = np.frombuffer(hashes, np.uint64), np.array(sizes)
                 middle, before, after, number = trigrams(unsqueeze(tokens).astype(np.int64), sizes)
                 counts = np.bincount(number, _trained(sizes, np.array(train)), len(middle)).astype(np.int64)
-                shard = _dealt(hashes, middle, before, shards, hot)
+                shard = _dealt(hashes >> np.uint64(32), middle, before, shards, hot)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
                 for s in range(shards):
@@ -205,7 +210,7 @@ def _trigram_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
                     if len(own):
                         words, n = np.unique(np.concatenate([middle[own], before[own], after[own]]), return_inverse=True)
                         m, b, a = np.split(n, 3)
-                        parts = [(hashes[words] >> np.uint64(16)), np.diff(m, prepend=0), b, a, counts[own]]
+                        parts = [(hashes[words] >> np.uint64(24)), np.diff(m, prepend=0), b, a, counts[own]]
                         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([chunk]), *(pa.array([squeeze(p)]) for p in parts)], ["shard", "chunk", "w", "m", "b", "a", "c"])
 
     return chunks.select("chunk", "train", "sizes", "tokens", "hashes").mapInArrow(run, "shard int, chunk long, w binary, m binary, b binary, a binary, c binary")
@@ -223,11 +228,14 @@ def _decoded(code: np.ndarray) -> np.ndarray:
 
 def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
     def answer(key, t):
+        words = [unsqueeze(x) for x in t["w"].to_pylist()]
+        vocabulary, number = np.unique(np.concatenate(words), return_inverse=True)
+        number = np.split(number.astype(np.int32), np.cumsum([len(w) for w in words])[:-1])
+        del words
         rows = []
-        for w, m, b, a, c in zip(*(t[x].to_pylist() for x in ("w", "m", "b", "a", "c"))):
-            words = unsqueeze(w)
-            rows.append((words[unsqueeze(b).astype(np.int64)], words[np.cumsum(unsqueeze(m).astype(np.int64))], words[unsqueeze(a).astype(np.int64)], unsqueeze(c).astype(np.int64)))
-        trie = Trie.build(*_added(rows), discount).mapped()
+        for n, m, b, a, c in zip(number, *(t[x].to_pylist() for x in ("m", "b", "a", "c"))):
+            rows.append((n[unsqueeze(b).astype(np.int64)], n[np.cumsum(unsqueeze(m).astype(np.int64))], n[unsqueeze(a).astype(np.int64)], unsqueeze(c).astype(np.int32)))
+        trie = Trie.build(vocabulary, *_added(rows), discount).mapped()
         raws = []
         for b, m, a, _ in rows:
             given, rest = trie.lookup(b, m, a)
@@ -240,14 +248,13 @@ def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
 
 
 def _added(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams with training counts above 0, added up over the messages."""
-    b, m, a, c = (np.concatenate([r[i][r[3] > 0] for r in rows]) for i in range(4))
-    words, n = np.unique(np.concatenate([m, b, a]), return_inverse=True)
-    nm, nb, na = np.split(n, 3)
-    pairs, pair = np.unique(nm << 32 | nb, return_inverse=True)
-    keys, number = np.unique(pair << 32 | na, return_inverse=True)
+    """Distinct trigrams (before, middle, after) with training counts above 0, added up over the messages."""
+    b, m, a, c = (np.concatenate([r[i][r[3] > 0] for r in rows]).astype(np.int64) for i in range(4))
+    pairs, pair = np.unique(m << 32 | b, return_inverse=True)
+    del b, m
+    keys, number = np.unique(pair << 32 | a, return_inverse=True)
     own = pairs[keys >> 32]
-    return words[own & 0xFFFFFFFF], words[own >> 32], words[keys & 0xFFFFFFFF], np.bincount(number, c, len(keys)).astype(np.int64)
+    return own & 0xFFFFFFFF, own >> 32, keys & 0xFFFFFFFF, np.bincount(number, c, len(keys)).astype(np.int64)
 
 
 def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,25 +282,25 @@ def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount:
     words, counts = (np.concatenate([h[i] for h in halves] or [np.zeros(0, np.uint64)]) for i in range(2))
     order = np.argsort(words)
     parts = np.ceil(counts[order] / max(1, n_train) * shards * 8).astype(np.uint64)  # each part an eighth of a shard at most
-    sent = spark.sparkContext.broadcast((words[order], np.maximum(parts, 1)))
+    halves_, first = np.unique(words[order] >> np.uint64(32), return_index=True)
+    sent = spark.sparkContext.broadcast((halves_, np.maximum(parts[first], 1)))
     answers = word_answers.filter("chunk >= 0").unionByName(_trigram_answers(_trigram_messages(chunks, shards, sent), discount))
 
     def join(key, left, right):
         hot = sent.value
-        row = {c: left[c][0].as_py() for c in ("ids", "train", "sizes", "tokens", "hashes")}
-        hashes, sizes = np.frombuffer(row["hashes"], np.uint64), np.array(row["sizes"])
+        row = {c: left[c][0].as_py() for c in ("ids", "train", "sizes", "tokens", "halves")}
+        half, sizes = np.frombuffer(row["halves"], np.uint32).astype(np.uint64), np.array(row["sizes"])
         raws = {(k, s): r for k, s, r in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["raw"].to_pylist())}
         tokens = unsqueeze(row["tokens"]).astype(np.int64)
-        count = np.zeros(len(hashes))
-        shard = (_mixed(hashes) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((hashes, shard))
-        cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+        count = np.zeros(len(half))
+        shard = (_mixed(half) % np.uint64(shards)).astype(np.int64)
+        order, cuts = _word_order(shard, half, shards)
         for s in range(shards):
             if cuts[s] < cuts[s + 1]:
                 count[order[cuts[s] : cuts[s + 1]]] = unsqueeze(raws[0, s])
         single = (count + 0.5) / (n_train + 0.5 * (distinct + 1))
         middle, before, after, number = trigrams(tokens, sizes)
-        shard = _dealt(hashes, middle, before, shards, hot)
+        shard = _dealt(half, middle, before, shards, hot)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         given, rest = np.zeros(len(middle)), np.ones(len(middle))
@@ -308,7 +315,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount:
         return pa.table(cells, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return (
-        chunks.select("chunk", "ids", "train", "sizes", "tokens", "hashes")
+        chunks.select("chunk", "ids", "train", "sizes", "tokens", "halves")
         .groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(join, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
