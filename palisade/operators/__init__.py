@@ -1 +1 @@
-
+"""Access semantics: facts, rules, rewriting, enforcement, generation, retrieval, evaluation."""
