@@ -111,33 +111,39 @@ class Trie:
 
     @classmethod
     def build(cls, vocabulary: np.ndarray, b: np.ndarray, w: np.ndarray, a: np.ndarray, count: np.ndarray, discount: float) -> "Trie":
-        """From distinct trigrams (word before, word, word after; places in the sorted vocabulary) and their counts.
+        """From distinct trigrams (word before, word, word after; places in the sorted vocabulary) and their counts, sorted by (w, b, a).
 
         An n-gram keeps max(count - discount, 0) / total of its context; a
         context keeps discount * distinct followers / total for the order
         below.  Counts of the lower order are numbers of distinct words before.
         """
-        n = len(count)
-        b, w, a = (x.astype(np.int64) for x in (b, w, a))
-        u = np.int64(max(1, len(vocabulary)))
-        d = discount
-        # followers of a word
-        follow, of = np.unique(w * u + a, return_inverse=True)
-        kinds = np.bincount(of, minlength=len(follow)).astype(float)
+        u, d = np.int64(max(1, len(vocabulary))), discount
+        # followers of a word; `of` is the follower that each trigram ends with
+        key = w.astype(np.int64) * u + a
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        first = np.diff(key, prepend=-1) != 0
+        follow = key[first]
+        of = np.empty(len(order), np.int32)
+        of[order] = np.cumsum(first, dtype=np.int32) - 1
+        del key, order, first
+        kinds = np.bincount(of, minlength=len(follow))
         words, head = np.unique(follow // u, return_inverse=True)
         total, distinct = np.bincount(head, kinds, len(words)), np.bincount(head, minlength=len(words))
         follow_p = np.maximum(kinds - d, 0) / np.maximum(total, 1)[head]
         word_rest = np.bincount(head, np.minimum(kinds, d), len(words)) / np.maximum(total, 1)
         follow_end = np.cumsum(distinct)
-        place = np.arange(len(follow)) - (follow_end - distinct)[head]  # of a follower within its word's range
-        # words before a word, and the pair's followers by their place
-        pairs, pair = np.unique(w * u + b, return_inverse=True)
+        # words before a word, and the pair's followers by their place in the word's range
+        key = w.astype(np.int64) * u + b
+        first = np.diff(key, prepend=-1) != 0
+        pairs, pair_of = key[first], np.cumsum(first, dtype=np.int32) - 1
+        del key, first
         owner = np.searchsorted(words, pairs // u)
-        order = np.lexsort((place[of], pair))
-        pair_of, place_of, c = pair[order], place[of][order], count[order].astype(float)
-        pair_total, pair_kinds = np.bincount(pair_of, c, len(pairs)), np.bincount(pair_of, minlength=len(pairs))
-        pair_p = np.maximum(c - d, 0) / np.maximum(pair_total, 1)[pair_of] if n else c
-        pair_rest = np.bincount(pair_of, np.minimum(c, d), len(pairs)) / np.maximum(pair_total, 1)
+        place_of = of - (follow_end - distinct)[head[of]]
+        pair_total, pair_kinds = np.bincount(pair_of, count, len(pairs)), np.bincount(pair_of, minlength=len(pairs))
+        pair_p = np.maximum(count - d, 0) / np.maximum(pair_total, 1)[pair_of]
+        pair_rest = np.bincount(pair_of, np.minimum(count, d), len(pairs)) / np.maximum(pair_total, 1)
+        del of
         widest = np.int64(distinct.max() if len(distinct) else 1)
         levels = {
             "words": words,
@@ -146,7 +152,7 @@ class Trie:
             "before_end": np.cumsum(np.bincount(owner, minlength=len(words))),
             "before": owner * u + pairs % u,
             "pair_end": np.cumsum(pair_kinds),
-            "pair": pair_of * widest + place_of,
+            "pair": pair_of.astype(np.int64) * widest + place_of,
         }
         parts = {"vocabulary": vocabulary, "widest": np.array([widest]), "follow_p": quantise(follow_p), "word_rest": quantise(word_rest), "pair_p": quantise(pair_p), "pair_rest": quantise(pair_rest)}
         for name, values in levels.items():

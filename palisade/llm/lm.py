@@ -29,7 +29,7 @@ from palisade.llm.shared import crc_mod, forget, materialize, table
 #: Tokens of a chunk; a longer document is a chunk of its own.
 CHUNK_TOKENS = 2_000_000
 #: Training and other tokens for each shard of words and of trigrams, on average.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 #: A word with a larger share of all tokens is divided; at most 1 / HOT_SHARE words are.
 HOT_SHARE = 1e-4
 DISCOUNT = 0.75
@@ -227,18 +227,22 @@ def _decoded(code: np.ndarray) -> np.ndarray:
 
 
 def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
+    """For each message A and B of its trigrams.  Messages are unpacked twice rather than held unpacked."""
+
     def answer(key, t):
         words = [unsqueeze(x) for x in t["w"].to_pylist()]
         vocabulary, number = np.unique(np.concatenate(words), return_inverse=True)
         number = np.split(number.astype(np.int32), np.cumsum([len(w) for w in words])[:-1])
         del words
-        rows = []
-        for n, m, b, a, c in zip(number, *(t[x].to_pylist() for x in ("m", "b", "a", "c"))):
-            rows.append((n[unsqueeze(b).astype(np.int64)], n[np.cumsum(unsqueeze(m).astype(np.int64))], n[unsqueeze(a).astype(np.int64)], unsqueeze(c).astype(np.int32)))
-        trie = Trie.build(vocabulary, *_added(rows), discount).mapped()
+
+        def unpacked(i: int):
+            m, b, a = (unsqueeze(t[x][i].as_py()).astype(np.int64) for x in ("m", "b", "a"))
+            return number[i][b], number[i][np.cumsum(m)], number[i][a]
+
+        trie = Trie.build(vocabulary, *_added(unpacked, t["c"]), discount).mapped()
         raws = []
-        for b, m, a, _ in rows:
-            given, rest = trie.lookup(b, m, a)
+        for i in range(t.num_rows):
+            given, rest = trie.lookup(*unpacked(i))
             first, second = squeeze(_coded(given)), squeeze(_coded(rest))
             raws.append(len(first).to_bytes(4, "little") + first + second)
         n, s = len(raws), key[0].as_py()
@@ -247,14 +251,24 @@ def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
     return messages.groupBy("shard").applyInArrow(answer, _ANSWER)
 
 
-def _added(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct trigrams (before, middle, after) with training counts above 0, added up over the messages."""
-    b, m, a, c = (np.concatenate([r[i][r[3] > 0] for r in rows]).astype(np.int64) for i in range(4))
-    pairs, pair = np.unique(m << 32 | b, return_inverse=True)
-    del b, m
-    keys, number = np.unique(pair << 32 | a, return_inverse=True)
-    own = pairs[keys >> 32]
-    return own & 0xFFFFFFFF, own >> 32, keys & 0xFFFFFFFF, np.bincount(number, c, len(keys)).astype(np.int64)
+def _added(unpacked, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams (before, middle, after) with training counts above 0, added up over the messages, by middle, before, after."""
+    parts = []
+    for i in range(len(counts)):
+        c = unsqueeze(counts[i].as_py()).astype(np.int32)
+        trained = np.flatnonzero(c)
+        parts.append((*(x[trained] for x in unpacked(i)), c[trained]))
+    b, m, a, c = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    if not len(c):
+        return b, m, a, c
+    if int(max(b.max(), m.max(), a.max())) < 1 << 21:
+        order = np.argsort(m.astype(np.int64) << 42 | b.astype(np.int64) << 21 | a).astype(np.int32)
+    else:
+        order = np.lexsort((a, b, m)).astype(np.int32)
+    b, m, a, c = b[order], m[order], a[order], c[order]
+    begin = np.flatnonzero(np.append(True, (np.diff(m) != 0) | (np.diff(b) != 0) | (np.diff(a) != 0)))
+    return b[begin], m[begin], a[begin], np.add.reduceat(c, begin)
 
 
 def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
