@@ -87,9 +87,9 @@ class _Chunk:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         trained = int(np.array(self.sizes)[np.array(self.train)].sum())
-        cells = [[number], [self.ids], [self.train], [self.sizes], [squeeze(rank[tokens])], [hashes[order].tobytes()], [(hashes[order] >> np.uint64(32)).astype(np.uint32).tobytes()], [self.n], [trained]]
+        cells = [[number], [self.ids], [self.train], [self.sizes], [squeeze(rank[tokens])], [(hashes[order] >> np.uint64(32)).astype(np.uint32).tobytes()], [hashes[order].astype(np.uint32).tobytes()], [self.n], [trained]]
         types = [pa.int64(), pa.list_(kind), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["chunk", "ids", "train", "sizes", "tokens", "hashes", "halves", "n", "n_train"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["chunk", "ids", "train", "sizes", "tokens", "halves", "lows", "n", "n_train"])
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if now:
             yield now.row(type_, number)
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, tokens binary, hashes binary, halves binary, n long, n_train long")
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, tokens binary, halves binary, lows binary, n long, n_train long")
 
 
 def _trained(sizes: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -121,11 +121,15 @@ def _word_order(shard: np.ndarray, half: np.ndarray, shards: int) -> tuple[np.nd
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _whole(halves: bytes, lows: bytes) -> np.ndarray:
+    return np.frombuffer(halves, np.uint32).astype(np.uint64) << np.uint64(32) | np.frombuffer(lows, np.uint32)
+
+
 def _word_messages(chunks: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for chunk, train, sizes, tokens, hashes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "sizes", "tokens", "hashes"))):
-                hashes = np.frombuffer(hashes, np.uint64)
+            for chunk, train, sizes, tokens, halves, lows in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "sizes", "tokens", "halves", "lows"))):
+                hashes = _whole(halves, lows)
                 counts = np.bincount(unsqueeze(tokens).astype(np.int64), _trained(np.array(sizes), np.array(train)), len(hashes)).astype(np.uint64)
                 shard = (_mixed(hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
                 order, cuts = _word_order(shard, hashes >> np.uint64(32), shards)
@@ -135,7 +139,7 @@ def _word_messages(chunks: DataFrame, shards: int) -> DataFrame:
                         gaps = np.diff(hashes[own], prepend=np.uint64(0))
                         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([chunk]), pa.array([squeeze(gaps)]), pa.array([squeeze(counts[own])])], ["shard", "chunk", "hashes", "counts"])
 
-    return chunks.select("chunk", "train", "sizes", "tokens", "hashes").mapInArrow(run, "shard int, chunk long, hashes binary, counts binary")
+    return chunks.select("chunk", "train", "sizes", "tokens", "halves", "lows").mapInArrow(run, "shard int, chunk long, hashes binary, counts binary")
 
 
 _ANSWER = "chunk long, kind int, shard int, raw binary"
@@ -198,8 +202,8 @@ def _trigram_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
     def run(batches):
         hot = sent.value
         for batch in batches:
-            for chunk, train, sizes, tokens, hashes in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "sizes", "tokens", "hashes"))):
-                hashes, sizes = np.frombuffer(hashes, np.uint64), np.array(sizes)
+            for chunk, train, sizes, tokens, halves, lows in zip(*(batch.column(c).to_pylist() for c in ("chunk", "train", "sizes", "tokens", "halves", "lows"))):
+                hashes, sizes = _whole(halves, lows), np.array(sizes)
                 middle, before, after, number = trigrams(unsqueeze(tokens).astype(np.int64), sizes)
                 counts = np.bincount(number, _trained(sizes, np.array(train)), len(middle)).astype(np.int64)
                 shard = _dealt(hashes >> np.uint64(32), middle, before, shards, hot)
@@ -213,17 +217,17 @@ def _trigram_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
                         parts = [(hashes[words] >> np.uint64(24)), np.diff(m, prepend=0), b, a, counts[own]]
                         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([chunk]), *(pa.array([squeeze(p)]) for p in parts)], ["shard", "chunk", "w", "m", "b", "a", "c"])
 
-    return chunks.select("chunk", "train", "sizes", "tokens", "hashes").mapInArrow(run, "shard int, chunk long, w binary, m binary, b binary, a binary, c binary")
+    return chunks.select("chunk", "train", "sizes", "tokens", "halves", "lows").mapInArrow(run, "shard int, chunk long, w binary, m binary, b binary, a binary, c binary")
 
 
 def _coded(x: np.ndarray) -> np.ndarray:
     """16 bits of a number from 0 to 1, on a logarithmic scale."""
     with np.errstate(divide="ignore"):
-        return np.where(x > 0, np.clip(np.rint(np.log2(x) * 1024) + 65535, 1, 65535), 0).astype(np.uint64)
+        return np.where(x > 0, np.clip(np.rint(np.log2(x) * 256) + 65535, 1, 65535), 0).astype(np.uint64)
 
 
 def _decoded(code: np.ndarray) -> np.ndarray:
-    return np.where(code > 0, np.exp2((code.astype(float) - 65535) / 1024), 0.0)
+    return np.where(code > 0, np.exp2((code.astype(float) - 65535) / 256), 0.0)
 
 
 def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
