@@ -71,6 +71,16 @@ def gram_codes(text: str, order: int) -> np.ndarray:
     return out
 
 
+def gram_counts(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts and their counts, gathered block by block."""
+    grams, counts = np.zeros(0, np.int64), np.zeros(0)
+    for a, b in scan.groups([len(t) for t in texts], 1 << 20):
+        new, n = np.unique(np.concatenate([gram_codes(t, order) for t in texts[a:b]]), return_counts=True)
+        grams, where = np.unique(np.concatenate([grams, new]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, n]), len(grams))
+    return grams, counts
+
+
 class SharedBackoff:
     """Interpolated Kneser-Ney: class counts back off to those of both classes together, these to continuation counts.
 
@@ -84,10 +94,10 @@ class SharedBackoff:
 
     def fit(self, by_class: list[list[str]]) -> "SharedBackoff":
         """by_class: texts of class 0 (ordinary) and 1 (toxic)."""
-        d, none = self.discount, np.zeros(0, np.int64)
-        parts = [np.concatenate([none, *(gram_codes(t, self.order) for t in texts)]) for texts in by_class]
-        grams, where = np.unique(np.concatenate(parts), return_inverse=True)
-        own = np.stack([np.bincount(w, minlength=len(grams)) for w in np.split(where, [len(parts[0])])]).astype(float)
+        d = self.discount
+        parts = [gram_counts(texts, self.order) for texts in by_class]
+        grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        own = np.stack([np.bincount(w, n, len(grams)) for w, (_, n) in zip(np.split(where, [len(parts[0][0])]), parts)])
         common = self._common(grams, own.sum(0))
         contexts, of = np.unique(grams >> _BITS, return_inverse=True)
         logs, left = [], []
