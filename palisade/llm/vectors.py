@@ -62,7 +62,7 @@ def unpack(blob) -> dict[str, np.ndarray]:
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     """(n, dim) doubles of a list column without nulls."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), dim)
 
 
 def distinct(ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
