@@ -167,8 +167,8 @@ class Trie:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
-    def lookup(self, b: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(A, B): P(a | b w) = A + B * P(a), for words by their number."""
+    def lookup(self, b: np.ndarray, w: np.ndarray, a: np.ndarray, pairs_only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(A, B): P(a | b w) = A + B * P(a), for words by their number; where pairs_only, P(a | b w) = A + B * P(a | w)."""
         given, rest = np.zeros(len(w)), np.ones(len(w))
         w, b, a = (x.astype(np.int64) for x in (w, b, a))
         head = self.words.find(np.maximum(w, 0).astype(np.uint64))
@@ -180,6 +180,8 @@ class Trie:
         rest[seen] = restore(self.word_rest[h])
         hit = follow >= 0
         given[seen[hit]] = restore(self.follow_p[follow[hit]])
+        if pairs_only is not None:
+            given[pairs_only], rest[pairs_only] = 0.0, 1.0
         pair = self.before.find(h.astype(np.uint64) * self.universe + np.maximum(b[seen], 0).astype(np.uint64))
         pair[b[seen] < 0] = -1
         in_pair = np.flatnonzero(pair >= 0)

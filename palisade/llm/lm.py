@@ -6,9 +6,12 @@ token.  Words meet by hash: each word's shard adds up its count and answers
 every chunk that has the word.  Distinct trigrams of a chunk meet by their
 middle word: the shard builds a trie from the training counts, and looks the
 chunk's trigrams up in it, held-out ones included.  A word with more than
-HOT_SHARE of all tokens is divided among shards by the word before it; these
-parts are models of their own, so that every distribution still adds up to one.
-Last, every chunk puts its tokens and the answers together.
+HOT_SHARE of all tokens is divided among shards by the word before it.  A part
+knows all of its pairs (before, word), but not P(after | word), which counts the
+words before of all parts: parts give their counts of followers to a third
+exchange, which adds them up and answers every chunk that has the follower.
+Last, every chunk puts its tokens and the answers together.  No score depends
+on the number of shards.
 
 P(c | a b) = A + B * P(c): A and B from the trie, P(c) the smoothed unigram.
 """
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.elias_fano import Trie
+from palisade.llm.elias_fano import Trie, quantise, restore
 from palisade.llm.shared import crc_mod, forget, materialize, table
 
 #: Tokens of a chunk; a longer document is a chunk of its own.
@@ -185,19 +188,104 @@ def trigrams(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return own >> 32, own & 0xFFFFFFFF, keys & 0xFFFFFFFF, number
 
 
-def _dealt(half: np.ndarray, middle: np.ndarray, before: np.ndarray, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Shard of each trigram: by the middle word; for a hot word also by the word before, over its number of parts."""
+def _shares(half: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of parts of each word."""
     words, parts = hot
     share = np.ones(len(half), np.uint64)
     if len(words):
         at = np.minimum(np.searchsorted(words, half), len(words) - 1)
         same = words[at] == half
         share[same] = parts[at[same]]
-    home = _mixed(half)
+    return share
+
+
+def _dealt(half: np.ndarray, middle: np.ndarray, before: np.ndarray, shards: int, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Shard of each trigram: by the middle word; for a hot word also by the word before, over its number of parts."""
+    share, home = _shares(half, hot), _mixed(half)
     part = _mixed(half * _M)[before] % share[middle]
     return (_mixed(home[middle] + part * _M) % np.uint64(shards)).astype(np.int64)
 
 
+def _follower_keys(word: np.ndarray, after: np.ndarray, share: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each (divided word, word after), from 40 bits of either hash, and its shard: by the word and the key over the word's number of parts."""
+    key = _mixed(_mixed(word * _M) + _mixed(after + _M) * _M) >> np.uint64(16)
+    return key, (_mixed(_mixed(word) + (key % share) * _M + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+
+
+def _followers(middle: np.ndarray, after: np.ndarray, hashes: np.ndarray, shards: int, hot: tuple[np.ndarray, np.ndarray]):
+    """Distinct (divided word, word after) of a chunk by shard and key: where shards begin, keys, words; trigrams with a divided word, and the pair of each."""
+    share = _shares(hashes >> np.uint64(32), hot)
+    cut = np.flatnonzero(share[middle] > 1)
+    pairs, number = np.unique(middle[cut] << 32 | after[cut], return_inverse=True)
+    word, own = pairs >> 32, hashes >> np.uint64(24)
+    key, shard = _follower_keys(own[word], own[pairs & 0xFFFFFFFF], share[word], shards)
+    order = np.lexsort((key, shard))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return np.searchsorted(shard[order], np.arange(shards + 1)), key[order], own[word[order]], cut, rank[number]
+
+
+def _follower_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for chunk, sizes, tokens, halves, lows in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "tokens", "halves", "lows"))):
+                middle, _, after, _ = trigrams(unsqueeze(tokens).astype(np.int64), np.array(sizes))
+                cuts, keys, *_ = _followers(middle, after, _whole(halves, lows), shards, sent.value)
+                for s in np.flatnonzero(np.diff(cuts)):
+                    raw = squeeze(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)))
+                    yield pa.record_batch([pa.array([chunk]), pa.array([2], pa.int32()), pa.array([s], pa.int32()), pa.array([raw])], ["chunk", "kind", "shard", "raw"])
+
+    return chunks.select("chunk", "sizes", "tokens", "halves", "lows").mapInArrow(run, _ANSWER)
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in map(squeeze, arrays))
+
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    at, out = 0, []
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 4], "little")
+        out.append(unsqueeze(raw[at + 4 : at + 4 + n]))
+        at += 4 + n
+    return out
+
+
+def _follower_answers(messages: DataFrame, discount: float) -> DataFrame:
+    """For each chunk (kind 2) the numbers of words before its followers, added up over the parts (kind 3); as chunk -1, of each word the total and what is freed."""
+
+    def answer(key, t):
+        kinds = np.array(t["kind"].to_pylist())
+        given = [_unpacked(r) for r, k in zip(t["raw"].to_pylist(), kinds) if k == 3]
+        words = [np.repeat(w, n.astype(np.int64)) for w, n, _, _ in given]
+        keys, numbers = [np.cumsum(k) for *_, k, _ in given], [n for *_, n in given]
+        none = [np.zeros(0, np.uint64)]
+        known, first, number = np.unique(np.concatenate(keys or none), return_index=True, return_inverse=True)
+        before = np.bincount(number, np.concatenate(numbers or none), len(known)).astype(np.uint64)
+        chunks, raws = [], []
+        for chunk, raw, k in zip(t["chunk"].to_pylist(), t["raw"].to_pylist(), kinds):
+            if k == 2:
+                asked = np.cumsum(unsqueeze(raw))
+                at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+                chunks.append(chunk)
+                raws.append(squeeze(np.where(known[at] == asked, before[at], np.uint64(0)) if len(known) else np.zeros(len(asked), np.uint64)))
+        owners, owner = np.unique(np.concatenate(words or none)[first], return_inverse=True)
+        freed = np.bincount(owner, np.minimum(before, discount), len(owners))
+        note = np.concatenate([owners, np.bincount(owner, before, len(owners)).astype(np.uint64), freed.view(np.uint64)])
+        n, s = len(raws) + 1, key[0].as_py()
+        return pa.table([pa.array(chunks + [-1], pa.int64()), pa.array([2] * n, pa.int32()), pa.array([s] * n, pa.int32()), pa.array([*raws, note.tobytes()], pa.binary())], ["chunk", "kind", "shard", "raw"])
+
+    return messages.groupBy("shard").applyInArrow(answer, _ANSWER)
+
+
+def _follower_totals(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Divided words (40 bits), total of each and what is freed, over all shards."""
+    notes = [np.frombuffer(r["raw"], np.uint64).reshape(3, -1) for r in answers.filter("chunk = -1").select("raw").toLocalIterator()]
+    words, total, freed = np.concatenate(notes or [np.zeros((3, 0), np.uint64)], 1)
+    known, number = np.unique(words, return_inverse=True)
+    return known, np.bincount(number, total, len(known)), np.bincount(number, freed.view(float), len(known))
+
+
 def _trigram_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
     def run(batches):
         hot = sent.value
@@ -230,8 +318,11 @@ def _decoded(code: np.ndarray) -> np.ndarray:
     return np.where(code > 0, np.exp2((code.astype(float) - 65535) / 256), 0.0)
 
 
-def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
-    """For each message A and B of its trigrams.  Messages are unpacked twice rather than held unpacked."""
+def _trigram_answers(messages: DataFrame, discount: float, shards: int, sent) -> DataFrame:
+    """For each message A and B of its trigrams (kind 1), for divided words the pair's share of them alone, as 8-bit codes; these words' followers in this part (kind 3).
+
+    Messages are unpacked twice rather than held unpacked.
+    """
 
     def answer(key, t):
         words = [unsqueeze(x) for x in t["w"].to_pylist()]
@@ -243,18 +334,39 @@ def _trigram_answers(messages: DataFrame, discount: float) -> DataFrame:
             m, b, a = (unsqueeze(t[x][i].as_py()).astype(np.int64) for x in ("m", "b", "a"))
             return number[i][b], number[i][np.cumsum(m)], number[i][a]
 
-        trie = Trie.build(vocabulary, *_added(unpacked, t["c"]), discount).mapped()
-        raws = []
+        share = _shares(vocabulary >> np.uint64(8), sent.value)
+        added = _added(unpacked, t["c"])
+        to, raws = _part_followers(vocabulary, share, added[1], added[2], shards)
+        trie = Trie.build(vocabulary, *added, discount).mapped()
+        del added
+        kinds = [3] * len(to) + [1] * t.num_rows
         for i in range(t.num_rows):
-            given, rest = trie.lookup(*unpacked(i))
-            first, second = squeeze(_coded(given)), squeeze(_coded(rest))
-            raws.append(len(first).to_bytes(4, "little") + first + second)
-        n, s = len(raws), key[0].as_py()
-        return pa.table([t["chunk"], pa.array([1] * n, pa.int32()), pa.array([s] * n, pa.int32()), pa.array(raws, pa.binary())], ["chunk", "kind", "shard", "raw"])
+            b, w, a = unpacked(i)
+            cut = share[w] > 1
+            given, rest = trie.lookup(b, w, a, cut)
+            raws.append(_packed(*(np.where(cut, quantise(x), _coded(x)) for x in (given, rest))))
+        chunks, s = [-1] * len(to) + t["chunk"].to_pylist(), key[0].as_py()
+        return pa.table([pa.array(chunks, pa.int64()), pa.array(kinds, pa.int32()), pa.array(to + [s] * t.num_rows, pa.int32()), pa.array(raws, pa.binary())], ["chunk", "kind", "shard", "raw"])
 
     return messages.groupBy("shard").applyInArrow(answer, _ANSWER)
 
 
+def _part_followers(vocabulary: np.ndarray, share: np.ndarray, middle: np.ndarray, after: np.ndarray, shards: int) -> tuple[list[int], list[bytes]]:
+    """Shards and, for each, divided words, followers of each, keys, numbers of words before; from a part's distinct trigrams."""
+    cut, u = share[middle] > 1, np.int64(max(1, len(vocabulary)))
+    pairs, before = np.unique(middle[cut] * u + after[cut], return_counts=True)
+    word = pairs // u
+    key, shard = _follower_keys(vocabulary[word], vocabulary[pairs % u], share[word], shards)
+    order = np.lexsort((key, word, shard))
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    to, raws = np.flatnonzero(np.diff(cuts)).tolist(), []
+    for s in to:
+        own = order[cuts[s] : cuts[s + 1]]
+        words, n = np.unique(word[own], return_counts=True)
+        raws.append(_packed(vocabulary[words], n, np.diff(key[own], prepend=np.uint64(0)), before[own]))
+    return to, raws
+
+
 def _added(unpacked, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct trigrams (before, middle, after) with training counts above 0, added up over the messages, by middle, before, after."""
     parts = []
@@ -302,11 +414,15 @@ def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount:
     parts = np.ceil(counts[order] / max(1, n_train) * shards * 8).astype(np.uint64)  # each part an eighth of a shard at most
     halves_, first = np.unique(words[order] >> np.uint64(32), return_index=True)
     sent = spark.sparkContext.broadcast((halves_, np.maximum(parts[first], 1)))
-    answers = word_answers.filter("chunk >= 0").unionByName(_trigram_answers(_trigram_messages(chunks, shards, sent), discount))
+    trigram_answers = materialize(_trigram_answers(_trigram_messages(chunks, shards, sent), discount, shards, sent), "lm-trigrams")
+    followers = trigram_answers.filter("kind = 3").unionByName(_follower_messages(chunks, shards, sent))
+    follower_answers = materialize(_follower_answers(followers, discount), "lm-followers")
+    divided = spark.sparkContext.broadcast(_follower_totals(follower_answers))
+    answers = word_answers.filter("chunk >= 0").unionByName(trigram_answers.filter("kind = 1")).unionByName(follower_answers.filter("chunk >= 0"))
 
     def join(key, left, right):
         hot = sent.value
-        row = {c: left[c][0].as_py() for c in ("ids", "train", "sizes", "tokens", "halves")}
+        row = {c: left[c][0].as_py() for c in ("ids", "train", "sizes", "tokens", "halves", "lows")}
         half, sizes = np.frombuffer(row["halves"], np.uint32).astype(np.uint64), np.array(row["sizes"])
         raws = {(k, s): r for k, s, r in zip(right["kind"].to_pylist(), right["shard"].to_pylist(), right["raw"].to_pylist())}
         tokens = unsqueeze(row["tokens"]).astype(np.int64)
@@ -321,19 +437,28 @@ def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount:
         shard = _dealt(half, middle, before, shards, hot)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        given, rest = np.zeros(len(middle)), np.ones(len(middle))
+        codes = np.zeros((2, len(middle)), np.uint64)
         for s in range(shards):
             if cuts[s] < cuts[s + 1]:
-                raw, own = raws[1, s], order[cuts[s] : cuts[s + 1]]
-                n = int.from_bytes(raw[:4], "little")
-                given[own], rest[own] = _decoded(unsqueeze(raw[4 : 4 + n])), _decoded(unsqueeze(raw[4 + n :]))
+                codes[:, order[cuts[s] : cuts[s + 1]]] = _unpacked(raws[1, s])
+        cuts, keys, words, cut, pair = _followers(middle, after, _whole(row["halves"], row["lows"]), shards, hot)
+        if len(cut):
+            known, total, freed = divided.value
+            before_ = np.concatenate([unsqueeze(raws[2, s]) for s in np.flatnonzero(np.diff(cuts))]).astype(float)
+            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            seen, total = known[at] == words, np.maximum(total[at], 1)
+            lower = restore(quantise(np.where(seen, np.maximum(before_ - discount, 0) / total, 0.0)))
+            left_ = restore(quantise(np.where(seen, freed[at] / total, 1.0)))
+            own, share = (restore(x.astype(np.uint8)) for x in codes[:, cut])
+            codes[:, cut] = _coded(lower[pair] * share + own), _coded(left_[pair] * share)
+        given, rest = (_decoded(x) for x in codes)
         logs = np.log10(np.minimum(given + rest * single[after], 1.0))[number]
         begin = np.cumsum(sizes) - sizes
         cells = [pa.array(row["ids"], left.schema.field("ids").type.value_type), pa.array(~np.array(row["train"])), pa.array(sizes), pa.array(np.add.reduceat((count > 0).astype(np.int64)[tokens], begin)), pa.array([n_train] * len(sizes), pa.int64()), pa.array(np.add.reduceat(np.log10(single)[tokens], begin)), pa.array(np.add.reduceat(logs, begin))]
         return pa.table(cells, [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return (
-        chunks.select("chunk", "ids", "train", "sizes", "tokens", "halves")
+        chunks.select("chunk", "ids", "train", "sizes", "tokens", "halves", "lows")
         .groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
         .applyInArrow(join, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -265,3 +265,12 @@ def test_elias_fano_gives_back_its_numbers():
     asked = np.arange(10_050)
     assert found.successor(asked).tolist() == np.searchsorted(values, asked).tolist()
     assert [i >= 0 for i in found.find(asked)] == [x in set(values.tolist()) for x in asked]
+
+
+def test_language_model_does_not_depend_on_shards(spark, monkeypatch):
+    df = documents(spark)
+    scores = []
+    for n in (10**9, 40_000, 4_000):  # one shard, some, many
+        monkeypatch.setattr(lm, "SHARD_TOKENS", n)
+        scores.append({r.doc_id: r.score for r in lm.score(df).collect()})
+    assert scores[1] == pytest.approx(scores[0], rel=1e-12) and scores[2] == pytest.approx(scores[0], rel=1e-12)
