@@ -70,17 +70,38 @@ def substring_share(query: Column, target: Column) -> Column:
     return F.when(n > 0, best / n).otherwise(F.lit(0.0))
 
 
-def matching_cells(cells: DataFrame, phrases: DataFrame, least: float = 0.85, most: int = 20) -> DataFrame:
-    """query_id, table_name, column_name, values: cells that a phrase (query_id, phrase) matches, the best `most` in all.
+#: Characters by which two texts meet, at most.
+MEET = 16
 
-    Phrases and cells meet by their first shared word of the cell, so that no
-    cross join arises; a cell that shares no whole word with the phrase cannot
-    reach the share.
+
+def _sharing(held: DataFrame, text: str, holders: DataFrame, other: str, least: float) -> DataFrame:
+    """Pairs in which the holder's text holds more than the share `least` of the held text, with the score.
+
+    No cross join arises: such a pair has `need` characters in a row in common,
+    and meets by the first MEET of them.  Whole words need not be shared.
+    """
+    lower, n = F.lower(text), F.length(F.lower(text))
+    need = F.greatest(F.lit(1), F.ceil(n * F.lit(least) - 1e-6)).cast("int")
+    held = held.distinct().filter(n > 0).withColumn("need", need).filter(F.col("need") <= n)
+    pieces = F.transform(F.sequence(F.lit(1), n - F.col("need") + 1), lambda i: F.substr(lower, i, F.least("need", F.lit(MEET))))
+    held = held.withColumn("w", F.explode(F.array_distinct(pieces))).drop("need")
+    sizes = held.select(F.length("w").alias("size")).distinct()  # MEET rows at most
+    whole, n = F.lower(other), F.length(F.lower(other))
+    holders = holders.distinct().crossJoin(F.broadcast(sizes)).filter(n >= F.col("size"))
+    pieces = F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), lambda i: F.substr(whole, i, F.col("size")))
+    holders = holders.withColumn("w", F.explode(F.array_distinct(pieces))).drop("size")
+    pairs = held.join(holders, "w").drop("w").distinct()
+    return pairs.withColumn("score", substring_share(lower, F.col(other))).filter(F.col("score") > least)
+
+
+def matching_cells(cells: DataFrame, phrases: DataFrame, least: float = 0.85, most: int = 20, of: str = "value") -> DataFrame:
+    """query_id, table_name, column_name, values: cells of which a phrase (query_id, phrase) holds more than the share `least`, the best `most` in all.
+
+    The share is that of the cell's longest substring that the phrase holds;
+    with of="phrase", of the phrase's that the cell holds.  Case does not count.
     """
-    left = phrases.withColumn("w", F.explode(F.array_distinct(tokens(F.col("phrase")))))
-    right = cells.withColumn("w", F.explode(F.array_distinct(tokens(F.col("value")))))
-    pairs = left.join(right, "w").drop("w").distinct()
-    scored = pairs.withColumn("score", F.round(substring_share(F.col("phrase"), F.col("value")), 6)).filter(F.col("score") > least)
+    cells, phrases = cells.select("table_name", "column_name", "value"), phrases.select("query_id", "phrase")
+    scored = _sharing(cells, "value", phrases, "phrase", least) if of == "value" else _sharing(phrases, "phrase", cells, "value", least)
     best = scored.groupBy("query_id", "table_name", "column_name", "value").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.length("value")), "table_name", "column_name", "value"))
     return best.withColumn("place", place).filter(F.col("place") <= most).groupBy("query_id", "table_name", "column_name").agg(F.array_sort(F.collect_list("value")).alias("values"))

@@ -74,7 +74,25 @@ def ret_matching_cells(spark, sf_dir):
     fs = frames(spark, sf_dir)
     cells = retrieve.text_cells({"nation": fs["nation"]})
     phrases = fs["nation"].select(F.concat(F.lit("p"), "n_nationkey").alias("query_id"), F.lower("n_name").alias("phrase"))
-    found = retrieve.matching_cells(cells, phrases, least=0.95)
+    found = retrieve.matching_cells(cells, phrases, least=0.95, of="phrase")  # the SQL asks for cells that hold the phrase
+    return found.select("query_id", "table_name", "column_name", F.array_join("values", ",").alias("values"))
+
+
+_QUESTIONS = [
+    ("q1", "What is the price of large brass items sold in Saudi Arabia?"), ("q2", "orders of CUSTOMER#00000001 with priority 1-urgent"), ("q3", "brand#1 or Brand#23 in the united  states and asia"),
+    ("q4", "economy anodized stee, shipped to the building segment's middle eastern branch"), ("q5", "unitedkingdomfrance"), ("q6", "zzz"), ("q7", ""),
+]
+_SHARE = "list_max(list_transform(range(1, length(value) + 1), lambda i: list_max(list_transform(range(1, length(value) - i + 2), lambda k: CASE WHEN contains(lower(phrase), substr(lower(value), i, k)) THEN k ELSE 0 END)))) / length(value)"
+
+
+@query(
+    f"""WITH cells AS ({_CELLS}), asked AS ({values(_QUESTIONS, 'query_id, phrase')}), scored AS (SELECT *, {_SHARE} AS score FROM cells CROSS JOIN asked),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(value) DESC, table_name, column_name, value) AS place FROM scored WHERE score > 0.85)
+    SELECT query_id, table_name, column_name, string_agg(value, ',' ORDER BY value) AS "values" FROM best WHERE place <= 20 GROUP BY ALL"""
+)
+def ret_question_cells(spark, sf_dir):
+    cells = retrieve.text_cells(frames(spark, sf_dir), TPCH_KEYS["pk"])
+    found = retrieve.matching_cells(cells, spark.createDataFrame(_QUESTIONS, "query_id string, phrase string"))
     return found.select("query_id", "table_name", "column_name", F.array_join("values", ",").alias("values"))
 
 

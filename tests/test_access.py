@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from palisade.functions.sql_text import parse, render, try_parse
-from palisade.operators import enforce, evaluate, policy, rewrite, rules
+from palisade.operators import enforce, evaluate, policy, retrieve, rewrite, rules
 from palisade.operators.facts import Schema, analyse
 from palisade.plans import context, registry
 from palisade.plans.workload import WORKLOAD
@@ -144,3 +144,17 @@ def test_no_status_for_aligned(spark):
     e = context.engine(spark, SF)
     q = spark.createDataFrame([("q", "admin", "SELECT c_name FROM customer")], "query_id string, role string, sql string")
     assert rules.node_status(rules.query_facts(q, e.schema), e.policies).count() == 0
+
+
+def test_matching_cells_against_brute_force(spark):
+    def share(cell, phrase):
+        cell, phrase = cell.lower(), phrase.lower()
+        return max(j - i for i in range(len(cell)) for j in range(i, len(cell) + 1) if cell[i:j] in phrase) / len(cell)
+
+    cells = ["LARGE BRASS", "BRASS", "BRASSWARE", "Large brushed brass", "A", "İzmir", "abcdefghijklmnopqrst", "x" * 40, "99.5", "zzz"]
+    phrases = ["price of large brass items", "brassware", "brassy", "", "BRUSHED BRASS", "bcdefghijklmnopqrstu", "abcdefghijklmnopq", "x" * 37, "costs 99.5 in izmir"]
+    asked = spark.createDataFrame([(str(i), p) for i, p in enumerate(phrases)] + [("9", None)], "query_id string, phrase string")
+    held = spark.createDataFrame([("t", "c", c) for c in [*cells, ""]], "table_name string, column_name string, value string")
+    for least in (0.85, 0.95, 0.3):
+        got = {(r.query_id, v) for r in retrieve.matching_cells(held, asked, least).collect() for v in r["values"]}
+        assert got == {(str(i), c) for i, p in enumerate(phrases) for c in cells if share(c, p) > least}
