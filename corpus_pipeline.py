@@ -35,10 +35,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8) the document with the smallest id."""
-    found = near_dup.near_duplicates(docs)
-    stay = found.filter("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi").select(COLUMNS)
+    """Of each group of near duplicates (5-word shingles, similarity 0.8) one row, of the smallest id."""
+    return near_dup.one_of_each(docs, keep=tuple(c for c in COLUMNS if c not in ("doc_id", "text"))).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

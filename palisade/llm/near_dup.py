@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,10 +125,12 @@ def most_differing(similarity: float) -> int:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, k (64 of the set hash's 128 bits), k2, sig."""
+    """id, n, k (64 of the set hash's 128 bits), k2, sig; of (id, text, others): also row, a number for each, and all but the id."""
+    names = docs.columns[1:] if len(docs.columns) > 2 else []
 
     def run(batches):
         cache: dict = {}
+        rows = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sets = [shingles(t, words, cache) for t in texts]
@@ -136,10 +139,12 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             sig: list = [None] * len(sets)
             for i, row in zip(full, signatures([sets[i] for i in full])):
                 sig[i] = row.tobytes()
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sig, pa.binary())], ["id", "n", "k", "k2", "sig"])
+            more = [pa.array(np.arange(rows, rows + len(sets))), *(batch.column(c) for c in names)] if names else []
+            rows += len(sets)
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sig, pa.binary()), *more], ["id", "n", "k", "k2", "sig", *(["row", *names] if names else [])])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n long, k long, k2 long, sig binary")
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns}
+    return docs.mapInArrow(run, f"id {kinds['id']}, n long, k long, k2 long, sig binary" + "".join([", row long", *(f", {c} {kinds[c]}" for c in names)] if names else []))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -328,9 +333,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     then component_id is null, and kept is true where both are null.  Rows with
     equal ids are judged by their own texts.  An empty table gives an empty one.
     """
-    similarity = percent / 100
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialize(_signed(source, words), "dup-signed")
+    signed, belongs = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), words, percent)
+    out = signed.select("id", "n", "k").join(belongs.drop("label"), "k", "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each group that near_duplicates links, whatever ids its rows have: id, text and the columns in keep.
+
+    The row of the smallest id stays, one with a null id only if the group has
+    no other; among rows with this id that of the smallest hash of all
+    columns; of equal rows one.  Rows with an empty set all stay.
+    """
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)], F.lit(0).alias("end"))
+    signed, belongs = _grouped(source, words, percent)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64(*source.columns).alias("hash"), "row")
+    least = signed.filter("n > 0").groupBy("k").agg(F.min(order).alias("first"))  # first of each set, then of each group
+    first = least.join(belongs.select("k", "label"), "k").groupBy("label").agg(F.min("first").alias("first"))
+    stay = signed.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").unionByName(signed.filter("n = 0"))
+    return stay.select(F.col("id").alias(id_col), F.col("text").cast("string").alias(text_col), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def _grouped(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What _signed makes of the rows (id, text, others); and of each set its group and the group's smallest id (k, label, component_id)."""
+    similarity, source = percent / 100, rows.select("id", "text")
+    signed = materialize(_signed(rows, words), "dup-signed")
     classes = signed.filter("n > 0").groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "dup-classes")
     two = _sketches(classes)
@@ -365,10 +393,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     forget(sets)
     named = classes.select("k", "least").join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    belongs = named.join(smallest, "label").select("k", "component_id")
-    out = signed.select("id", "n", "k").join(belongs, "k", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return signed, named.join(smallest, "label").select("k", "label", "component_id")
 
 
 def _sketches(classes: DataFrame) -> DataFrame:

@@ -184,6 +184,13 @@ def test_pipeline_stage_by_stage(spark):
     assert Counter((r.doc_id, r.n_tokens) for r in ran) == Counter((r.doc_id, r.n_tokens) for r in kept["byte-level BPE"])
 
 
+def test_one_row_of_each_group_stays(spark, docs_of):
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, long), (2, long + " end"), (None, long), (None, other), (None, other), (7, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l"), (None, "m n o p q"), (9, None), (9, None), (None, "")]
+    got = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs_of(rows), SF).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, long), (None, other), (7, "a b c d e f"), (7, "g h i j k l"), (None, "m n o p q"), (9, None), (9, None), (None, "")])
+
+
 @pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "toxicity"], ids=lambda s: s[0])
 def test_stages_take_tricky_and_empty_tables(spark, tricky, empty, stage):
     assert stage[1](spark, empty, SF).count() == 0
