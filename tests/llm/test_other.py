@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from palisade.llm import ball_tree, chat_template, mixing, projections, registry
+from palisade.llm import vectors as vectors_module
 
 from .conftest import TRICKY
 from .test_text import SF, brute_lines, brute_near, words_of
@@ -78,6 +79,15 @@ def test_nearest_recall(spark):
         assert hits >= 0.9 * total
 
 
+def test_nearest_recall_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(vectors_module, "SHARD_ROWS", 50)
+    rows = table_vectors(spark)
+    got, wanted = by_query(projections.query(spark, SF).collect()), brute_top(rows, 20, lambda x, y: float(x @ y), any)
+    assert got.keys() == wanted.keys() and all(len(found) == len(wanted[q]) for q, found in got.items())
+    hits = sum(s <= wanted[q][-1][0] + 1e-9 for q, found in got.items() for s, _ in found)
+    assert hits >= 0.9 * sum(map(len, wanted.values()))
+
+
 @pytest.mark.parametrize("search", [ball_tree.exact_top_k, projections.nearest])
 def test_few_vectors(spark, search):
     assert search(vectors(spark, [])).count() == 0
