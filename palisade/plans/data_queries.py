@@ -60,6 +60,17 @@ def ret_ngrams(spark, sf_dir):
     return df.select("text", F.array_join(retrieve.ngrams(retrieve.tokens(F.col("text"))), ";").alias("grams"))
 
 
+_GRAMS = "list_concat(" * 7 + ", ".join(f"list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(t[i:i + {n - 1}], ' '))" + (")" if n > 1 else "") for n in range(1, 9))
+
+
+@query(f"""WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM documents), grams AS (SELECT doc_id, {_GRAMS} AS g FROM docs)
+    SELECT doc_id, len(g)::INTEGER AS n_grams, md5(array_to_string(g, ';')) AS grams_md5 FROM grams""")
+def ret_document_ngrams(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", retrieve.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    docs = docs.select("doc_id", retrieve.ngrams(F.col("t")).alias("g"))  # from a column: words are split once, not for every n-gram
+    return docs.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", ";").cast("binary")).alias("grams_md5"))
+
+
 _PAIRS = [("brass", "LARGE BRASS", 1.0), ("brasses", "BRASS", 0.714286), ("abc", "xyz", 0.0), ("tin cup", "a tin c", 0.714286), ("ab", "ba", 0.5)]
 
 
@@ -113,6 +124,16 @@ def ret_literals(spark, sf_dir):
     return df.select("text", F.array_join(retrieve.literals(F.col("text")), ",").alias("found"))
 
 
+@query(
+    """WITH found AS (SELECT doc_id, list_concat(regexp_extract_all(text, '[''"]([^''"]+)[''"]', 1), regexp_extract_all(regexp_replace(text, '[''"][^''"]*[''"]', ' ', 'g'), '\\b(\\d+(?:\\.\\d+)?)\\b', 1)) AS f FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    low AS (SELECT doc_id, f, list_transform(f, lambda x: lower(x)) AS l FROM found)
+    SELECT doc_id, array_to_string(list_filter(f, lambda x, i: list_position(l, lower(x)) = i)[1:20], ',') AS found FROM low"""
+)
+def ret_document_literals(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.array_join(retrieve.literals(F.coalesce("text", F.lit(""))), ",").alias("found"))
+
+
 _PRINTED = "Schema_links: [a.b, c.d]\nLabel: \"NESTED\"\nsub_questions: [how many?; which one?]\nSQL: SELECT 1\nRevised_SQL: SELECT 2"
 
 

@@ -158,3 +158,11 @@ def test_matching_cells_against_brute_force(spark):
     for least in (0.85, 0.95, 0.3):
         got = {(r.query_id, v) for r in retrieve.matching_cells(held, asked, least).collect() for v in r["values"]}
         assert got == {(str(i), c) for i, p in enumerate(phrases) for c in cells if share(c, p) > least}
+
+
+@pytest.mark.parametrize("name", ["ret_question_cells", "ret_matching_cells", "ret_document_ngrams", "ret_document_literals"])
+def test_retrieval_over_tables_against_sql(spark, oracle, name):
+    if name.startswith("ret_document"):
+        oracle.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got, want = registry.queries()[name](spark, SF).toPandas(), oracle.execute(registry.oracle_sql()[name]).fetchdf()
+    assert len(got) and sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
