@@ -10,8 +10,11 @@ exhaustively on sketches of the signature, and what passes is confirmed on the
 full sets.
 
 Equal sets are one class from the start.  A node that is still large at DEPTH
-holds documents that are alike all over; such nodes are compared exactly, in
-the cells of a grid of blocks, and give only as many links as connect them.
+holds documents that are much alike: each member is confirmed against the node's
+representative, and only nodes whose members do not all belong together by then
+branch on, down to DEEPEST.  Where even the deepest nodes stay large and apart,
+all pairs of members that are not linked yet are compared on sketches, in the
+cells of a grid of blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.components import labels
-from palisade.llm.shared import forget, materialize, table
+from palisade.llm.shared import forget, materialize, small_batches, table, tidy
 
 #: Minwise tokens of a set; two bits of each form its sketch.
 SIGNATURE = 128
@@ -35,8 +38,14 @@ TREES = 20
 DEPTH = 3
 #: Members up to which a node is compared exhaustively.
 SMALL = 64
-#: Members of a block of a large node.
+#: Level at which large nodes that still are not of one group end.
+DEEPEST = 6
+#: Members of a block of such a node.
 BLOCK = 512
+#: Pairs of one set that are confirmed together; more are dealt out.
+PAIRS = 2048
+#: Distinct words whose hashes a task keeps, and letters of the longest.
+CACHE, CACHED_WORD = 1 << 17, 64
 #: Standard deviations of the sketch's estimate that a pair may lie below the wanted similarity.
 SLACK = 4.0
 _BLOOM_BITS = 1 << 25
@@ -48,14 +57,16 @@ def shingles(text: bytes | None, words: int, cache: dict) -> np.ndarray:
     tokens = (text or b"").lower().split()  # bytes: A-Z and [\x20\x09-\x0D] only
     if not tokens:
         return np.zeros(0, np.uint64)
-    if len(cache) > 1_000_000:
+    if len(cache) > CACHE:
         cache.clear()
     get, digest = cache.get, xxhash.xxh3_64_intdigest
     hashed = []
     for t in tokens:
         h = get(t)
         if h is None:
-            h = cache[t] = digest(t)
+            h = digest(t)
+            if len(t) <= CACHED_WORD:
+                cache[t] = h
         hashed.append(h)
     h = np.array(hashed, np.uint64)
     size = min(words, len(h))
@@ -125,7 +136,7 @@ def most_differing(similarity: float) -> int:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, k (64 of the set hash's 128 bits), k2, sig; of (id, text, others): also row, a number for each, and all but the id."""
+    """id, n, k and k2 (128 bits of the set's hash), sig, sketch; of (id, text, others): also row, a number for each, and all but the id."""
     names = docs.columns[1:] if len(docs.columns) > 2 else []
 
     def run(batches):
@@ -136,15 +147,17 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words, cache) for t in texts]
             keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
             full = [i for i, s in enumerate(sets) if len(s)]
-            sig: list = [None] * len(sets)
-            for i, row in zip(full, signatures([sets[i] for i in full])):
-                sig[i] = row.tobytes()
+            sig, two = [None] * len(sets), [None] * len(sets)
+            signed = signatures([sets[i] for i in full])
+            for i, row, bits in zip(full, signed, sketch(signed)):
+                sig[i], two[i] = row.tobytes(), bits.tobytes()
             more = [pa.array(np.arange(rows, rows + len(sets))), *(batch.column(c) for c in names)] if names else []
             rows += len(sets)
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sig, pa.binary()), *more], ["id", "n", "k", "k2", "sig", *(["row", *names] if names else [])])
+            own = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sig, pa.binary()), pa.array(two, pa.binary())]
+            yield pa.record_batch([*own, *more], ["id", "n", "k", "k2", "sig", "sketch", *(["row", *names] if names else [])])
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns}
-    return docs.mapInArrow(run, f"id {kinds['id']}, n long, k long, k2 long, sig binary" + "".join([", row long", *(f", {c} {kinds[c]}" for c in names)] if names else []))
+    return docs.mapInArrow(tidy(run), f"id {kinds['id']}, n long, k long, k2 long, sig binary, sketch binary" + "".join([", row long", *(f", {c} {kinds[c]}" for c in names)] if names else []))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -152,23 +165,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _children(nodes: DataFrame, similarity: float) -> DataFrame:
-    """path, k of the next level from (path, k, sig); the first level from (k, sig)."""
+    """path, c of the next level from (path, c, sig); the first level from (c, sig)."""
     root = "path" not in nodes.columns
 
     def run(batches):
         for batch in batches:
-            sig, k = _matrix(batch.column("sig")), batch.column("k").to_numpy()
-            for a in range(0, len(k), 2000):
-                part, own = sig[a : a + 2000], k[a : a + 2000]
+            sig, c = _matrix(batch.column("sig")), batch.column("c").to_numpy()
+            for a in range(0, len(c), 2000):
+                part, own = sig[a : a + 2000], c[a : a + 2000]
                 paths = [np.full(len(part), t * 0x9E3779B97F4A7C15 + 77 & 0xFFFFFFFFFFFFFFFF, np.uint64) for t in range(TREES)] if root else [batch.column("path").to_numpy()[a : a + 2000].view(np.uint64)]
                 for path in paths:
                     row, child = branch(path, part, similarity)
-                    yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(own[row])], ["path", "k"])
+                    yield pa.record_batch([pa.array(child.view(np.int64)), pa.array(own[row])], ["path", "c"])
 
-    return nodes.select(*([] if root else ["path"]), "k", "sig").mapInArrow(run, "path long, k long")
+    return nodes.select(*([] if root else ["path"]), "c", "sig").mapInArrow(tidy(run), "path long, c long")
 
 
-def _groups(batches, columns: tuple[str, ...], least: int = 100_000):
+def _groups(batches, columns: tuple[str, ...], least: int = 20_000):
     """Column arrays of whole groups; batches are sorted by the columns, and every group is of bounded size."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -198,79 +211,113 @@ _PAIRS = "a long, b long"
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.record_batch([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
 
-def _small_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs within small nodes whose sketches and sizes allow the similarity."""
+def _alike(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Whether sizes and sketches allow the similarity."""
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differing(s ^ t) <= most)
+
+
+def _small_pairs(nodes: DataFrame, similarity: float, small: int) -> DataFrame:
+    """Pairs within small nodes (path, c, n, sketch, label) of different labels whose sketches and sizes allow the similarity."""
     most = most_differing(similarity)
 
     def run(batches):
         for g in _groups(batches, ("path",)):
-            path, k, n, s = g["path"], g["k"], g["n"].astype(float), g["sketch"]
+            path, c, n, s, label = g["path"], g["c"], g["n"].astype(float), g["sketch"], g["label"]
             left, right = [], []
-            for shift in range(1, SMALL + 1):
-                at = np.flatnonzero(path[:-shift] == path[shift:])
+            for shift in range(1, small + 1):
+                at = np.flatnonzero((path[:-shift] == path[shift:]) & (label[:-shift] != label[shift:]))
                 if not len(at):
-                    break
-                at = at[np.minimum(n[at], n[at + shift]) >= similarity * np.maximum(n[at], n[at + shift]) - 1e-9]
-                at = at[differing(s[at] ^ s[at + shift]) <= most]
-                left.append(k[at])
-                right.append(k[at + shift])
+                    if not (path[:-shift] == path[shift:]).any():
+                        break
+                    continue
+                at = at[_alike(n[at], n[at + shift], s[at], s[at + shift], similarity, most)]
+                left.append(c[at])
+                right.append(c[at + shift])
             if left:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
-    return nodes.select("path", "k", "n", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(run, _PAIRS)
+    return nodes.select("path", "c", "n", "sketch", "label").repartition("path").sortWithinPartitions("path").mapInArrow(tidy(run), _PAIRS)
 
 
-def _dense_links(dense: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that join all that belongs together among the members (k, group) of large nodes.
+def _grid_pairs(live: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs within large nodes (path, c, n, sketch, label) of different labels that sketches and sizes allow.
 
-    A group's members are dealt to blocks; a cell compares two blocks exactly,
-    one member with all others at a time, and gives as many links as it takes
-    to connect what the links in this cell connect.
+    Members of a node's commonest label are in one group already; each other
+    member is compared with all, a block of these with a block of those in one
+    cell.
     """
-    sizes = dense.groupBy("group").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    cells = dense.join(sizes, "group").join(sets, "k").withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "raw")
+    most = most_differing(similarity)
+    per = live.groupBy("path", "label").agg(F.count("*").alias("own"))
+    main = per.groupBy("path").agg(F.sum("own").alias("members"), F.max(F.struct("own", "label")).alias("main")).select("path", "members", F.col("main.label").alias("main"), (F.col("members") - F.col("main.own")).alias("rest"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    rows = live.join(main, "path").withColumn("i", F.pmod(F.xxhash64("c"), blocks("rest")).cast("int")).withColumn("j", F.pmod(F.xxhash64("c"), blocks("members")).cast("int"))
+    columns = ["path", "i", "j", "first", "c", "n", "sketch", "label"]
+    rest = rows.filter("label <> main").withColumn("j", F.explode(F.sequence(F.lit(0), blocks("members") - 1))).withColumn("first", F.lit(True))
+    every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("rest") - 1))).withColumn("first", F.lit(False))
 
     def run(batches):
-        for g in _groups(batches, ("group", "i", "j"), 2 * BLOCK):
-            cell = np.stack([g["group"], g["i"], g["j"]], 1)
+        for g in _groups(batches, ("path", "i", "j"), 2 * block):
+            cell = np.stack([g["path"], g["i"], g["j"]], 1)
             new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
-            left, right = [], []
             for a, b in zip(new, np.append(new[1:], len(cell))):
-                for x, y in connecting(g["raw"][a:b], percent):
-                    left.append(g["k"][a + x])
-                    right.append(g["k"][a + y])
-            yield _pair_batch(np.array(left, np.int64), np.array(right, np.int64))
-
-    return cells.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(run, _PAIRS)
-
-
-def connecting(raws: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Similar pairs among packed sets, as many as connect what all similar pairs connect."""
-    if len(raws) < 2:
-        return []
-    sets = [_wide(r) for r in raws]
-    size = np.array([len(s) for s in sets])
-    starts = np.cumsum(size) - size
-    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
-    label, out, held = np.arange(len(sets)), [], np.zeros(len(distinct), np.int64)
-    for x in range(len(sets)):
-        own = number[starts[x] : starts[x] + size[x]]
-        held[own] = 1
-        shared = np.add.reduceat(held[number], starts)
-        held[own] = 0
-        like = np.flatnonzero((100 * shared >= percent * (size + size[x] - shared)) & (label != label[x]))
-        if len(like):
-            groups, first = np.unique(label[like], return_index=True)
-            out += [(x, int(y)) for y in like[first]]
-            label[np.isin(label, groups)] = label[x]
-    return out
+                first = g["first"][a:b].astype(bool)
+                c, n, s, label = (g[x][a:b][~first] for x in ("c", "n", "sketch", "label"))
+                for x in np.flatnonzero(first) + a:
+                    good = _alike(n, g["n"][x], s, g["sketch"][x], similarity, most) & (label != g["label"][x])
+                    if good.any():
+                        yield _pair_batch(c[good], np.full(int(good.sum()), g["c"][x]))
+
+    cells = rest.select(columns).unionByName(every.select(columns))
+    return cells.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(tidy(run), _PAIRS)
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the label of their c by the links; a c without a link is its own."""
+    own = labels(links, "dup-groups").select(F.col("node").alias("c"), "label")
+    return rows.drop("label").join(own, "c", "left").withColumn("label", F.coalesce("label", "c"))
+
+
+def _deeper(dense: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, small: int, block: int, deepest: int) -> DataFrame:
+    """The links, and those that large nodes (path, c) of level DEPTH hold beside them."""
+    similarity, own = percent / 100, classes.select("c", "n", "sketch")
+    for depth in range(DEPTH, deepest + 1):
+        hubs = dense.groupBy("path").agg(F.min("c").alias("a"))
+        found = _confirmed(dense.join(hubs, "path").filter("a <> c").select("a", F.col("c").alias("b")).distinct(), sets, percent)
+        links = materialize(links.unionByName(found), "dup-links")
+        rows = _labelled(dense, links)
+        apart = rows.groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("path")
+        live = materialize(rows.join(apart, "path", "left_semi").join(own, "c"), "dup-live")
+        forget(dense)
+        if not live.take(1):
+            return links
+        if depth == deepest:
+            break
+        level = materialize(_children(live.join(classes.select("c", "sig"), "c"), similarity), "dup-nodes")
+        labelled = live.select("c", "label").distinct()
+        less, more = _parted(level, own.join(labelled, "c"), small)
+        pairs = materialize(_small_pairs(less, similarity, small).distinct(), "dup-pairs")
+        links = materialize(links.unionByName(_confirmed(pairs, sets, percent)), "dup-links")
+        dense = materialize(more.select("path", "c"), "dup-dense")
+        forget(level)
+        if not dense.take(1):
+            return links
+    pairs = materialize(_grid_pairs(live, similarity, block).distinct(), "dup-pairs")
+    return links.unionByName(_confirmed(pairs, sets, percent))
+
+
+def _parted(level: DataFrame, own: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Members of small and of large nodes of a level (path, c), with what own says of each c; nodes of one member are gone."""
+    sizes = level.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
+    live = materialize(level.join(sizes, "path").join(own, "c"), "dup-live")
+    return live.filter(F.col("members") <= small), live.filter(F.col("members") > small)
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -278,7 +325,7 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """k, raw: the full sets (48 bits of each hash) of the classes wanted (k).
+    """c, raw: the full sets (48 bits of each hash) of the classes wanted (c, k, k2).
 
     A bit array of fixed size keeps most other documents' sets from being
     shuffled; where it is full, they merely travel.
@@ -292,38 +339,53 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches):
         bits, cache = sent.value, {}
         for batch in batches:
-            keys, raws = [], []
+            keys, others, raws = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingles(text, words, cache)
-                k = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]
-                p = int(k) % _BLOOM_BITS
+                k, k2 = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist()
+                p = k % _BLOOM_BITS
                 if len(s) and int(bits[p >> 6]) >> (p & 63) & 1:
                     keys.append(k)
+                    others.append(k2)
                     raws.append(np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(raws, pa.binary())], ["k", "raw"])
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(others, pa.int64()), pa.array(raws, pa.binary())], ["k", "k2", "raw"])
 
-    found = docs.select("text").mapInArrow(run, "k long, raw binary")
-    return found.groupBy("k").agg(F.first("raw").alias("raw")).join(wanted, "k", "left_semi")
+    found = docs.select("text").mapInArrow(tidy(run), "k long, k2 long, raw binary")
+    return found.groupBy("k", "k2").agg(F.first("raw").alias("raw")).join(wanted, ["k", "k2"]).select("c", "raw")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
+    """The pairs (a, b; distinct) whose full sets reach the similarity.
+
+    b's set travels with its pair, a's once for each PAIRS of its pairs, to which
+    these are dealt.
+    """
+    per = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    first = per.join(sets.withColumnRenamed("c", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "raw")
+    dealt = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b")
+    rows = dealt.join(sets.withColumnRenamed("c", "b"), "b").select("a", "part", "b", "raw").unionByName(first)
 
     def run(batches):
+        own = None
         for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                both = np.concatenate([_wide(x), _wide(y)])
+            for i, raw in enumerate(batch.column("raw")):
+                x = _wide(raw.as_buffer())
+                if b[i] is None:  # comes before the pairs of its part
+                    own = x
+                    continue
+                both = np.concatenate([own, x])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if 100 * shared >= percent * (len(both) - shared):
+                    good.append(i)
+            yield pa.record_batch([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
-    left = pairs.join(sets.select(F.col("k").alias("a"), F.col("raw").alias("x")), "a")
-    return left.join(sets.select(F.col("k").alias("b"), F.col("raw").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, _PAIRS)
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(tidy(run), _PAIRS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, deepest: int = DEEPEST) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
     Links join rows whose sets of word shingles have 100 * intersection >=
@@ -333,10 +395,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     then component_id is null, and kept is true where both are null.  Rows with
     equal ids are judged by their own texts.  An empty table gives an empty one.
     """
-    signed, belongs = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), words, percent)
-    out = signed.select("id", "n", "k").join(belongs.drop("label"), "k", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    signed, belongs = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), words, percent, small, block, deepest)
+    own = signed.select("id", "n", "k", "k2")
+    linked = own.filter("n > 0").join(belongs.drop("label"), ["k", "k2"], "left").select("id", "n", "component_id")
+    out = linked.unionByName(own.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -347,64 +410,54 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     columns; of equal rows one.  Rows with an empty set all stay.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)], F.lit(0).alias("end"))
-    signed, belongs = _grouped(source, words, percent)
+    signed, belongs = _grouped(source, words, percent, SMALL, BLOCK, DEEPEST)
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64(*source.columns).alias("hash"), "row")
-    least = signed.filter("n > 0").groupBy("k").agg(F.min(order).alias("first"))  # first of each set, then of each group
-    first = least.join(belongs.select("k", "label"), "k").groupBy("label").agg(F.min("first").alias("first"))
-    stay = signed.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").unionByName(signed.filter("n = 0"))
+    least = signed.filter("n > 0").groupBy("k", "k2").agg(F.min(order).alias("first"))  # first of each set, then of each group
+    first = least.join(belongs.select("k", "k2", "label"), ["k", "k2"]).groupBy("label").agg(F.min("first").alias("first"))
+    stay = signed.join(first.select(F.col("first.row").alias("row")), "row", "left_semi").unionByName(signed.filter("n = 0").select("row", *[c for c in signed.columns if c != "row"]))
     return stay.select(F.col("id").alias(id_col), F.col("text").cast("string").alias(text_col), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def _grouped(rows: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What _signed makes of the rows (id, text, others); and of each set its group and the group's smallest id (k, label, component_id)."""
+def _grouped(rows: DataFrame, words: int, percent: int, small: int, block: int, deepest: int) -> tuple[DataFrame, DataFrame]:
+    """What _signed makes of the rows (id, text, others); and of each set its group and the group's smallest id (k, k2, label, component_id).
+
+    Sets are told apart by 128 bits; a number c stands for each from there on.
+    """
+    small_batches(rows.sparkSession)
     similarity, source = percent / 100, rows.select("id", "text")
     signed = materialize(_signed(rows, words), "dup-signed")
-    classes = signed.filter("n > 0").groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(classes, "dup-classes")
-    two = _sketches(classes)
+    classes = signed.filter("n > 0").groupBy("k", "k2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "dup-classes")
+    own = classes.select("c", "n", "sketch", F.col("c").alias("label"))
 
     pairs, level, dense = [], materialize(_children(classes, similarity), "dup-nodes"), None
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
-        live = materialize(level.join(sizes, "path").join(two, "k"), "dup-live")
+        less, more = _parted(level, own, small)
         forget(level)
-        pairs.append(_small_pairs(live.filter(F.col("members") <= SMALL), similarity))
-        large = live.filter(F.col("members") > SMALL)
-        if not large.take(1):
+        pairs.append(_small_pairs(less, similarity, small))
+        if not more.take(1):
             break
         if depth < DEPTH:
-            level = materialize(_children(large.select("path", "k").join(classes.select("k", "sig"), "k"), similarity), "dup-nodes")
+            level = materialize(_children(more.select("path", "c").join(classes.select("c", "sig"), "c"), similarity), "dup-nodes")
         else:
-            dense = large.select("path", "k")
+            dense = more.select("path", "c")
     all_pairs = pairs[0]
-    for more in pairs[1:]:
-        all_pairs = all_pairs.unionByName(more)
+    for more_pairs in pairs[1:]:
+        all_pairs = all_pairs.unionByName(more_pairs)
     candidates = materialize(all_pairs.distinct(), "dup-pairs")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("k"))
-    if dense is not None:  # large nodes of different trees that share members are one group, so that a pair is compared once
-        hubs = dense.groupBy("path").agg(F.min("k").alias("a"))
-        groups = labels(dense.join(hubs, "path").select("a", F.col("k").alias("b")).distinct()).select(F.col("node").alias("k"), F.col("label").alias("group"))
-        wanted = wanted.unionByName(groups.select("k"))
-    sets = materialize(_sets_of(source, wanted.distinct(), words), "dup-sets")
-    links = _confirmed(candidates, sets, percent)
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("c"))
     if dense is not None:
-        links = links.unionByName(_dense_links(groups, sets, percent))
+        wanted = wanted.unionByName(dense.select("c"))
+    wanted = materialize(classes.select("c", "k", "k2").join(wanted.distinct(), "c", "left_semi"), "dup-wanted")
+    sets = materialize(_sets_of(source, wanted, words), "dup-sets")
+    links = materialize(_confirmed(candidates, sets, percent), "dup-links")
+    if dense is not None:
+        links = _deeper(dense, classes, sets, links, percent, small, block, deepest)
     label = labels(links)
     forget(sets)
-    named = classes.select("k", "least").join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    named = classes.select("c", "k", "k2", "least").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return signed, named.join(smallest, "label").select("k", "label", "component_id")
-
-
-def _sketches(classes: DataFrame) -> DataFrame:
-    """k, n, sketch."""
-
-    def run(batches):
-        for batch in batches:
-            raw = sketch(_matrix(batch.column("sig")))
-            yield pa.record_batch([batch.column("k"), batch.column("n"), pa.array([r.tobytes() for r in raw], pa.binary())], ["k", "n", "sketch"])
-
-    return classes.select("k", "n", "sig").mapInArrow(run, "k long, n long, sketch binary")
+    return signed, named.join(smallest, "label").select("k", "k2", "label", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

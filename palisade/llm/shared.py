@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or (tests, one machine) an own one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="palisade-"))
     return "file://" + _own_folder[0]
@@ -68,6 +75,35 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Bytes of rows that cross to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches for Python workers are cut by bytes, so that long texts need no more memory than short ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def tidy(run: Callable[[Iterator], Iterator], after: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """run, at whose end the worker gives back what it has freed: the same process serves later tasks, of other operators too."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return whole
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

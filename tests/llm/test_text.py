@@ -137,6 +137,18 @@ def test_near_duplicates_against_all_pairs(docs_of, words):
     assert len(got) == len(rows) and set(map(tuple, got)) == brute_near(rows, words, 80)
 
 
+def test_large_nodes_against_all_pairs(docs_of):
+    """Nodes of more than a few members branch on, and end in the grid, as those of thousands would."""
+    pick = random.Random(15)
+    shared, rows = [f"s{i}" for i in range(120)], near_rows()
+    for i in range(90):  # half of them boilerplate: alike, but mostly not enough
+        own = [f"o{i % 45}x{k}" for k in range(pick.choice([20, 28, 36, 90]))]
+        rows.append((1000 + i, " ".join(shared + own)))
+    for deepest in (3, 6):
+        got = near_dup.near_duplicates(docs_of(rows), words=5, small=3, block=4, deepest=deepest).select("doc_id", "n_shingles", "component_id", "kept").collect()
+        assert len(got) == len(rows) and set(map(tuple, got)) == brute_near(rows, 5, 80)
+
+
 def test_near_duplicates_of_the_table(spark):
     rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()]
     got = near_dup.query(spark, SF).select("doc_id", "n_shingles", "component_id", "kept").collect()
