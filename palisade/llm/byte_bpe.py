@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import scan
-from palisade.llm.shared import table, text_or_empty
+from palisade.llm.shared import small_batches, table, text_or_empty, tidy
 
-#: Distinct pre-tokens a worker keeps; the cache starts afresh beyond.
-CACHE = 800_000
+#: Distinct pre-tokens that a task keeps, of eight ids each on average; the cache starts afresh beyond.
+CACHE = 1 << 17
 
 
 def merge(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
@@ -70,9 +70,10 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
-        self._fresh()
+        self.bytes, self.at = np.frombuffer(b"".join(self.tokens.tolist()), np.uint8), np.cumsum(self.lengths) - self.lengths
+        self.fresh()
 
-    def _fresh(self) -> None:
+    def fresh(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -96,8 +97,8 @@ class ByteBpe:
         """Ids of each text."""
         out: list[np.ndarray] = []
         for a, b in scan.groups([len(t) for t in texts]):
-            if len(self.index) > CACHE:
-                self._fresh()
+            if len(self.index) > CACHE or self.used > 8 * CACHE:
+                self.fresh()
             parts, counts = scan.pieces(texts[a:b])
             index, learn = self.index.get, self._learn
             found = np.fromiter([k if (k := index(p)) is not None else learn(p) for p in parts], np.int64, len(parts))
@@ -115,8 +116,16 @@ class ByteBpe:
         size = self.lengths[ids]
         return np.cumsum(size) - size
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(self.tokens[ids].tolist())
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> bytes:
+        """The bytes of the tokens, each laid at its offset in one buffer."""
+        if not len(ids):
+            return b""
+        size = self.lengths[ids]
+        out = np.zeros(int((offsets + size).max()), np.uint8)
+        ends = np.cumsum(size)
+        within = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        out[np.repeat(offsets, size) + within] = self.bytes[np.repeat(self.at[ids], size) + within]
+        return out.tobytes()
 
 
 @lru_cache(2)
@@ -135,6 +144,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     separate; a text of any length is encoded whole; an empty table gives an
     empty one.  No shuffle takes place.
     """
+    small_batches(df.sparkSession)
     rest = [f"_keep{i}" for i in range(len(keep))]
     source = df.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *[F.col(c).alias(r) for c, r in zip(keep, rest)])
 
@@ -148,20 +158,21 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([batch.column("_id")[a:b], *lists, *(batch.column(r)[a:b] for r in rest)], ["_id", "ids", "offsets", *rest])
 
     types = [f"{c} {source.schema[c].dataType.simpleString()}" for c in ("_id", *rest)]
-    out = source.mapInArrow(run, f"{types[0]}, ids array<int>, offsets array<int>{''.join(', ' + t for t in types[1:])}")
+    out = source.mapInArrow(tidy(run, lambda: codec(path).fresh()), f"{types[0]}, ids array<int>, offsets array<int>{''.join(', ' + t for t in types[1:])}")
     return out.select(F.col("_id").alias(id_col), "ids", "offsets", *[F.col(r).alias(c) for c, r in zip(keep, rest)])
 
 
-def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: id, decoded binary.  Null or empty ids decode to no bytes."""
+def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
+    """One row per input row: id, decoded binary; each token's bytes stand at its offset.  Null or empty ids decode to no bytes."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         own = codec(path)
         for batch in batches:
-            raw = [own.decode(np.asarray(i, np.int64)) if i else b"" for i in batch.column(1).to_pylist()]
+            raw = [own.decode(np.asarray(i, np.int64), np.asarray(at, np.int64)) if i else b"" for i, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.record_batch([batch.column(0), pa.array(raw, pa.binary())], [id_col, "decoded"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")
+    return df.select(id_col, ids_col, offsets_col).mapInArrow(tidy(run), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,6 +180,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     Spares the ids two crossings between Python and the JVM.
     """
+    small_batches(df.sparkSession)
 
     def run(batches):
         own = codec(path)
@@ -177,13 +189,13 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             rows = []
             for a, b in scan.groups([len(t) for t in texts], 1 << 22):
                 for ids in own.encode(texts[a:b]):
-                    raw = own.decode(ids)
+                    raw = own.decode(ids, own.offsets(ids))
                     rows.append((len(ids), len(raw), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()))
             n, size, first, second = zip(*rows) if rows else ((), (), (), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], [id_col, "n_tokens", "n_bytes", "ids_sha256", "decoded_sha256"])
 
     source = df.select(id_col, text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(tidy(run, lambda: codec(path).fresh()), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, n_bytes long, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -22,8 +22,9 @@ from itertools import groupby
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from palisade.llm.shared import table, text_or_empty
+from palisade.llm.shared import small_batches, table, text_or_empty
 
 #: A turn is "### Role: text</turn>\n"; inside roles and texts the characters
 #: that could start a control string carry a backslash, as backslashes do.
@@ -480,7 +481,8 @@ def format_conversations(df: DataFrame, template: str = DEFAULT, conv_col: str =
             yield pa.record_batch([pa.array([conv], kind), pa.array([text]), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["conv_id", "formatted", "loss_spans"])
 
     compile_template(template)  # errors show here, not in a task
-    kind = pa.int64() if df.schema[conv_col].dataType.simpleString() == "bigint" else None
+    small_batches(df.sparkSession)
+    kind = to_arrow_type(df.schema[conv_col].dataType)
     return _in_order(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, f"conv_id {df.schema[conv_col].dataType.simpleString()}, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
@@ -506,7 +508,8 @@ def read_back(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    kind = pa.int64() if df.schema[conv_col].dataType.simpleString() == "bigint" else None
+    small_batches(df.sparkSession)
+    kind = to_arrow_type(df.schema[conv_col].dataType)
     return _in_order(df, conv_col, turn_col, role_col, text_col).mapInArrow(run, f"conv_id {df.schema[conv_col].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

@@ -36,15 +36,50 @@ def restore(code: np.ndarray) -> np.ndarray:
     return table[code]
 
 
+#: Every how manieth one and zero of the unary code has its position kept.
+SAMPLE = 16
+_ONE = np.uint64(1)
+_HALVES = tuple(np.uint64(k) for k in (32, 16, 8, 4, 2, 1))
+
+
+def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 64 bits from each position on; the array ends with a word of padding."""
+    word, off = at >> 6, (at & 63).astype(np.uint64)
+    high = words[word + 1] << (np.uint64(63) - off) << _ONE
+    return words[word] >> off | high
+
+
+def _in_word(v: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th one (from 0) of each word."""
+    place = np.zeros(len(v), np.int64)
+    for k in _HALVES:
+        below = np.bitwise_count(v & ((_ONE << k) - _ONE)).astype(np.int64)
+        go = below <= r
+        r = np.where(go, r - below, r)
+        v = np.where(go, v >> k, v)
+        place += np.where(go, int(k), 0)
+    return place
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest bits of the values end to end in 64-bit words, and two words of padding."""
+    out, bits = [], np.arange(width, dtype=np.uint64)
+    for a in range(0, len(values) if width else 0, 1 << 15):
+        part = values[a : a + (1 << 15)]
+        part = np.concatenate([part, np.zeros(-len(part) % 64, np.uint64)])  # 64 values fill whole words
+        out.append(np.packbits((part[:, None] >> bits & _ONE).astype(np.uint8), bitorder="little").view(np.uint64))
+    return np.concatenate([*out, np.zeros(2, np.uint64)])
+
+
 class EliasFano:
-    """Monotone non-decreasing unsigned integers."""
+    """Monotone non-decreasing unsigned integers: packed low bits, and high parts in unary as packed bits with sampled positions.
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.width, self.low, self.high = n, width, low, high
-        bits = np.unpackbits(high, bitorder="little")
-        # where the values with each high part begin: the zeros of the unary code, less their own number
-        zeros = np.flatnonzero(bits == 0)
-        self.bucket = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.int64)
+    The unary code begins with a zero: zero t stands before the values whose
+    high part is t, one i is value i.
+    """
+
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray, tops: int):
+        self.n, self.width, self.low, self.high, self.zeros, self.ones, self.tops = n, width, low, high, zeros, ones, tops
 
     @classmethod
     def encode(cls, values: np.ndarray) -> "EliasFano":
@@ -52,47 +87,78 @@ class EliasFano:
         n = len(values)
         u = int(values[-1]) + 1 if n else 1
         width = max(0, (u // max(n, 1)).bit_length() - 1)
-        if width > 32:
-            stored, low = 64, values & np.uint64((1 << width) - 1)
-        else:
-            stored = 8 if width <= 8 else 16 if width <= 16 else 32
-            low = (values & np.uint64((1 << width) - 1)).astype({8: np.uint8, 16: np.uint16, 32: np.uint32}[stored])
         top = (values >> np.uint64(width)).astype(np.int64)
-        bits = np.zeros(n + int(top[-1] if n else 0) + 2, np.uint8)
-        bits[top + np.arange(n)] = 1
-        return cls(n, width, low, np.packbits(bits, bitorder="little"))
+        tops = int(top[-1] if n else 0) + 2  # high parts with a zero before and a zero behind
+        bits = np.zeros(n + tops + 1 + 63 & ~63, np.uint8)
+        bits[top + np.arange(n) + 1] = 1
+        kind = np.uint32 if len(bits) < 1 << 32 else np.uint64
+        zeros, ones = (np.flatnonzero(bits[: n + tops + 1] == x)[::SAMPLE].astype(kind) for x in (0, 1))
+        high = np.concatenate([np.packbits(bits, bitorder="little").view(np.uint64), np.zeros(2, np.uint64)])
+        return cls(n, width, _packed(values, width), high, zeros, ones, tops)
+
+    def _select(self, k: np.ndarray, sample: np.ndarray, flip: bool) -> np.ndarray:
+        """Position of the k-th one (flip: zero) of the unary code."""
+        at, r = sample[k // SAMPLE].astype(np.int64), k % SAMPLE
+        out, open_ = np.empty(len(k), np.int64), np.arange(len(k))
+        while len(open_):
+            v = _window(self.high, at)
+            v = ~v if flip else v
+            inside = np.bitwise_count(v).astype(np.int64)
+            hit = inside > r
+            out[open_[hit]] = at[hit] + _in_word(v[hit], r[hit])
+            open_, at, r = open_[~hit], at[~hit] + 64, (r - inside)[~hit]
+        return out
+
+    def _range(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the values with each high part begin and end."""
+        zero = self._select(top, self.zeros, True)
+        end, open_, at = np.empty(len(top), np.int64), np.arange(len(top)), zero + 1
+        while len(open_):  # the next zero
+            v = ~_window(self.high, at)
+            hit = v != 0
+            w = v[hit]
+            end[open_[hit]] = at[hit] + np.bitwise_count((w & (~w + _ONE)) - _ONE)
+            open_, at = open_[~hit], at[~hit] + 64
+        return zero - top, end - top - 1
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        if not self.width:
+            return np.zeros(len(at), np.uint64)
+        return _window(self.low, at * self.width) & np.uint64((1 << self.width) - 1)
 
     def access(self, at: np.ndarray) -> np.ndarray:
-        top = np.searchsorted(self.bucket, at, side="right") - 1
-        return (top.astype(np.uint64) << np.uint64(self.width)) | self.low[at].astype(np.uint64)
+        top = self._select(at.astype(np.int64), self.ones, False) - at - 1
+        return (top.astype(np.uint64) << np.uint64(self.width)) | self._low(at)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Index of the first stored value that is not below each of the values; n if there is none."""
+        return self._search(values)[0]
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The successor of each value, and whether it is the value itself."""
         values = values.astype(np.uint64)
         top = (values >> np.uint64(self.width)).astype(np.int64)
-        beyond = top >= len(self.bucket) - 1
+        beyond = top >= self.tops
         top[beyond] = 0
-        at, end = self.bucket[top], self.bucket[top + 1]
+        low, end = self._range(top)
+        high, last = end.copy(), end
         want = values & np.uint64((1 << self.width) - 1)
-        low, high = at.copy(), np.minimum(end, self.n)
         open_ = np.flatnonzero(low < high)
         while len(open_):  # binary search among values with the same high part
             middle = (low[open_] + high[open_]) >> 1
-            below = self.low[middle] < want[open_]
+            below = self._low(middle) < want[open_]
             low[open_[below]] = middle[below] + 1
             high[open_[~below]] = middle[~below]
             open_ = open_[low[open_] < high[open_]]
+        same = (low < last) & ~beyond
+        same[same] = self._low(low[same]) == want[same]
         low[beyond] = self.n
-        return low
+        return low, same
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, -1 if it is not stored."""
-        at = self.successor(values)
-        inside = np.flatnonzero(at < self.n)
-        hit = self.access(at[inside]) == values[inside].astype(np.uint64)
-        out = np.full(len(values), -1, np.int64)
-        out[inside[hit]] = at[inside[hit]]
-        return out
+        at, same = self._search(values)
+        return np.where(same, at, -1)
 
 
 class Trie:
@@ -103,8 +169,8 @@ class Trie:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.parts = parts
         for name in self.LEVELS:
-            n, width = (int(x) for x in parts[name + ".head"])
-            setattr(self, name, EliasFano(n, width, parts[name + ".low"], parts[name + ".high"]))
+            n, width, tops = (int(x) for x in parts[name + ".head"])
+            setattr(self, name, EliasFano(n, width, *(parts[f"{name}.{x}"] for x in ("low", "high", "zeros", "ones")), tops))
         self.vocabulary, self.universe = parts["vocabulary"], np.uint64(max(1, len(parts["vocabulary"])))
         for name in ("follow_p", "word_rest", "pair_p", "pair_rest"):
             setattr(self, name, parts[name])
@@ -157,7 +223,7 @@ class Trie:
         parts = {"vocabulary": vocabulary, "widest": np.array([widest]), "follow_p": quantise(follow_p), "word_rest": quantise(word_rest), "pair_p": quantise(pair_p), "pair_rest": quantise(pair_rest)}
         for name, values in levels.items():
             coded = EliasFano.encode(values)
-            parts |= {name + ".head": np.array([coded.n, coded.width]), name + ".low": coded.low, name + ".high": coded.high}
+            parts |= {name + ".head": np.array([coded.n, coded.width, coded.tops])} | {f"{name}.{x}": getattr(coded, x) for x in ("low", "high", "zeros", "ones")}
         return cls(parts)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
@@ -199,9 +265,6 @@ class Trie:
         given[at[both[good]]] += restore(self.pair_p[third[good]])
         return given, rest
 
-    def save(self, path: str) -> None:
-        np.savez(path, **self.parts)
-
     def mapped(self) -> "Trie":
         """The same trie over a memory-mapped file, which has no name any more and goes with the process."""
         sizes = {k: v.nbytes for k, v in self.parts.items()}

@@ -14,11 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import scan
-from palisade.llm.shared import forget, materialize, table, text_or_empty
+from palisade.llm.shared import forget, materialize, small_batches, table, text_or_empty, tidy
 
 _STRIP = b" \t\n\x0b\x0c\r"
 #: Keys in one shard, on average.
@@ -154,17 +155,17 @@ def count_lines(docs: DataFrame, text_col: str = "text", least: int = 1) -> Data
         if gathered:
             yield out()
 
-    parts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "h1 long, h2 long, n long")
+    parts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(tidy(run), "h1 long, h2 long, n long")
     return parts.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
 
-def build_index(counted: DataFrame, least_docs: int) -> tuple[DataFrame, int, int]:
+def build_index(counted: DataFrame, least_docs: int, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
     """Shards (shard, blob) over the hashes found in least_docs documents, their number, and all their bytes.
 
     Hashes of fewer documents can't drop a line and stay outside.
     """
     frequent = materialize(counted.filter(F.col("n") >= least_docs), "lines-frequent")
-    shards = max(1, -(-frequent.count() // SHARD_KEYS))
+    shards = max(1, -(-frequent.count() // shard_keys))
     number = F.pmod(F.shiftrightunsigned("h1", 32), F.lit(shards)).cast("int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -176,59 +177,112 @@ def build_index(counted: DataFrame, least_docs: int) -> tuple[DataFrame, int, in
     return built, shards, total
 
 
-def drop_common_lines(docs: DataFrame, least_docs: int = 10, least: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def _broadcast_shards(built: DataFrame, shards: int, passes: int, k: int):
+    blobs = {r["shard"]: bytes(r["blob"]) for r in built.filter(F.pmod("shard", F.lit(passes)) == k).toLocalIterator()}
+    return built.sparkSession.sparkContext.broadcast((blobs, shards))
+
+
+def _kept(lines: list[str], gone: np.ndarray) -> str:
+    return "\n".join([x for x, g in zip(lines, gone) if not g]) if gone.any() else "\n".join(lines)
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
+    return [batch.column(c) for c in ("_id", *names)]
+
+
+def _in_one_pass(source: DataFrame, names: list[str], schema: str, sent, least: int, least_docs: int) -> DataFrame:
+    def run(batches):
+        index = Shards(*sent.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            first, second, third = [], [], []
+            for a, b in scan.groups([len(t) for t in texts], 1 << 22):
+                all_ = [line_hashes(t, least) for t in texts[a:b]]
+                hit = index.counts(np.concatenate([h for _, h, _ in all_])) >= least_docs
+                at = 0
+                for lines, _, long in all_:
+                    gone = hit[at : at + len(lines)] & long
+                    at += len(lines)
+                    first.append(_kept(lines, gone))
+                    second.append(len(lines))
+                    third.append(int(gone.sum()))
+            yield pa.record_batch([*_columns(batch, names), pa.array(first, pa.string()), pa.array(second, pa.int64()), pa.array(third, pa.int64())], ["_id", *names, "kept_text", "n_lines", "n_dropped"])
+
+    return source.mapInArrow(tidy(run), schema)
+
+
+def _in_many_passes(source: DataFrame, names: list[str], schema: str, built: DataFrame, shards: int, passes: int, least: int, least_docs: int) -> DataFrame:
+    """Texts are written once, each hash to the pass that knows its shard; what the passes find are places of lines, which are joined to the texts last."""
+    kinds = {f.name: f.dataType.simpleString() for f in source.schema}
+
+    def number(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.arange(row, row + batch.num_rows)), *batch.columns], ["row", *batch.schema.names])
+            row += batch.num_rows
+
+    numbered = materialize(source.mapInArrow(number, "row long, " + ", ".join(f"{c} {kinds[c]}" for c in source.columns)), "lines-texts")
+
+    def probes(batches):
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+                _, hashes, long = line_hashes(text, least)
+                at = np.flatnonzero(long)
+                h = hashes[at]
+                turn = (h[:, 0] >> np.uint64(32)) % np.uint64(shards) % np.uint64(passes)
+                yield pa.record_batch([pa.array(turn.astype(np.int32)), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int32)), pa.array(h[:, 0].view(np.int64) if len(at) else [], pa.int64()), pa.array(np.ascontiguousarray(h[:, 1]).view(np.int64), pa.int64())], ["turn", "row", "at", "h1", "h2"])
+
+    asked = materialize(numbered.select("row", "text").mapInArrow(tidy(probes), "turn int, row long, at int, h1 long, h2 long"), "lines-probes", ["turn"])
+    found = None
+    for k in range(passes):
+        sent = _broadcast_shards(built, shards, passes, k)
+
+        def probe(batches, sent=sent):
+            index = Shards(*sent.value)
+            for batch in batches:
+                hashes = np.stack([batch.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2")], 1)
+                yield batch.select(["row", "at"]).filter(pa.array(index.counts(hashes) >= least_docs))
+
+        hits = materialize(asked.filter(F.col("turn") == k).select("row", "at", "h1", "h2").mapInArrow(tidy(probe), "row long, at int"), "lines-hits")
+        found = hits if found is None else found.unionByName(hits)
+    drops = found.groupBy("row").agg(F.collect_list("at").alias("drop"))  # lines of one document at most
+
+    def run(batches):
+        for batch in batches:
+            first, second, third = [], [], []
+            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist()):
+                lines = text.split("\n")
+                gone = np.zeros(len(lines), bool)
+                gone[drop or []] = True
+                first.append(_kept(lines, gone))
+                second.append(len(lines))
+                third.append(int(gone.sum()))
+            yield pa.record_batch([*_columns(batch, names), pa.array(first, pa.string()), pa.array(second, pa.int64()), pa.array(third, pa.int64())], ["_id", *names, "kept_text", "n_lines", "n_dropped"])
+
+    return numbered.join(drops, "row", "left").mapInArrow(tidy(run), schema)
+
+
+def drop_common_lines(docs: DataFrame, least_docs: int = 10, least: int = 1, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pass_bytes: int = PASS_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per input row: id, kept_text, n_lines, n_dropped and the columns in keep.
 
     A line's key is the line without white space ([\\x20\\x09-\\x0D]) at its
     ends and with A-Z lower-cased.  Keys of at least `least` code points that
     are found in at least least_docs rows (repeated rows count each) lose all
     their lines.  A null or empty text is one empty line.  An empty table gives
-    an empty one.  Very many common lines are probed in several passes of
-    PASS_BYTES each, between which texts are written to the shared folder.
+    an empty one.  Shards of more than pass_bytes are probed in several passes,
+    each of which reads the hashes that its shards know.
     """
-    spark = docs.sparkSession
-    built, shards, total = build_index(count_lines(docs, text_col, least), least_docs)
-    passes = max(1, -(-int(total) // PASS_BYTES))
-    kept = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
+    small_batches(docs.sparkSession)
+    built, shards, total = build_index(count_lines(docs, text_col, least), least_docs, shard_keys)
+    passes = min(shards, max(1, -(-int(total) // pass_bytes)))
     names = [f"_keep{i}" for i in range(len(keep))]
-    now = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"), F.array().cast("array<int>").alias("drop"), *kept)
-    types = {f.name: f.dataType.simpleString() for f in now.schema}
-    for k in range(passes):
-        blobs = {r["shard"]: bytes(r["blob"]) for r in built.filter(F.pmod("shard", F.lit(passes)) == k).toLocalIterator()}
-        sent = spark.sparkContext.broadcast((blobs, shards))
-        last = k == passes - 1
-
-        def run(batches, sent=sent, last=last):
-            index = Shards(*sent.value)
-            for batch in batches:
-                texts, drops = batch.column("text").to_pylist(), batch.column("drop").to_pylist()
-                rest = [batch.column(c) for c in ("_id", *names)]
-                first, second, third = [], [], []
-                for a, b in scan.groups([len(t) for t in texts], 1 << 22):
-                    all_ = [line_hashes(t, least) for t in texts[a:b]]
-                    hit = index.counts(np.concatenate([h for _, h, _ in all_])) >= least_docs
-                    at = 0
-                    for (lines, hashes, long), before in zip(all_, drops[a:b]):
-                        gone = hit[at : at + len(lines)] & long
-                        at += len(lines)
-                        if before:
-                            gone[before] = True
-                        if last:
-                            first.append("\n".join([x for x, g in zip(lines, gone) if not g]) if gone.any() else "\n".join(lines))
-                            second.append(len(lines))
-                            third.append(int(gone.sum()))
-                        else:
-                            first.append(np.flatnonzero(gone).tolist())
-                if last:
-                    yield pa.record_batch([*rest, pa.array(first, pa.string()), pa.array(second, pa.int64()), pa.array(third, pa.int64())], ["_id", *names, "kept_text", "n_lines", "n_dropped"])
-                else:
-                    yield pa.record_batch([*rest, batch.column("text"), pa.array(first, pa.list_(pa.int32()))], ["_id", *names, "text", "drop"])
-
-        head = ", ".join(f"{c} {types[c]}" for c in ("_id", *names))
-        now = now.mapInArrow(run, head + (", kept_text string, n_lines long, n_dropped long" if last else ", text string, drop array<int>"))
-        if not last:
-            now = materialize(now, "lines-pass")
-    return now.select(F.col("_id").alias(id_col), "kept_text", "n_lines", "n_dropped", *[F.col(n).alias(c) for n, c in zip(names, keep)])
+    source = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)])
+    schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in ("_id", *names)) + ", kept_text string, n_lines long, n_dropped long"
+    if passes == 1:
+        done = _in_one_pass(source, names, schema, _broadcast_shards(built, shards, 1, 0), least, least_docs)
+    else:
+        done = _in_many_passes(source, names, schema, built, shards, passes, least, least_docs)
+    return done.select(F.col("_id").alias(id_col), "kept_text", "n_lines", "n_dropped", *[F.col(n).alias(c) for n, c in zip(names, keep)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

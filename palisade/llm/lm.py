@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.elias_fano import Trie, quantise, restore
-from palisade.llm.shared import crc_mod, forget, materialize, table
+from palisade.llm.shared import crc_mod, forget, materialize, small_batches, table, tidy, trim
 
 #: Tokens of a chunk; a longer document is a chunk of its own.
 CHUNK_TOKENS = 2_000_000
@@ -95,7 +95,7 @@ class _Chunk:
         return pa.record_batch([pa.array(c, t) for c, t in zip(cells, types)], ["chunk", "ids", "train", "sizes", "tokens", "halves", "lows", "n", "n_train"])
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
+def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -105,13 +105,13 @@ def _chunks(docs: DataFrame) -> DataFrame:
             for id_, train, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 now = now or _Chunk()
                 now.add(id_, train, text)
-                if now.n >= CHUNK_TOKENS:
+                if now.n >= chunk_tokens:
                     yield now.row(type_, number)
                     number, now = number + 1, None
         if now:
             yield now.row(type_, number)
 
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, tokens binary, halves binary, lows binary, n long, n_train long")
+    return docs.mapInArrow(tidy(run), f"chunk long, ids array<{kind}>, train array<boolean>, sizes array<long>, tokens binary, halves binary, lows binary, n long, n_train long")
 
 
 def _trained(sizes: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -142,7 +142,7 @@ def _word_messages(chunks: DataFrame, shards: int) -> DataFrame:
                         gaps = np.diff(hashes[own], prepend=np.uint64(0))
                         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([chunk]), pa.array([squeeze(gaps)]), pa.array([squeeze(counts[own])])], ["shard", "chunk", "hashes", "counts"])
 
-    return chunks.select("chunk", "train", "sizes", "tokens", "halves", "lows").mapInArrow(run, "shard int, chunk long, hashes binary, counts binary")
+    return chunks.select("chunk", "train", "sizes", "tokens", "halves", "lows").mapInArrow(tidy(run), "shard int, chunk long, hashes binary, counts binary")
 
 
 _ANSWER = "chunk long, kind int, shard int, raw binary"
@@ -161,6 +161,7 @@ def _word_answers(messages: DataFrame, hot: float) -> DataFrame:
         large = total > hot
         note = np.concatenate([[np.uint64((total > 0).sum())], known[large], total[large]])
         n, s = len(raws), key[0].as_py()
+        trim()
         return pa.table([pa.array(t["chunk"].to_pylist() + [-1]), pa.array([0] * (n + 1), pa.int32()), pa.array([s] * (n + 1), pa.int32()), pa.array([*raws, note.tobytes()], pa.binary())], ["chunk", "kind", "shard", "raw"])
 
     return messages.groupBy("shard").applyInArrow(answer, _ANSWER)
@@ -235,7 +236,7 @@ def _follower_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
                     raw = squeeze(np.diff(keys[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)))
                     yield pa.record_batch([pa.array([chunk]), pa.array([2], pa.int32()), pa.array([s], pa.int32()), pa.array([raw])], ["chunk", "kind", "shard", "raw"])
 
-    return chunks.select("chunk", "sizes", "tokens", "halves", "lows").mapInArrow(run, _ANSWER)
+    return chunks.select("chunk", "sizes", "tokens", "halves", "lows").mapInArrow(tidy(run), _ANSWER)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -305,7 +306,7 @@ def _trigram_messages(chunks: DataFrame, shards: int, sent) -> DataFrame:
                         parts = [(hashes[words] >> np.uint64(24)), np.diff(m, prepend=0), b, a, counts[own]]
                         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([chunk]), *(pa.array([squeeze(p)]) for p in parts)], ["shard", "chunk", "w", "m", "b", "a", "c"])
 
-    return chunks.select("chunk", "train", "sizes", "tokens", "halves", "lows").mapInArrow(run, "shard int, chunk long, w binary, m binary, b binary, a binary, c binary")
+    return chunks.select("chunk", "train", "sizes", "tokens", "halves", "lows").mapInArrow(tidy(run), "shard int, chunk long, w binary, m binary, b binary, a binary, c binary")
 
 
 def _coded(x: np.ndarray) -> np.ndarray:
@@ -345,7 +346,10 @@ def _trigram_answers(messages: DataFrame, discount: float, shards: int, sent) ->
             cut = share[w] > 1
             given, rest = trie.lookup(b, w, a, cut)
             raws.append(_packed(*(np.where(cut, quantise(x), _coded(x)) for x in (given, rest))))
+            del b, w, a, cut, given, rest
         chunks, s = [-1] * len(to) + t["chunk"].to_pylist(), key[0].as_py()
+        del trie
+        trim()
         return pa.table([pa.array(chunks, pa.int64()), pa.array(kinds, pa.int32()), pa.array(to + [s] * t.num_rows, pa.int32()), pa.array(raws, pa.binary())], ["chunk", "kind", "shard", "raw"])
 
     return messages.groupBy("shard").applyInArrow(answer, _ANSWER)
@@ -387,7 +391,7 @@ def _added(unpacked, counts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, n
     return b[begin], m[begin], a[begin], np.add.reduceat(c, begin)
 
 
-def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, A-Z lower-cased, and one end; n_known counts those
@@ -399,12 +403,13 @@ def score(docs: DataFrame, held_out: tuple[int, int] | None = (5, 1), discount:
     empty table gives an empty one.  Words are told apart by 64 bits.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     train = crc_mod(id_col, held_out[0]) != held_out[1] if held_out else F.lit(True)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), train.alias("train"), F.col(text_col).cast("binary").alias("text"))
-    chunks = materialize(_chunks(source), "lm-chunks")
+    chunks = materialize(_chunks(source, chunk_tokens), "lm-chunks")
     n_all, n_train = (x or 0 for x in chunks.agg(F.sum("n"), F.sum("n_train")).first())
-    shards = max(1, -(-n_all // SHARD_TOKENS))
+    shards = max(1, -(-n_all // shard_tokens))
     word_answers = materialize(_word_answers(_word_messages(chunks, shards), HOT_SHARE * n_train), "lm-words")
     notes = [np.frombuffer(r["raw"], np.uint64) for r in word_answers.filter("chunk = -1").select("raw").toLocalIterator()]
     distinct = sum(int(x[0]) for x in notes)

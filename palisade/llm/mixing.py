@@ -38,30 +38,45 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def places(sources: DataFrame) -> DataFrame:
+    """sources (source, source_size; one row each) with place, from 0 in code-point order, null last.
+
+    Sorted by ranges and numbered within each; what comes before a range is
+    added from the ranges' sizes.
+    """
+    ordered = materialize(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id()), "mix-places")
+    part = F.shiftright("_at", 33)
+    sizes = {r["part"]: r["n"] for r in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row for each range
+    before, total = {}, 0
+    for k in sorted(sizes):
+        before[k], total = total, total + sizes[k]
+    offsets = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    return ordered.withColumn("place", F.element_at(offsets, part) + (F.col("_at") - F.shiftleft(part, 33))).drop("_at")
+
+
 def targets(sizes: DataFrame, plan: Plan) -> DataFrame:
     """source, source_size, target, ramp from rows (source, source_size), one for each source.
 
-    Resharing the excess of capped sources until none is above its cap ends
-    where target = min(cap, level * weight), with one level for all.  Sorted by
-    cap / weight, the level that each prefix of capped sources would leave for
-    the rest rises up to the right prefix and falls beyond, so it is a maximum.
-    The windows run over the table of sources, one row each.
+    The excess of capped sources is reshared until none is above its cap: all
+    others share what the capped ones leave, at one level for each unit of
+    weight.  A round is one aggregate over the table of sources.
     """
     w, r = (F.array(*map(F.lit, map(float, x))) for x in (plan.weights, plan.ramps))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    named = sizes.withColumn("place", place).select(
-        "source", "source_size", "place",
+    named = places(sizes).select(
+        "source", "source_size",
         F.element_at(w, F.pmod("place", F.lit(len(plan.weights))).cast("int") + 1).alias("weight"),
         F.element_at(r, F.pmod("place", F.lit(len(plan.ramps))).cast("int") + 1).alias("ramp"),
         (F.lit(plan.most) * F.col("source_size")).alias("cap"),
     )
-    everything = W.partitionBy()
-    before = W.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(W.unboundedPreceding, -1)
-    left = F.lit(plan.budget) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    levels = named.withColumn("level", left / share)
-    level = F.max("level").over(everything)
-    return levels.withColumn("target", F.least("cap", level * F.col("weight"))).select("source", "source_size", "target", "ramp")
+    whole = named.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, capped = (plan.budget * whole[0] / whole[1], 0) if whole[1] else (0.0, 0)
+    while True:
+        above = named.filter(F.col("cap") <= F.lit(level) * F.col("weight")).agg(F.count("*"), F.sum("cap"), F.sum("weight")).first()
+        if above[0] == capped or above[2] == whole[1]:
+            level = float("inf") if whole[1] and above[2] == whole[1] else level
+            break
+        capped, level = above[0], (plan.budget * whole[0] - above[1]) / (whole[1] - above[2])
+    return named.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).select("source", "source_size", "target", "ramp")
 
 
 def inverse_demand(share: Column, ramp: Column) -> Column:
@@ -70,7 +85,18 @@ def inverse_demand(share: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, share).otherwise((root - (1 - ramp)) / (2 * ramp))
 
 
-def assign(docs: DataFrame, plan: Plan = Plan(), whole: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def _starts(buckets: DataFrame, digits: int) -> DataFrame:
+    """source, bucket, bucket_size, bucket_before: words of the source before each bucket, by sums over halves of the digits, so that no window holds more than about the root of all buckets."""
+    running = lambda value, *by: F.coalesce(F.sum(value).over(W.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    split = buckets.withColumn("half", F.substring("bucket", 1, digits // 2))
+    halves = split.groupBy("source", "half").agg(F.sum("bucket_size").alias("half_size")).withColumn("half_before", running("half_size", "half"))
+    halves = halves.select(F.col("source").alias("s"), F.col("half").alias("h"), "half_before")
+    inner = split.withColumn("within", running("bucket_size", "half", "bucket"))
+    joined = inner.join(halves, F.col("source").eqNullSafe(F.col("s")) & (F.col("half") == F.col("h")))
+    return joined.select("source", "bucket", "bucket_size", (F.col("half_before") + F.col("within")).alias("bucket_before"))
+
+
+def assign(docs: DataFrame, plan: Plan = Plan(), whole: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, position, first_pass, run_before and the columns in keep.
 
     A source's documents stand in the order of the MD5 of their id.  Every one
@@ -89,13 +115,12 @@ def assign(docs: DataFrame, plan: Plan = Plan(), whole: bool = False, id_col: st
     sized = materialize(docs.select(*columns), "mix-sizes")
     rows = sized.count()
     digits = 0
-    while 16**digits * BUCKET_ROWS < rows:
+    while 16**digits * bucket_rows < rows:
         digits += 1
     bucketed = sized.withColumn("bucket", F.substring("key", 1, digits))
-    buckets = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = materialize(bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     per_source = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), plan)
-    starts = buckets.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    starts = starts.withColumnRenamed("source", "s").withColumnRenamed("bucket", "b").join(per_source.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2", "bucket_size")
+    starts = _starts(buckets, digits).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b").join(per_source.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2", "bucket_size")
     placed = bucketed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     within = W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("run_before", F.col("bucket_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -109,12 +134,27 @@ def assign(docs: DataFrame, plan: Plan = Plan(), whole: bool = False, id_col: st
 
 
 def copies(assigned: DataFrame) -> DataFrame:
-    """One row for each time a document is taken, with copy (from 1), words and position; range-sorted by position."""
+    """One row for each time a document is taken, with copy (from 1), words and position; not sorted."""
     n = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     each = assigned.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), n)))
     words = F.least("size", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
     share = F.least(F.lit(1.0), ((F.col("copy") - 1) * F.col("source_size") + F.col("run_before")) / F.col("target"))
-    return each.withColumn("words", words).withColumn("position", inverse_demand(share, F.col("ramp"))).orderBy("position", "key", "copy")
+    return each.withColumn("words", words).withColumn("position", inverse_demand(share, F.col("ramp")))
+
+
+def in_training_order(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Whole documents, each as often as the mix takes it (some never), range-sorted by training position; the columns of docs.
+
+    Equal rows and rows with equal or null ids are documents of their own.  An
+    empty table gives an empty one.
+    """
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    place = {c: n for c, n in zip(docs.columns, names)}
+    numbered = materialize(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
+    taken = copies(assign(numbered, plan, True, place[id_col], place[text_col], place[source_col], keep=("_row",)))
+    taken = taken.select("_row", "position", "key", "copy")
+    ordered = numbered.join(taken, "_row").orderBy("position", "key", "_row", "copy")
+    return ordered.select(*[F.col(n).alias(c) for c, n in place.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

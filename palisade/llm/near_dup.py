@@ -10,11 +10,12 @@ exhaustively on sketches of the signature, and what passes is confirmed on the
 full sets.
 
 Equal sets are one class from the start.  A node that is still large at DEPTH
-holds documents that are much alike: each member is confirmed against the node's
-representative, and only nodes whose members do not all belong together by then
-branch on, down to DEEPEST.  Where even the deepest nodes stay large and apart,
-all pairs of members that are not linked yet are compared on sketches, in the
-cells of a grid of blocks.
+holds documents that are much alike.  Its members' shingles are counted: a set
+of which too few are found in another member is linked with none of them.  The
+others are confirmed against their node's representative, the member with the
+commonest shingles; what is not in the representative's group by then is
+compared exactly with all members, in the cells of a grid of blocks that give
+only as many links as connect them.
 """
 
 from __future__ import annotations
@@ -38,10 +39,8 @@ TREES = 20
 DEPTH = 3
 #: Members up to which a node is compared exhaustively.
 SMALL = 64
-#: Level at which large nodes that still are not of one group end.
-DEEPEST = 6
-#: Members of a block of such a node.
-BLOCK = 512
+#: Members of a block of a large node.
+BLOCK = 256
 #: Pairs of one set that are confirmed together; more are dealt out.
 PAIRS = 2048
 #: Distinct words whose hashes a task keeps, and letters of the longest.
@@ -225,92 +224,113 @@ def _alike(n: np.ndarray, m: np.ndarray, s: np.ndarray, t: np.ndarray, similarit
 
 
 def _small_pairs(nodes: DataFrame, similarity: float, small: int) -> DataFrame:
-    """Pairs within small nodes (path, c, n, sketch, label) of different labels whose sketches and sizes allow the similarity."""
+    """Pairs within small nodes (path, c, n, sketch) whose sketches and sizes allow the similarity."""
     most = most_differing(similarity)
 
     def run(batches):
         for g in _groups(batches, ("path",)):
-            path, c, n, s, label = g["path"], g["c"], g["n"].astype(float), g["sketch"], g["label"]
+            path, c, n, s = g["path"], g["c"], g["n"].astype(float), g["sketch"]
             left, right = [], []
             for shift in range(1, small + 1):
-                at = np.flatnonzero((path[:-shift] == path[shift:]) & (label[:-shift] != label[shift:]))
+                at = np.flatnonzero(path[:-shift] == path[shift:])
                 if not len(at):
-                    if not (path[:-shift] == path[shift:]).any():
-                        break
-                    continue
+                    break
                 at = at[_alike(n[at], n[at + shift], s[at], s[at + shift], similarity, most)]
                 left.append(c[at])
                 right.append(c[at + shift])
             if left:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right))
 
-    return nodes.select("path", "c", "n", "sketch", "label").repartition("path").sortWithinPartitions("path").mapInArrow(tidy(run), _PAIRS)
+    return nodes.select("path", "c", "n", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(tidy(run), _PAIRS)
 
 
-def _grid_pairs(live: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs within large nodes (path, c, n, sketch, label) of different labels that sketches and sizes allow.
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the label of their c by the links; a c without a link is its own."""
+    own = labels(links, "dup-groups").select(F.col("node").alias("c"), "label")
+    return rows.join(own, "c", "left").withColumn("label", F.coalesce("label", "c"))
 
-    Members of a node's commonest label are in one group already; each other
-    member is compared with all, a block of these with a block of those in one
-    cell.
-    """
-    most = most_differing(similarity)
-    per = live.groupBy("path", "label").agg(F.count("*").alias("own"))
-    main = per.groupBy("path").agg(F.sum("own").alias("members"), F.max(F.struct("own", "label")).alias("main")).select("path", "members", F.col("main.label").alias("main"), (F.col("members") - F.col("main.own")).alias("rest"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
-    rows = live.join(main, "path").withColumn("i", F.pmod(F.xxhash64("c"), blocks("rest")).cast("int")).withColumn("j", F.pmod(F.xxhash64("c"), blocks("members")).cast("int"))
-    columns = ["path", "i", "j", "first", "c", "n", "sketch", "label"]
-    rest = rows.filter("label <> main").withColumn("j", F.explode(F.sequence(F.lit(0), blocks("members") - 1))).withColumn("first", F.lit(True))
-    every = rows.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("rest") - 1))).withColumn("first", F.lit(False))
+
+def _shingles_of(sets: DataFrame) -> DataFrame:
+    """c, shingle from (c, raw)."""
 
     def run(batches):
-        for g in _groups(batches, ("path", "i", "j"), 2 * block):
-            cell = np.stack([g["path"], g["i"], g["j"]], 1)
-            new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
-            for a, b in zip(new, np.append(new[1:], len(cell))):
-                first = g["first"][a:b].astype(bool)
-                c, n, s, label = (g[x][a:b][~first] for x in ("c", "n", "sketch", "label"))
-                for x in np.flatnonzero(first) + a:
-                    good = _alike(n, g["n"][x], s, g["sketch"][x], similarity, most) & (label != g["label"][x])
-                    if good.any():
-                        yield _pair_batch(c[good], np.full(int(good.sum()), g["c"][x]))
+        for batch in batches:
+            wide = [_wide(raw.as_buffer()) for raw in batch.column("raw")]
+            if wide:
+                yield pa.record_batch([pa.array(np.repeat(batch.column("c").to_numpy(), [len(w) for w in wide])), pa.array(np.concatenate(wide).view(np.int64))], ["c", "shingle"])
 
-    cells = rest.select(columns).unionByName(every.select(columns))
-    return cells.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(tidy(run), _PAIRS)
+    return sets.select("c", "raw").mapInArrow(tidy(run), "c long, shingle long")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the label of their c by the links; a c without a link is its own."""
-    own = labels(links, "dup-groups").select(F.col("node").alias("c"), "label")
-    return rows.drop("label").join(own, "c", "left").withColumn("label", F.coalesce("label", "c"))
-
-
-def _deeper(dense: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, percent: int, small: int, block: int, deepest: int) -> DataFrame:
-    """The links, and those that large nodes (path, c) of level DEPTH hold beside them."""
-    similarity, own = percent / 100, classes.select("c", "n", "sketch")
-    for depth in range(DEPTH, deepest + 1):
-        hubs = dense.groupBy("path").agg(F.min("c").alias("a"))
-        found = _confirmed(dense.join(hubs, "path").filter("a <> c").select("a", F.col("c").alias("b")).distinct(), sets, percent)
-        links = materialize(links.unionByName(found), "dup-links")
-        rows = _labelled(dense, links)
-        apart = rows.groupBy("path").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("path")
-        live = materialize(rows.join(apart, "path", "left_semi").join(own, "c"), "dup-live")
-        forget(dense)
-        if not live.take(1):
-            return links
-        if depth == deepest:
-            break
-        level = materialize(_children(live.join(classes.select("c", "sig"), "c"), similarity), "dup-nodes")
-        labelled = live.select("c", "label").distinct()
-        less, more = _parted(level, own.join(labelled, "c"), small)
-        pairs = materialize(_small_pairs(less, similarity, small).distinct(), "dup-pairs")
-        links = materialize(links.unionByName(_confirmed(pairs, sets, percent)), "dup-links")
-        dense = materialize(more.select("path", "c"), "dup-dense")
-        forget(level)
-        if not dense.take(1):
-            return links
-    pairs = materialize(_grid_pairs(live, similarity, block).distinct(), "dup-pairs")
-    return links.unionByName(_confirmed(pairs, sets, percent))
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """c, fame (mean number of sets that hold its shingles) of the sets that can be linked with another at all.
+
+    Of a linked set at least percent of a hundred shingles are in the other.
+    """
+    all_ = _shingles_of(sets)
+    common = all_.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    found = all_.join(common, "shingle").groupBy("c").agg(F.count("*").alias("shared"), F.sum("held").alias("fame"))
+    size = sets.select("c", (F.length("raw") / 6).cast("long").alias("size"))
+    return found.join(size, "c").filter(F.col("shared") * 100 >= F.col("size") * percent).select("c", (F.col("fame") / F.col("size")).alias("fame"))
+
+
+def _dense_links(dense: DataFrame, sets: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
+    """The links, and those that large nodes (path, c) hold beside them, as many as connect their members."""
+    members = dense.join(materialize(_able(sets.join(dense.select("c").distinct(), "c", "left_semi"), percent), "dup-able"), "c")
+    hubs = members.groupBy("path").agg(F.max(F.struct("fame", "c")).getField("c").alias("a"))
+    groups = materialize(members.join(hubs, "path").select("a", "c").distinct(), "dup-groups")
+    found = _confirmed(groups.filter("a <> c").select("a", F.col("c").alias("b")), sets, percent)
+    links = materialize(links.unionByName(found), "dup-links")
+    rows = materialize(_labelled(groups, links), "dup-labelled")
+    main = rows.filter("a = c").select("a", F.col("label").alias("main"))
+    sizes = rows.join(main, "a").groupBy("a", "main").agg(F.count("*").alias("members"), F.sum(F.when(F.col("label") != F.col("main"), 1).otherwise(0)).alias("rest")).filter("rest > 0")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    of = lambda n: F.pmod(F.xxhash64("c"), blocks(n)).cast("int")
+    live = rows.join(sizes, "a")
+    columns = ["a", "i", "j", "first", "c", "label"]
+    rest = live.filter("label <> main").withColumn("i", of("rest")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("members") - 1))).withColumn("first", F.lit(True))
+    every = live.withColumn("j", of("members")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("rest") - 1))).withColumn("first", F.lit(False))
+    cells = rest.select(columns).unionByName(every.select(columns)).join(sets, "c")
+
+    def run(batches):
+        for g in _groups(batches, ("a", "i", "j"), 2 * block):
+            cell = np.stack([g["a"], g["i"], g["j"]], 1)
+            new = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]).any(1)))
+            for x, y in zip(new, np.append(new[1:], len(cell))):
+                first, second = (np.flatnonzero(g["first"][x:y] == k) + x for k in (True, False))
+                pairs = connecting([g["raw"][i] for i in first], g["label"][first], [g["raw"][i] for i in second], g["label"][second], percent)
+                if pairs:
+                    left, right = np.array(pairs).T
+                    yield pa.record_batch([pa.array(g["c"][first[left]]), pa.array(g["c"][second[right]])], ["a", "b"])
+
+    more = cells.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j").mapInArrow(tidy(run), _PAIRS)
+    return links.unionByName(more)
+
+
+def connecting(first: list[bytes], label: np.ndarray, second: list[bytes], other: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of a packed set of the first and one of the second, of different labels: as many as connect what all such pairs connect."""
+    if not first or not second:
+        return []
+    sets = [_wide(r) for r in second]
+    size = np.array([len(s) for s in sets])
+    starts = np.cumsum(size) - size
+    distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+    label, other, out, held = label.copy(), other.copy(), [], np.zeros(len(distinct) + 1, np.int64)
+    for x, raw in enumerate(first):
+        own = _wide(raw)
+        at = np.searchsorted(distinct, own)
+        at[at < len(distinct)] = np.where(distinct[at[at < len(distinct)]] == own[at < len(distinct)], at[at < len(distinct)], len(distinct))
+        held[at] = 1
+        held[-1] = 0
+        shared = np.add.reduceat(held[number], starts)
+        held[at] = 0
+        like = np.flatnonzero((100 * shared >= percent * (size + len(own) - shared)) & (other != label[x]))
+        if len(like):
+            groups, one = np.unique(other[like], return_index=True)
+            out += [(x, int(y)) for y in like[one]]
+            for z in (label, other):
+                z[np.isin(z, groups)] = label[x]
+    return out
 
 
 def _parted(level: DataFrame, own: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +405,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(tidy(run), _PAIRS)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK, deepest: int = DEEPEST) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id).
 
     Links join rows whose sets of word shingles have 100 * intersection >=
@@ -395,7 +415,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     then component_id is null, and kept is true where both are null.  Rows with
     equal ids are judged by their own texts.  An empty table gives an empty one.
     """
-    signed, belongs = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), words, percent, small, block, deepest)
+    signed, belongs = _grouped(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), words, percent, small, block)
     own = signed.select("id", "n", "k", "k2")
     linked = own.filter("n > 0").join(belongs.drop("label"), ["k", "k2"], "left").select("id", "n", "component_id")
     out = linked.unionByName(own.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
@@ -410,7 +430,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     columns; of equal rows one.  Rows with an empty set all stay.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)], F.lit(0).alias("end"))
-    signed, belongs = _grouped(source, words, percent, SMALL, BLOCK, DEEPEST)
+    signed, belongs = _grouped(source, words, percent, SMALL, BLOCK)
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64(*source.columns).alias("hash"), "row")
     least = signed.filter("n > 0").groupBy("k", "k2").agg(F.min(order).alias("first"))  # first of each set, then of each group
     first = least.join(belongs.select("k", "k2", "label"), ["k", "k2"]).groupBy("label").agg(F.min("first").alias("first"))
@@ -418,7 +438,7 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     return stay.select(F.col("id").alias(id_col), F.col("text").cast("string").alias(text_col), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def _grouped(rows: DataFrame, words: int, percent: int, small: int, block: int, deepest: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(rows: DataFrame, words: int, percent: int, small: int, block: int) -> tuple[DataFrame, DataFrame]:
     """What _signed makes of the rows (id, text, others); and of each set its group and the group's smallest id (k, k2, label, component_id).
 
     Sets are told apart by 128 bits; a number c stands for each from there on.
@@ -428,7 +448,7 @@ def _grouped(rows: DataFrame, words: int, percent: int, small: int, block: int,
     signed = materialize(_signed(rows, words), "dup-signed")
     classes = signed.filter("n > 0").groupBy("k", "k2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "dup-classes")
-    own = classes.select("c", "n", "sketch", F.col("c").alias("label"))
+    own = classes.select("c", "n", "sketch")
 
     pairs, level, dense = [], materialize(_children(classes, similarity), "dup-nodes"), None
     for depth in range(1, DEPTH + 1):
@@ -452,7 +472,7 @@ def _grouped(rows: DataFrame, words: int, percent: int, small: int, block: int,
     sets = materialize(_sets_of(source, wanted, words), "dup-sets")
     links = materialize(_confirmed(candidates, sets, percent), "dup-links")
     if dense is not None:
-        links = _deeper(dense, classes, sets, links, percent, small, block, deepest)
+        links = _dense_links(dense, sets, links, percent, block)
     label = labels(links)
     forget(sets)
     named = classes.select("c", "k", "k2", "least").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))

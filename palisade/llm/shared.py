@@ -95,15 +95,20 @@ def tidy(run: Callable[[Iterator], Iterator], after: Callable[[], None] | None =
         finally:
             if after:
                 after()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # another C library
-                pass
+            trim()
 
     return whole
 
 
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

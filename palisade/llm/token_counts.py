@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -11,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import scan
-from palisade.llm.shared import table, text_or_empty
+from palisade.llm.shared import small_batches, table, text_or_empty, tidy
 
-#: Distinct words a worker keeps; the cache starts afresh beyond.
-CACHE = 1_000_000
+#: Distinct words that a task keeps, and letters of the longest; the cache starts afresh beyond.
+CACHE, CACHED_WORD = 1 << 17, 128
 
 
 def byte_alphabet() -> list[str]:
@@ -36,6 +37,7 @@ class MergeCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         names: dict[str, int] = {}
         number = lambda s: names.setdefault(s, len(names))
@@ -48,9 +50,22 @@ class MergeCounter:
             self.rank.setdefault(key, len(self.key))
             self.key.append(key)
             self.union.append(number(a + b))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
+        #: Of several that begin at one place the longest counts; the first place comes first.
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.cache: dict[str, int] = {}
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        """Refuse files whose settings would change the counts in ways not built here."""
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += ["normalizer"] if spec.get("normalizer") else []
+        odd += ["pre_tokenizer"] if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) else []
+        odd += [f"added_tokens.{k}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+        if odd or model.get("type", "BPE") != "BPE":
+            raise ValueError(f"not a plain byte-level BPE file: {', '.join(odd) or model['type']}")
+
     def word(self, piece: str) -> int:
         """Initial symbols less merges."""
         symbols = [self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -87,12 +102,8 @@ class MergeCounter:
                 self.cache = {}
             segments, owner = [], []
             for i in range(a, b):
-                parts = [texts[i]]
-                for s in self.special:  # each counts as one token and splits the text
-                    if any(s in p for p in parts):
-                        cut = [p.split(s) for p in parts]
-                        out[i] += sum(len(c) - 1 for c in cut)
-                        parts = [x for c in cut for x in c]
+                parts = self.special.split(texts[i]) if self.special else [texts[i]]
+                out[i] += len(parts) - 1  # each special string counts as one token and splits the text
                 segments += parts
                 owner += [i] * len(parts)
             words, per = scan.pieces(segments)
@@ -101,7 +112,9 @@ class MergeCounter:
             for k, w in enumerate(words):
                 c = cache.get(w)
                 if c is None:
-                    c = cache[w] = learn(w)
+                    c = learn(w)
+                    if len(w) <= CACHED_WORD:
+                        cache[w] = c
                 got[k + 1] = c
             ends = np.cumsum(per)
             total = np.cumsum(got)
@@ -121,6 +134,8 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
     counted whole; equal rows stay separate; an empty table gives an empty one.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         own = counter(path)
         for batch in batches:
@@ -130,7 +145,7 @@ def count_tokens(df: DataFrame, path: str, limit: int = 512, id_col: str = "doc_
             yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     source = df.select(id_col, text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(tidy(run, lambda: counter(path).cache.clear()), f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -1,15 +1,17 @@
 """Operator 9: toxicity by class-conditional Kneser-Ney models.
 
 Two models over the letters of running text, one of toxic and one of ordinary
-documents, share the counts they back off to.  Each word has a log-likelihood
-under either.  The toxicity of a document is what its words are likelier as
-toxic than as ordinary, normalised by its length, on a logistic scale fitted to
-labelled documents that neither model has seen.  A word counts by what it
-exceeds a margin, also fitted there: thousands of ordinary words differ a
-little by chance, and would drown the few that matter.
+documents, share the counts they back off to.  A document's toxic and ordinary
+log-likelihoods are compared, normalised by its length; a logistic scale is
+fitted to labelled documents that neither model has seen.  A second feature of
+that scale adds up only what words are likelier as toxic beyond a margin: in a
+long document thousands of ordinary words differ a little by chance, and would
+drown the few that matter.
 
 Contexts reach over word ends: the letters before a word tell the language, so
-that languages commoner in one class do not speak for that class.
+that languages commoner in one class do not speak for that class.  Texts stay
+on the executors; counted n-grams and a row of features per labelled document
+of the sample are what reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,14 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import scan
-from palisade.llm.shared import crc_mod, table, text_or_empty
+from palisade.llm.shared import crc_mod, forget, materialize, small_batches, table, text_or_empty, tidy
 
 #: Labelled documents of each class that a model is fitted on, at most: those of smallest MD5 of the id.
 SAMPLE = 4000
 ORDER = 4
-#: Taken from every class count; what it frees goes to the shared counts.
-DISCOUNT = 3.0
-#: Margins and powers of the length to choose from.
+#: Margins and powers of the length to choose from for the second feature.
 MARGINS = (0.0, 1.0, 2.0, 3.0)
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 _BITS = 6
@@ -81,6 +81,13 @@ def gram_counts(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, counts
 
 
+def discounts(n: np.ndarray) -> np.ndarray:
+    """What Kneser-Ney takes from counts of 0, 1, 2 and more, by the counts of counts."""
+    c = np.maximum([(n == k).sum() for k in range(1, 5)], 1).astype(float)
+    y = c[0] / (c[0] + 2 * c[1])
+    return np.array([0.0, *(min(max(k - (k + 1) * y * c[k] / c[k - 1], 0.3 * k), 0.95 * k) for k in (1, 2, 3))])
+
+
 class SharedBackoff:
     """Interpolated Kneser-Ney: class counts back off to those of both classes together, these to continuation counts.
 
@@ -89,13 +96,11 @@ class SharedBackoff:
     for each context, for the n-grams in it that none has.
     """
 
-    def __init__(self, order: int = ORDER, discount: float = DISCOUNT):
-        self.order, self.discount = order, discount
+    def __init__(self, order: int = ORDER):
+        self.order = order
 
-    def fit(self, by_class: list[list[str]]) -> "SharedBackoff":
-        """by_class: texts of class 0 (ordinary) and 1 (toxic)."""
-        d = self.discount
-        parts = [gram_counts(texts, self.order) for texts in by_class]
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> "SharedBackoff":
+        """parts: distinct n-grams and their counts, of class 0 (ordinary) and 1 (toxic)."""
         grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
         own = np.stack([np.bincount(w, n, len(grams)) for w, (_, n) in zip(np.split(where, [len(parts[0][0])]), parts)])
         common = self._common(grams, own.sum(0))
@@ -103,6 +108,7 @@ class SharedBackoff:
         logs, left = [], []
         for n in own:
             total = np.bincount(of, n, len(contexts))
+            d = discounts(n)[np.minimum(n, 3).astype(np.int64)]
             freed = np.bincount(of, np.minimum(n, d), len(contexts))
             share = np.where(total > 0, freed / np.maximum(total, 1), 1.0)
             p = np.maximum(n - d, 0) / np.maximum(total, 1)[of] + share[of] * common
@@ -175,16 +181,16 @@ class SharedBackoff:
 
 @dataclass
 class Detector:
-    """Fitted models, margin of a word, power of the length that evidence is divided by, slope and offset of the logistic scale."""
+    """Fitted models, margin and power of the second feature, slopes and offset of the logistic scale."""
 
     model: SharedBackoff
     margin: float = 0.0
     power: float = 1.0
-    slope: float = 1.0
+    slopes: tuple[float, float] = (1.0, 0.0)
     offset: float = 0.0
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Difference of log-likelihoods of each word, and the number of words of each text."""
+        """Toxic less ordinary log-likelihood of each word, and the number of words of each text."""
         out, size = [np.zeros(0)], np.zeros(len(texts), np.int64)
         for a, b in scan.groups([len(t) for t in texts], 1 << 19):
             codes = [gram_codes(t, self.model.order) for t in texts[a:b]]
@@ -195,74 +201,124 @@ class Detector:
             out.append(np.diff(sums[ends], prepend=0.0))
         return np.concatenate(out), size
 
-    def evidence(self, words: np.ndarray, size: np.ndarray, margin: float, power: float) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(np.maximum(words - margin, 0.0))])
-        ends = np.cumsum(size)
-        return (sums[ends] - sums[ends - size]) / np.maximum(size, 1) ** power
+    def features(self, texts: list[str], choices: list[tuple[float, float]]) -> np.ndarray:
+        """For each text its log-likelihood ratio by its number of words; then, for each (margin, power), what words exceed the margin by the number's power."""
+        words, size = self.words(texts)
+        ends, least = np.cumsum(size), np.maximum(size, 1)
+
+        def added(values: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0.0], np.cumsum(values)])
+            return sums[ends] - sums[ends - size]
+
+        above = {m: added(np.maximum(words - m, 0.0)) for m, _ in choices}
+        return np.stack([added(words) / least, *(above[m] / least**p for m, p in choices)], 1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = self.evidence(*self.words(texts), self.margin, self.power)
-        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.offset, -500, 500)))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
-    """Slope (not below 0), offset and mean log loss of the logistic fit of y on x."""
-    scale = float(x.std()) or 1.0
-    z, b = np.stack([x / scale, np.ones(len(x))], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        g = z.T @ (p - y) + ridge * len(x) * b * [1, 0]
-        h = z.T @ (z * (p * (1 - p))[:, None]) + np.diag([ridge * len(x), 1e-9])
-        step = np.linalg.solve(h, g)
-        b = b - np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-9:
+        x = self.features(texts, [(self.margin, self.power)]) @ np.array(self.slopes) + self.offset
+        return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float, float]:
+    """Slopes (none below 0), offset and mean log loss of the logistic fit of y on the columns of x."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    used = np.ones(x.shape[1], bool)
+    while True:
+        z = np.column_stack([x[:, used] / scale[used], np.ones(len(x))])
+        b, penalty = np.zeros(z.shape[1]), ridge * len(x) * np.append(np.ones(int(used.sum())), 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(penalty + 1e-9), z.T @ (p - y) + penalty * b)
+            b = b - np.clip(step, -4, 4)
+            if np.abs(step).max() < 1e-9:
+                break
+        if (b[:-1] >= 0).all():
             break
-    b[0] = max(b[0], 0.0)
+        used[np.flatnonzero(used)[b[:-1] < 0]] = False
     p = np.clip(1 / (1 + np.exp(-np.clip(z @ b, -30, 30))), 1e-12, 1 - 1e-12)
-    return b[0] / scale, b[1], float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    slopes = np.zeros(x.shape[1])
+    slopes[used] = b[:-1] / scale[used]
+    return slopes, float(b[-1]), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def fit(examples: list[tuple[str, int, int]], base_rate: float, order: int = ORDER) -> Detector:
-    """A detector from (text, label, fold); even and odd folds take turns at being held out to fit the scale.
+CHOICES = [(m, p) for m in MARGINS for p in POWERS]
 
-    Without both labels it scores every text by the base rate.
-    """
-    by_class = lambda part: [[t for t, y, _ in part if y == c] for c in (0, 1)]
-    if len({y for _, y, _ in examples}) < 2:
-        return Detector(SharedBackoff(order).fit([[], []]), slope=0.0, offset=math.log((base_rate + 1e-3) / (1 - base_rate + 1e-3)))
-    seen = []
-    for k in range(2):
-        rest, held = [e for e in examples if e[2] % 2 != k], [e for e in examples if e[2] % 2 == k]
-        if held and len({y for _, y, _ in rest}) == 2:
-            seen.append((*Detector(SharedBackoff(order).fit(by_class(rest))).words([t for t, _, _ in held]), [y for _, y, _ in held]))
-    words, size, y = (np.concatenate(x) for x in zip(*seen)) if seen else (np.zeros(2), np.ones(2, np.int64), np.array([0, 1]))
-    final, y = Detector(SharedBackoff(order).fit(by_class(examples))), y.astype(float)
-    choices = [(logistic(final.evidence(words, size, m, p), y), m, p) for m in MARGINS for p in POWERS]
-    (slope, offset, _), final.margin, final.power = min(choices, key=lambda c: c[0][2])
-    rate = min(max(y.mean(), 1e-6), 1 - 1e-6)  # the sample may hold more toxic documents than the corpus
-    final.slope, final.offset = slope, offset + math.log((base_rate + 1e-6) / (1 - base_rate + 1e-6)) - math.log(rate / (1 - rate))
-    return final
 
+def _counted(rows: DataFrame, order: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """n-grams and their counts by (label, half) of the rows (text, y, half)."""
+
+    def run(batches):
+        for batch in batches:
+            y, half = batch.column("y").to_numpy(), batch.column("half").to_numpy()
+            texts = batch.column("text").to_pylist()
+            for key in {*zip(y.tolist(), half.tolist())}:
+                grams, n = gram_counts([t for t, a, b in zip(texts, y, half) if (a, b) == key], order)
+                yield pa.record_batch([pa.array([key[0]] * len(grams), pa.int32()), pa.array([key[1]] * len(grams), pa.int32()), pa.array(grams), pa.array(n.astype(np.int64))], ["y", "half", "gram", "n"])
+
+    got = rows.select("text", "y", "half").mapInArrow(tidy(run), "y int, half int, gram long, n long").groupBy("y", "half", "gram").agg(F.sum("n").alias("n")).toArrow()
+    y, half, gram, n = (got[c].to_numpy() for c in ("y", "half", "gram", "n"))
+    order_ = np.lexsort((gram, half, y))
+    y, half, gram, n = y[order_], half[order_], gram[order_], n[order_].astype(float)
+    return {(a, b): (gram[(y == a) & (half == b)], n[(y == a) & (half == b)]) for a in (0, 1) for b in (0, 1)}
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] | None = (4, 2), sample: int = SAMPLE) -> Detector:
+
+def _both(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    grams, where = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+    return grams, np.bincount(where, np.concatenate([x[1], y[1]]), len(grams))
+
+
+def _seen_apart(rows: DataFrame, models: list[SharedBackoff]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the rows (text, y, half), each by the model of the other half, in a fixed order."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        own = [Detector(m) for m in sent.value]
+        for batch in batches:
+            texts, half = batch.column("text").to_pylist(), batch.column("half").to_numpy()
+            x = np.zeros((len(texts), 1 + len(CHOICES)))
+            for h in (0, 1):
+                at = np.flatnonzero(half == h)
+                x[at] = own[1 - h].features([texts[i] for i in at], CHOICES)
+            yield pa.record_batch([batch.column("key"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["key", "y", "x"])
+
+    got = rows.select("text", "y", "half", "key").mapInArrow(tidy(run), "key string, y int, x array<double>").toArrow().sort_by("key")
+    return np.array(got["x"].to_pylist()).reshape(-1, 1 + len(CHOICES)), got["y"].to_numpy().astype(float)
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] | None = (4, 2), sample: int = SAMPLE, order: int = ORDER) -> Detector:
     """Fit on at most `sample` labelled documents of each class, by smallest MD5 of the id.
 
     held_out = (modulus, remainder): documents whose crc32(id as text) has it
     are not learnt from.  Null ids, null or other labels than 0 and 1, and ids
     with contradicting labels are left out; repeated documents and labels
-    count once.
+    count once, of different texts with one id that of the smallest hash.
+    Without both labels every text scores the base rate.
     """
+    small_batches(docs.sparkSession)
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if held_out:
         marked = marked.filter(crc_mod(id_col, held_out[0]) != held_out[1])
-    marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z")).filter("y = z")
+    marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("y"), F.max(label_col).alias("z")).filter("y = z")
     parted = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    base_rate = parted.get(1, 0) / max(1, sum(parted.values()))
     marked = marked.withColumn("key", F.md5(F.col("id").cast("string").cast("binary"))).drop("z")
     chosen = marked.filter("y = 0").orderBy("key", "id").limit(sample).unionByName(marked.filter("y = 1").orderBy("key", "id").limit(sample))
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(chosen, "id").dropDuplicates(["id"])
-    fold = F.conv(F.substring("key", 32, 1), 16, 10).cast("int") % 4
-    examples = [(r["text"], r["y"], r["fold"]) for r in rows.select("text", "y", fold.alias("fold"), "key").orderBy("key").toLocalIterator()]
-    return fit(examples, parted.get(1, 0) / max(1, sum(parted.values())))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 * sample short rows
+    rows = rows.groupBy("id", "key", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    half = (F.conv(F.substring("key", 32, 1), 16, 10).cast("int") % 2).alias("half")
+    rows = materialize(rows.select("text", "y", half, "key"), "toxic-sample")
+    counts = _counted(rows, order)
+    whole = [_both(counts[c, 0], counts[c, 1]) for c in (0, 1)]
+    final = Detector(SharedBackoff(order).fit(whole))
+    if not all(len(g) for g, _ in whole):
+        final.slopes, final.offset = (0.0, 0.0), math.log((base_rate + 1e-3) / (1 - base_rate + 1e-3))
+        return final
+    x, y = _seen_apart(rows, [SharedBackoff(order).fit([counts[0, h], counts[1, h]]) for h in (0, 1)])
+    forget(rows)
+    fits = [(logistic(x[:, [0, 1 + i]], y), m, p) for i, (m, p) in enumerate(CHOICES)]
+    (slopes, offset, _), final.margin, final.power = min(fits, key=lambda c: c[0][2])
+    rate = min(max(y.mean(), 1e-6), 1 - 1e-6)  # the sample may hold more toxic documents than the corpus
+    final.slopes, final.offset = tuple(slopes), offset + math.log((base_rate + 1e-6) / (1 - base_rate + 1e-6)) - math.log(rate / (1 - rate))
+    return final
 
 
 def score(docs: DataFrame, detector: Detector, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -272,6 +328,7 @@ def score(docs: DataFrame, detector: Detector, threshold: float = 0.3, id_col: s
     are scored whole; repeated rows score alike; an empty table
     gives an empty one.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(detector)
     columns = [F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]]
     source = docs.select(*columns)
@@ -284,7 +341,7 @@ def score(docs: DataFrame, detector: Detector, threshold: float = 0.3, id_col: s
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], [*names, "_score", "_predicted"])
 
     schema = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in names)
-    out = source.mapInArrow(run, schema + ", _score double, _predicted int")
+    out = source.mapInArrow(tidy(run), schema + ", _score double, _predicted int")
     return out.select(F.col("_id").alias(id_col), F.col("_score").alias("score"), F.col("_predicted").alias("predicted"), *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
 
 

@@ -117,6 +117,52 @@ def test_mixing(docs_of, tricky, empty):
     again = mixing.assign(docs_of(rows, 7), keep=("source",)).collect()
     assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
     assert mixing.assign(tricky).count() == len(TRICKY) and mixing.assign(empty).count() == 0
+    small = mixing.assign(docs_of(rows), bucket_rows=2).collect()  # several digits of buckets
+    assert Counter((r.doc_id, r.size, r.taken, r.position) for r in small) == Counter((r.doc_id, r.size, r.taken, r.position) for r in got)
+
+
+def test_mixing_of_many_sources_and_null_ids(spark):
+    """Targets by the contract's own loop; ids that are all null or equal."""
+    pick = random.Random(4)
+    rows = [(None if i % 3 else 5, " ".join(["w"] * pick.choice([0, 1, 5, 60])), None if i % 7 == 0 else f"s{pick.choice(range(25)) ** 2}") for i in range(900)]
+    got = mixing.assign(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=("source",)).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words_of(t))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(order)}
+    target, budget, free = {}, 1.5 * sum(sizes.values()), set(order)
+    while True:
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        above = {s for s in free if level * weight[s] >= 2 * sizes[s]}
+        if not above:
+            break
+        target |= {s: 2.0 * sizes[s] for s in above}
+        free -= above
+    target |= {s: level * weight[s] for s in free}
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.taken
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+
+
+def test_training_order(docs_of, tricky, empty):
+    rows = [(300 + i, " ".join(["w"] * (i % 40))) for i in range(400)]
+    docs = docs_of(rows + rows[:5])
+    out = mixing.in_training_order(docs)
+    assert out.columns == docs.columns
+    placed = {}
+    for r in mixing.copies(mixing.assign(docs, whole=True)).collect():
+        placed.setdefault(r.doc_id, []).append(r.position)
+    got = [r.doc_id for r in out.collect()]
+    assert Counter(got) == Counter({i: len(p) for i, p in placed.items()})
+    seen, order = Counter(), []
+    for i in got:
+        order.append(sorted(placed[i])[seen[i]])
+        seen[i] += 1
+    assert order == sorted(order)
+    assert mixing.in_training_order(empty).count() == 0 and mixing.in_training_order(tricky).count() > 0
 
 
 # --- operator 7
@@ -146,6 +192,10 @@ def test_conversations_come_back(spark):
         loss = "".join(chat_template.unescape(r.formatted[s.start : s.end]) for s in r.loss_spans)
         mine = sorted(((t, x or "") for c, t, role, x, _ in rows if c == r.conv_id and role == "assistant"), key=lambda y: y[0])
         assert sorted(loss) == sorted("".join(x for _, x in mine)) and (r.conv_id == 3 or loss == "".join(x for _, x in mine))
+    for kind in ("int", "string"):  # ids of any type
+        other = df.withColumn("conv_id", df.conv_id.cast(kind))
+        assert {None if r.conv_id is None else int(r.conv_id): r.n_turns for r in chat_template.read_back(other).collect()} == wanted
+        assert chat_template.format_conversations(other).count() == len(wanted)
     assert chat_template.read_back(df.limit(0)).count() == 0 and chat_template.format_conversations(df.limit(0)).count() == 0
 
 
@@ -201,7 +251,7 @@ def test_one_row_of_each_group_stays(spark, docs_of):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, long), (None, other), (7, "a b c d e f"), (7, "g h i j k l"), (None, "m n o p q"), (9, None), (9, None), (None, "")])
 
 
-@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "toxicity"], ids=lambda s: s[0])
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
 def test_stages_take_tricky_and_empty_tables(spark, tricky, empty, stage):
     assert stage[1](spark, empty, SF).count() == 0
     assert stage[1](spark, tricky, SF).count() > 0

@@ -66,6 +66,24 @@ def test_offsets_and_decoding(tricky, empty):
     assert byte_bpe.round_trip(empty, path).count() == 0
 
 
+def test_special_strings_that_overlap(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    more = [spec["added_tokens"][0] | {"id": 60000 + i, "content": c} for i, c in enumerate(("ab", "abc", "bcd", "<|end"))]
+    spec["added_tokens"] += more
+    path = str(tmp_path / "special.json")
+    json.dump(spec, open(path, "w"))
+    library, texts = Tokenizer.from_file(path), ["abcd", "xabc abcd", "<|endoftext|><|end", "babcdab", ""]
+    assert token_counts.MergeCounter(path).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    spec["normalizer"] = {"type": "Lowercase"}
+    json.dump(spec, open(path, "w"))
+    with pytest.raises(ValueError):
+        token_counts.MergeCounter(path)
+
+
 def test_pieces_are_matches_of_the_pattern():
     import regex
 
@@ -138,14 +156,19 @@ def test_near_duplicates_against_all_pairs(docs_of, words):
 
 
 def test_large_nodes_against_all_pairs(docs_of):
-    """Nodes of more than a few members branch on, and end in the grid, as those of thousands would."""
+    """Nodes of more than a few members go through counting, representatives and the grid, as those of thousands would."""
     pick = random.Random(15)
     shared, rows = [f"s{i}" for i in range(120)], near_rows()
     for i in range(90):  # half of them boilerplate: alike, but mostly not enough
         own = [f"o{i % 45}x{k}" for k in range(pick.choice([20, 28, 36, 90]))]
         rows.append((1000 + i, " ".join(shared + own)))
-    for deepest in (3, 6):
-        got = near_dup.near_duplicates(docs_of(rows), words=5, small=3, block=4, deepest=deepest).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    for i in range(80):  # copies of one text with more and more edits: linked through those with few
+        words = list(shared)
+        for _ in range(i // 8):
+            words[pick.randrange(len(words))] = f"e{pick.randrange(400)}"
+        rows.append((2000 + i, " ".join(words)))
+    for block in (4, near_dup.BLOCK):
+        got = near_dup.near_duplicates(docs_of(rows), words=5, small=3, block=block).select("doc_id", "n_shingles", "component_id", "kept").collect()
         assert len(got) == len(rows) and set(map(tuple, got)) == brute_near(rows, 5, 80)
 
 
@@ -188,6 +211,8 @@ def test_line_dedup_against_brute_force(docs_of, empty):
     for least_docs in (2, 10):
         got = line_dedup.drop_common_lines(docs_of(rows), least_docs=least_docs).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
         assert Counter(map(tuple, got)) == brute_lines(rows, least_docs)
+        many = line_dedup.drop_common_lines(docs_of(rows), least_docs=least_docs, pass_bytes=1, shard_keys=2).select("doc_id", "n_lines", "n_dropped", "kept_text").collect()
+        assert Counter(map(tuple, many)) == brute_lines(rows, least_docs)
     assert line_dedup.drop_common_lines(empty).count() == 0
 
 
@@ -205,7 +230,7 @@ def test_perfect_hash_has_a_slot_for_each_key():
 
 @pytest.mark.parametrize("sf", ["sf0.01", "check_s"])
 def test_toxicity_on_rows_held_out(spark, sf):
-    """The bar of 0.9 found and 0.02 false alarms is set for the large table: the small one has 37 toxic labels to learn from, and 9 of 14 are found."""
+    """Of 14 toxic documents at sf0.01, with 37 toxic labels to learn from, 9 are found; on the larger table 98 %."""
     sf = f"/root/testdata/{sf}"
     if not os.path.isdir(sf):
         pytest.skip("table not here")
@@ -217,10 +242,7 @@ def test_toxicity_on_rows_held_out(spark, sf):
     bad, good = [p for p, t in held if t == 1], [p for p, t in held if t == 0]
     found, false = sum(bad) / len(bad), sum(good) / len(good)
     print(f"{sf}: found {found:.3f} of {len(bad)}, false alarms {false:.4f} of {len(good)}")
-    if sf.endswith("check_s"):
-        assert found >= 0.9 and false <= 0.02
-    else:
-        assert found > 10 * false
+    assert (found >= 0.9 and false <= 0.02) if sf.endswith("check_s") else (found >= 0.6 and false <= 0.02)
 
 
 def test_toxicity_of_tricky_rows(spark, tricky, empty):
@@ -279,10 +301,64 @@ def test_elias_fano_gives_back_its_numbers():
     assert [i >= 0 for i in found.find(asked)] == [x in set(values.tolist()) for x in asked]
 
 
-def test_language_model_does_not_depend_on_shards(spark, monkeypatch):
+@pytest.mark.parametrize("n, below", [(0, 1), (1, 1), (1, 10**6), (500, 300), (5, 10**12), (20_000, 10**5), (1000, 1 << 50)])
+def test_elias_fano_of_any_density(n, below):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    values = np.sort(rng.integers(0, below, n)).astype(np.uint64)
+    coded = elias_fano.EliasFano.encode(values)
+    asked = np.concatenate([values, values + np.uint64(1), rng.integers(0, below + 50, 2000).astype(np.uint64)])
+    assert coded.access(np.arange(n)).tolist() == values.tolist()
+    assert coded.successor(asked).tolist() == np.searchsorted(values, asked).tolist()
+    assert [i >= 0 for i in coded.find(asked)] == np.isin(asked, values).tolist()
+    if n == 20_000:
+        assert sum(x.nbytes for x in (coded.low, coded.high, coded.zeros, coded.ones)) <= 2 * n  # 16 bits a value, the directory included
+
+
+def test_language_model_does_not_depend_on_sizes(spark):
+    """Neither shards, nor chunks, nor partitions change a score."""
     df = documents(spark)
     scores = []
-    for n in (10**9, 40_000, 4_000):  # one shard, some, many
-        monkeypatch.setattr(lm, "SHARD_TOKENS", n)
-        scores.append({r.doc_id: r.score for r in lm.score(df).collect()})
-    assert scores[1] == pytest.approx(scores[0], rel=1e-12) and scores[2] == pytest.approx(scores[0], rel=1e-12)
+    for shard_tokens, chunk_tokens, parts in ((10**9, 10**9, 1), (40_000, 10**9, 2), (4_000, 5_000, 3), (30_000, 1, 5)):
+        scores.append({r.doc_id: r.score for r in lm.score(df.repartition(parts), shard_tokens=shard_tokens, chunk_tokens=chunk_tokens).collect()})
+    assert all(s == pytest.approx(scores[0], rel=1e-12) for s in scores[1:])
+
+
+def brute_trigram(rows, d=lm.DISCOUNT):
+    """Interpolated Kneser-Ney without quantisation: log10 probability of each text."""
+    texts = [words_of(t) + [None] for _, t in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in rows]
+    grams = [[(a, b, c) for a, b, c in zip([None, None, *x], [None, *x], x)] for x in texts]
+    three = Counter(g for x, h in zip(grams, held) if not h for g in x)
+    kinds = Counter((b, c) for _, b, c in three)
+    one = Counter(x for t, h in zip(texts, held) if not h for x in t)
+    n, v = sum(one.values()), len(one)
+    pair, pair_left, word, word_left = Counter(), Counter(), Counter(), Counter()
+    for (a, b, _), k in three.items():
+        pair[a, b] += k
+        pair_left[a, b] += min(k, d)
+    for (b, _), k in kinds.items():
+        word[b] += k
+        word_left[b] += min(k, d)
+
+    def p(a, b, c):
+        out = (one[c] + 0.5) / (n + 0.5 * (v + 1))
+        if word[b]:
+            out = (max(kinds[b, c] - d, 0) + word_left[b] * out) / word[b]
+        return (max(three[a, b, c] - d, 0) + pair_left[a, b] * out) / pair[a, b] if pair[a, b] else out
+
+    return [sum(math.log10(p(*g)) for g in x) for x in grams]
+
+
+@pytest.mark.parametrize("shard_tokens", [10**9, 2_000])
+def test_language_model_against_brute_trigrams(spark, docs_of, tricky, shard_tokens):
+    rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()] + TRICKY
+    got = lm.score(docs_of(rows), shard_tokens=shard_tokens).collect()
+    brute = sorted(((i is None, i or 0, s, len(words_of(t)) + 1) for (i, t), s in zip(rows, brute_trigram(rows))))
+    ours = sorted((r.doc_id is None, r.doc_id or 0, r.score, r.n_tokens) for r in got)
+    assert len(ours) == len(brute)
+    for (*a, x, n), (*b, y, m) in zip(ours, brute):
+        assert a == b and n == m and abs(x - y) <= 0.03 * n  # 8-bit factors: at most 0.014 each
+    ours, brute = ([x for x in y if x[3] < 20_000] for y in (ours, brute))  # without the text that has one trigram, and its rounding, 20,000 times
+    assert abs(sum(x[2] for x in ours) - sum(x[2] for x in brute)) <= 0.003 * sum(x[3] for x in brute)
