@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.operators import enforce, evaluate, policy, rewrite, rules
@@ -17,8 +19,10 @@ class AccessEngine:
         engine.execute_query("SELECT * FROM customer", "analyst")
     """
 
-    def __init__(self, spark: SparkSession, strict: bool = True, unknown_roles: str = "deny"):
-        self.spark, self.strict, self.unknown_roles = spark, strict, unknown_roles
+    def __init__(self, spark: SparkSession, strict: bool = True, unknown_roles: str = "deny", timeout: float | None = None):
+        self.spark, self.strict, self.unknown_roles, self.timeout = spark, strict, unknown_roles, timeout
+        self.name = "palisade_" + uuid.uuid4().hex  # no other engine's views are called so
+        self.views: set[str] = set()
         self.schema = Schema({})
         self.frames: dict[str, DataFrame] = {}
         self.policies: DataFrame | None = None
@@ -40,15 +44,27 @@ class AccessEngine:
         return self
 
     def reset(self) -> "AccessEngine":
-        self.__init__(self.spark, self.strict, self.unknown_roles)
+        self.close()
+        self.__init__(self.spark, self.strict, self.unknown_roles, self.timeout)
         return self
 
+    def role(self, role: str | None) -> str:
+        """The role as policies name it; PermissionError for one that nothing knows."""
+        own = (role or "").strip().lower()
+        if self.unknown_roles == "deny" and own not in self.roles:
+            raise PermissionError("unknown role")
+        return own
+
+    @property
+    def _known(self) -> list[str] | None:
+        return self.roles if self.unknown_roles == "deny" else None
+
     def _queries(self, sql: str | None, role: str) -> DataFrame:
         return self.spark.createDataFrame([("q", role, sql)], "query_id string, role string, sql string")
 
     def refine_queries(self, queries: DataFrame) -> DataFrame:
         """Batch form over (query_id, role, sql)."""
-        return rewrite.refine_queries(queries, self.policies, self.schema, self.roles if self.unknown_roles == "deny" else None, self.strict)
+        return rewrite.refine_queries(queries, self.policies, self.schema, self._known, self.strict)
 
     def refine_query(self, sql: str | None, role: str) -> dict:
         """status, refined_query, error, policies, rules; anything that fails is denied."""
@@ -59,30 +75,43 @@ class AccessEngine:
         return rules.effective_status(facts, rules.node_status(facts, self.policies))
 
     def check_queries(self, queries: DataFrame) -> DataFrame:
-        return enforce.check_queries(queries, policy.denied_sets(self.policies), self.schema)
+        return enforce.check_queries(queries, policy.denied_sets(self.policies), self.schema, self._known)
 
     def check_query(self, sql: str | None, role: str) -> dict:
         return self.check_queries(self._queries(sql, role)).first().asDict()
 
     def secured_view(self, table: str, role: str, scope: str = "all") -> DataFrame | None:
-        return enforce.secured(self.frames[table], table, role, self.policies, scope)
+        return enforce.secured(self.frames[table], table, self.role(role), self.policies, scope)
+
+    def _run(self, sql: str, frames: dict[str, DataFrame], prefix: str) -> DataFrame:
+        """sql over these frames and nothing else."""
+        views = enforce.named_views(frames, f"{self.name}_{prefix}")
+        self.views |= set(views.values())
+        text = enforce.over_views(sql, views)
+        enforce.read_only(self.spark, text)
+        df = self.spark.sql(text)
+        enforce.only_reads(df, set(views.values()))
+        enforce.no_explosion(df)
+        return enforce.within(df, self.timeout)
 
     def execute_query(self, sql: str, role: str, how: str = "realign") -> DataFrame:
         """Run what the role may run: realign rewrites, dbms checks and runs unchanged, view runs over secured views."""
+        own = self.role(role)
         if how == "view":
-            enforce.register_views(self.frames, role, self.policies)
-            return enforce.execute(self.spark, sql)
-        for name, df in self.frames.items():
-            df.createOrReplaceTempView(name)
-        if how == "dbms":
-            found = self.check_query(sql, role)
-            if found["decision"] != "allow":
-                raise PermissionError(found["reason"])
-            return enforce.execute(self.spark, sql)
-        found = self.refine_query(sql, role)
-        if found["status"] != "allow":
-            raise PermissionError(found["error"])
-        return enforce.execute(self.spark, found["refined_query"])
+            return self._run(sql, enforce.secured_frames(self.frames, own, self.policies), own.encode().hex() + "_view")
+        if how not in ("realign", "dbms"):
+            raise ValueError(f"no way {how}")
+        found = self.check_query(sql, own) if how == "dbms" else self.refine_query(sql, own)
+        if (found["decision"] if how == "dbms" else found["status"]) != "allow":
+            raise PermissionError(found["reason"] if how == "dbms" else found["error"])
+        return self._run(found["final_query"] if how == "dbms" else found["refined_query"], self.frames, "table")
+
+    def answer(self, sql: str, role: str = "public", how: str = "realign") -> dict:
+        """status, error and result (a DataFrame, null unless allowed): execute_query without exceptions."""
+        try:
+            return {"status": "allow", "error": None, "result": self.execute_query(sql, role, how)}
+        except Exception as e:
+            return {"status": "deny", "error": str(e).split("\n")[0], "result": None}
 
     def evaluate(self, samples: DataFrame) -> DataFrame:
         return evaluate.evaluate(samples, self.schema)
@@ -91,5 +120,7 @@ class AccessEngine:
         return evaluate.mode_summary(rows)
 
     def close(self) -> None:
-        for name in self.frames:
+        """Drop the views of this engine; the session's other views are never touched."""
+        for name in self.views:
             self.spark.catalog.dropTempView(name)
+        self.views = set()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,12 @@ def check(role: str, sql: str | None, denies: dict[str, set[str]], schema: Schem
     return "allow", None
 
 
-def check_queries(queries: DataFrame, denied: DataFrame, schema: Schema) -> DataFrame:
-    """query_id, role, decision, reason, final_query (null if denied) for queries (query_id, role, sql); denied: denied_sets()."""
+def check_queries(queries: DataFrame, denied: DataFrame, schema: Schema, known_roles: list[str] | None = None) -> DataFrame:
+    """query_id, role, decision, reason, final_query (null if denied) for queries (query_id, role, sql); denied: denied_sets().
+
+    Roles outside known_roles are denied everything (None: every role is known).
+    """
+    known = None if known_roles is None else {r.strip().lower() for r in known_roles}
     sets = denied.filter("scope = 'all'").groupBy("role").agg(F.map_from_entries(F.collect_list(F.struct("level", "names"))).alias("denies"))
 
     def run(batches):
@@ -48,11 +53,12 @@ def check_queries(queries: DataFrame, denied: DataFrame, schema: Schema) -> Data
             rows = []
             for q, role, sql, denies in pdf.itertuples(index=False):
                 d = {k: set(v) for k, v in (dict(denies).items() if denies is not None else ())}
-                decision, why = check(role, sql, d, schema)
+                unknown = known is not None and (role or "").strip().lower() not in known
+                decision, why = ("deny", "unknown role") if unknown else check(role, sql, d, schema)
                 rows.append((q, role, decision, why, sql if decision == "allow" else None))
             yield pd.DataFrame(rows, columns=["query_id", "role", "decision", "reason", "final_query"])
 
-    return queries.select("query_id", "role", "sql").join(sets, "role", "left").select("query_id", "role", "sql", "denies").mapInPandas(run, "query_id string, role string, decision string, reason string, final_query string")
+    return queries.select("query_id", "role", "sql", F.lower(F.trim("role")).alias("_role")).join(sets.withColumnRenamed("role", "_role"), "_role", "left").select("query_id", "role", "sql", "denies").mapInPandas(run, "query_id string, role string, decision string, reason string, final_query string")
 
 
 def secured(df: DataFrame, table: str, role: str, policies: DataFrame, scope: str = "all") -> DataFrame | None:
@@ -71,25 +77,99 @@ def secured(df: DataFrame, table: str, role: str, policies: DataFrame, scope: st
     kept = [c for c in df.columns if c.lower() not in gone and f"{table}.{c.lower()}" not in gone]
     if not kept:
         return None
-    conditions = policies.filter((F.col("role") == role.lower()) & (F.col("table_name") == table) & (F.col("level") == "Row") & (F.col("grant") == "Conditional")).select("condition").distinct().collect()
+    conditions = policies.filter((F.col("role") == role.strip().lower()) & (F.col("table_name") == table) & (F.col("level") == "Row") & (F.col("grant") == "Conditional")).select("condition").distinct().collect()
     for c in sorted(r["condition"] for r in conditions if r["condition"]):
         df = df.filter(F.expr(c))
     return df.select(*kept)
 
 
-def register_views(frames: dict[str, DataFrame], role: str, policies: DataFrame, scope: str = "all") -> list[str]:
-    """Secured temporary views under the tables' own names; any SQL over them is safe by construction."""
-    out = []
+def named_views(frames: dict[str, DataFrame], prefix: str) -> dict[str, str]:
+    """Temporary views under names of their own, which no other engine or role has: table -> view."""
+    out = {}
     for table, df in frames.items():
-        view = secured(df, table, role, policies, scope)
-        if view is None:
-            df.sparkSession.catalog.dropTempView(table)
-        else:
-            view.createOrReplaceTempView(table)
-            out.append(table)
+        out[table] = f"{prefix}_{table}"
+        df.createOrReplaceTempView(f"`{out[table]}`")
     return out
 
 
+def secured_frames(frames: dict[str, DataFrame], role: str, policies: DataFrame, scope: str = "all") -> dict[str, DataFrame]:
+    """What a role may see of each table; tables of which it may see nothing are left out."""
+    shown = {t: secured(df, t, role, policies, scope) for t, df in frames.items()}
+    return {t: df for t, df in shown.items() if df is not None}
+
+
+_LEAD = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*", re.S)
+
+
+def over_views(sql: str, views: dict[str, str]) -> str:
+    """The query with the tables it may read as common table expressions, which stand before all that the session calls so."""
+    body = sql[_LEAD.match(sql).end() :]
+    named = {t: v for t, v in views.items() if re.search(rf"(?<![\w]){re.escape(t)}(?![\w])", body, re.I)}
+    if not named:
+        return body
+    heads = ", ".join(f"`{t}` AS (SELECT * FROM `{v}`)" for t, v in sorted(named.items()))
+    m = re.match(r"with\b(\s+recursive\b)?", body, re.I)
+    if m:
+        return f"WITH{(m[1] or '').upper()} {heads}, {body[m.end() :]}"
+    return f"WITH {heads} {body}"
+
+
+def _plans(plan, inside: bool = True):
+    """A plan's nodes and those of its subqueries, in pre-order; below a node for which the caller sends True nothing is visited."""
+    if (yield plan):
+        return
+    for part in (plan.children(), plan.subqueries()) if inside else (plan.children(),):
+        it = part.iterator()
+        while it.hasNext():
+            yield from _plans(it.next(), inside)
+
+
+#: Leaves that hold no stored rows.
+_HARMLESS = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"}
+
+
+def read_only(spark: SparkSession, sql: str) -> None:
+    """Refuse what is no query, before anything of it runs."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    named = spark._jvm.java.lang.Class
+    kinds = [named.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    nodes = _plans(plan)
+    for node in nodes:
+        if any(k.isInstance(node) for k in kinds):
+            raise PermissionError("only SELECT is permitted")
+
+
+def only_reads(df: DataFrame, views: set[str]) -> None:
+    """Refuse a query that reads anything but the views: files, tables and views of the session."""
+    nodes = _plans(df._jdf.queryExecution().analyzed())
+    node, below = next(nodes, None), False
+    while node is not None:
+        below = False
+        if node.nodeName() == "View":
+            if node.desc().identifier().table() not in views:
+                raise PermissionError("the query reads a view that is not the role's")
+            below = True
+        elif node.children().isEmpty() and node.nodeName() not in _HARMLESS:
+            raise PermissionError(f"the query reads {node.nodeName()}, which is no table of the catalog")
+        try:
+            node = nodes.send(below)
+        except StopIteration:
+            node = None
+
+
+#: Estimated bytes of the smaller side up to which a join without a condition runs.
+CROSS_BYTES = 64 << 20
+
+
+def no_explosion(df: DataFrame, most: int = CROSS_BYTES) -> None:
+    """Refuse a plan that joins two large relations without a condition, as a query may that has lost its ON."""
+    for node in _plans(df._jdf.queryExecution().optimizedPlan()):
+        if node.nodeName() == "Join" and node.condition().isEmpty():
+            sizes = [int(str(side.stats().sizeInBytes())) for side in (node.left(), node.right())]
+            if min(sizes) > most:
+                raise PermissionError(f"a join without a condition over about {min(sizes)} bytes on its smaller side")
+
+
 def parses(spark: SparkSession, sql: str) -> bool:
     """Whether Spark's own parser accepts the text."""
     try:
@@ -99,18 +179,19 @@ def parses(spark: SparkSession, sql: str) -> bool:
         return False
 
 
-def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> DataFrame:
-    """The query's result, taken to the first row under a time limit if one is given."""
-    df = spark.sql(sql)
+def within(df: DataFrame, timeout: float | None) -> DataFrame:
+    """df, taken to its first row under a time limit in seconds if one is given; what takes longer fails."""
     if timeout is not None:
+        context = df.sparkSession.sparkContext
         group = f"palisade-{threading.get_ident()}-{id(df)}"
-        spark.sparkContext.setJobGroup(group, sql[:100], True)
-        timer = threading.Timer(timeout, lambda: spark.sparkContext.cancelJobGroup(group))
+        context.setJobGroup(group, "a query under a time limit", True)
+        timer = threading.Timer(timeout, lambda: context.cancelJobGroup(group))
         timer.start()
         try:
             df.limit(1).collect()
         finally:
             timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
     return df
 
 
@@ -122,13 +203,61 @@ def restriction_hint(denied: DataFrame) -> DataFrame:
 
 def filtered_catalog(columns: DataFrame, denied: DataFrame, role: str, scope: str = "all") -> DataFrame:
     """The catalog without what the role is denied; a table with no column left is gone."""
-    d = denied.filter((F.col("role") == role) & (F.col("scope") == scope)).select("level", F.explode("names").alias("name"))
+    d = denied.filter((F.col("role") == role.strip().lower()) & (F.col("scope") == scope)).select("level", F.explode("names").alias("name"))
     tables = d.filter("level = 'table'").select(F.col("name").alias("t"))
     names = d.filter("level = 'column'").select(F.col("name").alias("n"))
     left = columns.join(tables, F.lower("table_name") == F.col("t"), "left_anti")
     return left.join(names, (F.lower("column_name") == F.col("n")) | (F.concat_ws(".", F.lower("table_name"), F.lower("column_name")) == F.col("n")), "left_anti")
 
 
+def filtered_descriptions(descriptions: DataFrame, denied: DataFrame, role: str, scope: str = "all") -> DataFrame:
+    """Column descriptions (table_name, column_name, ...) without those of denied tables and columns."""
+    return filtered_catalog(descriptions, denied, role, scope)
+
+
+def contexts(columns: DataFrame, foreign: DataFrame, denied: DataFrame, role: str, how: str) -> DataFrame:
+    """schema_text, hint: what a generator is told of a role's database.
+
+    view: what the role may see; prompt: all of it, and in words what the role
+    may not use; base: all of it.
+    """
+    from palisade.sources.catalog import light_schema
+
+    if how == "view":
+        columns = filtered_catalog(columns, denied, role)
+        foreign = filtered_foreign_keys(foreign, columns)
+    text = light_schema(columns, foreign).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_name", "text"))), lambda x: x["text"]), "\n\n").alias("schema_text"))
+    hints = restriction_hint(denied).filter(F.col("role") == role.strip().lower()).select("hint") if how == "prompt" else None
+    if hints is None:
+        return text.withColumn("hint", F.lit(None).cast("string"))
+    return text.join(hints, F.lit(True), "left")  # one row each
+
+
+def generate_queries(cases: DataFrame, context: DataFrame, generate, method: str) -> DataFrame:
+    """sample_id, role, method, sql, prompt_chars: what generate(question, schema text, hint) answers to each case (sample_id, role, question, evidence).
+
+    generate runs on executors; a case that it fails on gets a null.
+    """
+    told = context.first()  # one row: the text of a schema
+    schema_text, hint = told["schema_text"], told["hint"]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for sample, role, question, evidence in pdf.itertuples(index=False):
+                whole = " ".join(x for x in (evidence, hint) if x)
+                try:
+                    sql = generate(question, schema_text, whole)
+                except Exception:
+                    sql = None
+                rows.append((sample, role, method, sql, len(schema_text or "") + len(question or "") + len(whole)))
+            yield pd.DataFrame(rows, columns=["sample_id", "role", "method", "sql", "prompt_chars"])
+
+    return cases.select("sample_id", "role", "question", "evidence").mapInPandas(run, "sample_id string, role string, method string, sql string, prompt_chars long")
+
+
 def filtered_foreign_keys(foreign: DataFrame, visible: DataFrame) -> DataFrame:
     """Foreign keys both of whose columns are visible."""
     side = lambda t, c: visible.select(F.col("table_name").alias(t), F.col("column_name").alias(c))

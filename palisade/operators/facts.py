@@ -36,6 +36,9 @@ class Source:
     alias: str
     table: str | None = None
     outputs: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
+    #: Outputs that USING or NATURAL has merged into another relation's; by name the two of a full join.
+    hidden: set[str] = field(default_factory=set)
+    merged: dict[str, tuple["Source", "Source"]] = field(default_factory=dict)
 
 
 @dataclass
@@ -44,6 +47,7 @@ class Schema:
 
     tables: dict[str, list[str]]
     names: dict[str, str] = field(default_factory=dict)  # lower case to the name as given
+    databases: frozenset[str] = frozenset()  # qualifiers that tables may carry
 
     @staticmethod
     def of(tables: dict[str, list[str]]) -> "Schema":
@@ -87,6 +91,7 @@ class Resolver:
 
     def table(self, n: Node, ctes: dict) -> Source:
         name, alias = norm(n.name), norm(n.extra.get("alias") or n.name)
+        self.qualifier(n)
         if name in ctes:
             n.extra["cte"] = True
             return Source(alias, None, ctes[name])
@@ -95,6 +100,43 @@ class Resolver:
         n.extra["base"] = name
         return Source(alias, name, {c: [(name, c)] for c in self.schema.tables[name]})
 
+    def qualifier(self, n: Node) -> None:
+        """Only names of this catalog stand; its own qualifier goes."""
+        given = n.extra.get("qualifier")
+        if given and norm(given) not in self.schema.databases:
+            raise ResolveError(f"unknown database {given}")
+        n.extra["qualifier"] = ""
+
+    def merge(self, part: Node, left: list[Source], right: Source) -> None:
+        """Turn USING and NATURAL into an ON condition, so that their columns meet the rules as all others do."""
+        natural = "NATURAL" in part.name.split()
+        seen = {c for s in left for c in s.outputs if c not in s.hidden}
+        names = [c for c in right.outputs if c in seen] if natural else [norm(c) for c in part.extra.get("using") or []]
+        if not natural and not names:
+            return
+        pairs = []
+        for c in names:
+            owner = next((s for s in left if c in s.outputs and c not in s.hidden), None)
+            if owner is None or c not in right.outputs:
+                raise ResolveError(f"unknown column {c}")
+            if not owner.alias or not right.alias:
+                raise ResolveError("a relation joined by column names needs a name")
+            if part.name.startswith("FULL"):
+                owner.merged[c] = (owner, right)
+                right.hidden.add(c)
+            elif part.name.startswith("RIGHT"):
+                owner.hidden.add(c)
+            else:
+                right.hidden.add(c)
+            pairs.append(Node("Compare", "=", [self.qualified(c, owner), self.qualified(c, right)]))
+        part.name = " ".join(w for w in part.name.split() if w != "NATURAL")
+        part.extra["using"] = []
+        if pairs:
+            part.children = [part.children[0], pairs[0] if len(pairs) == 1 else Node("And", "", pairs)]
+
+    def qualified(self, column: str, source: Source) -> Node:
+        return Node("Column", self.schema.shown(column), [], {"table": self.schema.shown(source.alias)})
+
     def query(self, n: Node, ctes: dict, outer: list[list[Source]]) -> dict[str, list]:
         """Lineage of the outputs by name."""
         if n["With"]:
@@ -122,10 +164,14 @@ class Resolver:
                     else:
                         source = Source(norm(r.extra.get("alias")), None, self.query(r.children[0], ctes, outer + [sources]))
                         r.extra["source"] = source
+                    if part.kind == "Join":
+                        self.merge(part, sources, source)
                     sources.append(source)
         select = n["SelectClause"]
         select.children = [y for x in select.children for y in self.expanded(x, sources)]
+        names = [x.name if x.kind == "Column" else "" for x in select.children]
         self.expression(select, sources, outer, ctes)
+        select.children = [Node("Alias", c, [x]) if c and x.kind == "Function" else x for c, x in zip(names, select.children)]
         out: dict[str, list] = {}
         for i, x in enumerate(select.children):
             name = norm(x.name) if x.kind in ("Alias", "Column") else f"_{i}"
@@ -144,7 +190,16 @@ class Resolver:
         if not own:
             raise ResolveError(f"unknown table {x.extra.get('table')}")
         many = len(sources) > 1
-        return [Node("Column", self.schema.shown(c), [], {"table": self.schema.shown(s.alias) if many or s.table else "", "star": True}) for s in own for c in s.outputs]
+        out = []
+        for s in own:
+            for c in s.outputs:
+                if c in s.hidden and not x.extra.get("table"):
+                    continue
+                if c in s.merged and not x.extra.get("table"):
+                    out.append(Node("Alias", self.schema.shown(c), [Node("Column", self.schema.shown(c), [], {"table": ""})]))
+                else:
+                    out.append(Node("Column", self.schema.shown(c), [], {"table": self.schema.shown(s.alias) if many or s.table else "", "star": True}))
+        return out
 
     def expression(self, n: Node, sources: list[Source], outer: list[list[Source]], ctes: dict, aliases: dict | None = None) -> None:
         if n.kind in ("Select", "SetOp"):
@@ -157,9 +212,17 @@ class Resolver:
 
     def column(self, n: Node, sources: list[Source], outer: list[list[Source]], aliases: dict) -> None:
         name, table = norm(n.name), norm(n.extra.get("table"))
+        self.qualifier(n)
         for level in [sources, *reversed(outer)]:
+            shared = any(name in s.hidden for s in level)
             for s in level:
-                if (not table or s.alias == table) and name in s.outputs:
+                if (s.alias == table if table else name not in s.hidden) and name in s.outputs:
+                    if not table and name in s.merged:  # the first value of a full join's two
+                        n.kind, n.name, n.extra = "Function", "coalesce", {"distinct": False, "id": n.extra.get("id")}
+                        n.children = [self.qualified(name, x) for x in s.merged[name]]
+                        return  # the walk goes on with the two
+                    if not table and shared:
+                        n.extra["table"] = self.schema.shown(s.alias)
                     n.extra |= {"refs": s.outputs[name], "owner": s}
                     return
         if not table and name in aliases:

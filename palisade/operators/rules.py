@@ -63,9 +63,9 @@ def node_status(facts: DataFrame, policies: DataFrame) -> DataFrame:
     conditions on the pairs.
     """
     on_column = F.col("kind") == "ColumnRef"
-    refs = references(facts).withColumn("name_key", F.when(on_column, F.concat(F.lit("c "), "ref_column")).otherwise(F.concat(F.lit("t "), "ref_table"))).withColumn("role_key", F.lower("role"))
+    refs = references(facts).withColumn("name_key", F.when(on_column, F.concat(F.lit("c "), "ref_column")).otherwise(F.concat(F.lit("t "), "ref_table"))).withColumn("role_key", F.lower(F.trim("role")))
     p = policies.select(*[F.col(c).alias("p_" + c) for c in policies.columns])
-    p = p.withColumn("name_key", F.when(F.col("p_level") == "Column", F.concat(F.lit("c "), "p_column_name")).otherwise(F.concat(F.lit("t "), "p_table_name"))).withColumn("role_key", F.lower("p_role"))
+    p = p.withColumn("name_key", F.when(F.col("p_level") == "Column", F.concat(F.lit("c "), "p_column_name")).otherwise(F.concat(F.lit("t "), "p_table_name"))).withColumn("role_key", F.lower(F.trim("p_role")))
     pairs = refs.join(p, ["role_key", "name_key"]).filter(~on_column | F.col("p_table_name").isNull() | (F.col("p_table_name") == F.col("ref_table")))
     found = F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("status"), F.lit(r).alias("rule"))) for r, (s, c) in _conditions().items()]), lambda x: x.isNotNull())
     each = pairs.withColumn("hit", F.explode(found))

@@ -330,6 +330,38 @@ def enf_execute_checked(spark, sf_dir):
     return engine(spark, sf_dir).execute_query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "public", "dbms")
 
 
+#: Attempts to get round the rules: name, role, query, and what each way of running makes of it.
+_HOLES = [
+    ("unknown role", "visitor", "SELECT r_name FROM region", "deny", "deny", "deny"),
+    ("no role", "", "SELECT r_name FROM region", "deny", "deny", "deny"),
+    ("other case of the role", " Analyst ", "SELECT c_name FROM customer", "deny", "deny", "deny"),
+    ("role in capitals", "STAFF", "SELECT c_custkey FROM customer", "deny", "deny", "deny"),
+    ("join by USING", "staff", "SELECT a.n_name FROM nation AS a JOIN (SELECT n_nationkey AS c_nationkey FROM nation) AS k ON a.n_nationkey = k.c_nationkey JOIN customer AS b USING (c_nationkey) WHERE b.c_name = 'x'", "allow", "deny", "deny"),
+    ("column merged by USING", "analyst", "SELECT c_name FROM customer AS a JOIN customer AS b USING (c_name)", "deny", "deny", "deny"),
+    ("column merged by NATURAL", "analyst", "SELECT c_name FROM customer AS a NATURAL FULL JOIN customer AS b", "deny", "deny", "deny"),
+    ("qualified table", "public", "SELECT n_name FROM otherdb.nation", "deny", "deny", "deny"),
+    ("qualified column", "public", "SELECT otherdb.nation.n_name FROM nation", "deny", "deny", "deny"),
+    ("file as a table", "public", "SELECT * FROM parquet.`{dir}/customer.parquet`", "deny", "deny", "deny"),
+    ("file in a subquery", "public", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM parquet.`{dir}/customer.parquet`)", "deny", "deny", "deny"),
+    ("view of the session", "public", "SELECT * FROM everything", "deny", "deny", "deny"),
+    ("statement that changes", "public", "DROP VIEW everything", "deny", "deny", "deny"),
+    ("statement behind a comment", "public", "/* SELECT */ CREATE VIEW v AS SELECT 1", "deny", "deny", "deny"),
+    ("join without a condition", "admin", "SELECT COUNT(*) AS n FROM lineitem AS a, lineitem AS b WHERE a.l_tax > b.l_tax", "allow", "allow", "allow"),
+    ("what is permitted", "Public", "SELECT n_name FROM nation", "allow", "allow", "allow"),
+]
+
+
+@query(values([(n, *outcome) for n, _, _, *outcome in _HOLES], "attempt, realign, dbms, view"))
+def enf_closed(spark, sf_dir):
+    """All ways of running stay closed to what the role may not read."""
+    e = engine(spark, sf_dir)
+    e.frames["customer"].createOrReplaceTempView("everything")
+    rows = [(n, *(e.answer(sql.replace("{dir}", sf_dir), role, how)["status"] for how in ("realign", "dbms", "view"))) for n, role, sql, *_ in _HOLES]
+    spark.catalog.dropTempView("everything")
+    e.close()
+    return spark.createDataFrame(rows, "attempt string, realign string, dbms string, view string")
+
+
 @query(values([(i * 3 + j, f"{a}_{b}", a, b) for i, a in enumerate(enforce.PRE) for j, b in enumerate(enforce.POST)], "position, mode, method, layer"))
 def enf_modes(spark, sf_dir):
     return enforce.modes(spark)

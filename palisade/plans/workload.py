@@ -55,7 +55,35 @@ WORKLOAD: dict[str, tuple[str, str, str]] = {
     ),
     "left_join": (
         "staff", "SELECT p_partkey, l_orderkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 49",
-        "SELECT p_partkey, l_orderkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 49 WHERE l_returnflag <> 'R'",
+        "SELECT p_partkey, l_orderkey FROM part LEFT JOIN lineitem ON p_partkey = l_partkey AND l_quantity > 49 AND l_returnflag <> 'R'",
+    ),
+    "right_join": (
+        "staff", "SELECT p_partkey, l_orderkey FROM lineitem RIGHT JOIN part ON p_partkey = l_partkey AND l_quantity > 49",
+        "SELECT p_partkey, l_orderkey FROM part LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag <> 'R') ON p_partkey = l_partkey AND l_quantity > 49",
+    ),
+    "full_join": (
+        "analyst", "SELECT n_name, c_custkey FROM nation FULL JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000",
+        "SELECT n_name, c_custkey FROM nation FULL JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON n_nationkey = c_nationkey AND c_acctbal > 9000",
+    ),
+    "using": (
+        "analyst", "SELECT c_nationkey, a.c_custkey, b.c_custkey AS other FROM customer a JOIN customer b USING (c_nationkey) WHERE a.c_custkey < b.c_custkey AND a.c_custkey < 60",
+        "SELECT a.c_nationkey, a.c_custkey, b.c_custkey AS other FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey < b.c_custkey AND a.c_custkey < 60 AND a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'BUILDING'",
+    ),
+    "natural_star": (
+        "public", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) y",
+        "SELECT n_regionkey AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey",
+    ),
+    "full_using": (
+        "admin", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x FULL JOIN (SELECT n_nationkey + 10 AS k, n_regionkey AS b FROM nation) y USING (k)",
+        "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x FULL JOIN (SELECT n_nationkey + 10 AS k, n_regionkey AS b FROM nation) y USING (k)",
+    ),
+    "window_frame": (
+        "analyst", "SELECT o_custkey, o_orderkey, COUNT(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'",
+        "SELECT o_custkey, o_orderkey, COUNT(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'",
+    ),
+    "grouping_sets": (
+        "staff", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_quantity > 25) AS many FROM lineitem WHERE (l_tax > 0.02) IS TRUE GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())",
+        "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_quantity > 25) AS many FROM lineitem WHERE l_tax > 0.02 AND l_returnflag <> 'R' GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())",
     ),
     "self_join": (
         "staff", "SELECT a.l_orderkey, a.l_linenumber, b.l_linenumber AS other FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_quantity = 50",

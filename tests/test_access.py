@@ -93,7 +93,7 @@ def cells(frame):
     return sorted(tuple(map(show, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["flagship", "run_where", "run_cte", "run_self_join", "run_broken_on", "src_columns", "rule_status", "refine_decisions", "refine_idempotent", "pol_denied_sets", "pol_allowed", "pol_compile", "enf_check", "enf_secured_part_public", "gen_role_copies", "gen_where", "ret_bm25", "ev_mode_summary", "ev_predictions", "ev_corpus_profile"])
+@pytest.mark.parametrize("name", ["flagship", "run_where", "run_cte", "run_self_join", "run_broken_on", "run_left_join", "run_right_join", "run_full_join", "run_using", "run_natural_star", "run_full_using", "run_window_frame", "run_grouping_sets", "enf_closed", "src_columns", "rule_status", "refine_decisions", "refine_idempotent", "pol_denied_sets", "pol_allowed", "pol_compile", "enf_check", "enf_secured_part_public", "gen_role_copies", "gen_where", "ret_bm25", "ev_mode_summary", "ev_predictions", "ev_corpus_profile"])
 def test_query_against_sql(spark, oracle, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), oracle.execute(registry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
