@@ -21,13 +21,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.elias_fano import Trie, quantise, restore
-from palisade.llm.shared import crc_mod, forget, materialize, small_batches, table, tidy, trim
+from palisade.llm.shared import crc_mod, forget, materialize, small_batches, squeeze, table, tidy, trim, unsqueeze
 
 #: Tokens of a chunk; a longer document is a chunk of its own.
 CHUNK_TOKENS = 2_000_000
@@ -44,25 +43,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    used = 8 - int(np.argmax(planes[::-1].any(1))) if len(values) and planes.any() else 1
-    return bytes([used]) + b"".join(len(c).to_bytes(4, "little") + c for c in (zstandard.compress(planes[i].tobytes(), 1) for i in range(used)))
-
-
-def unsqueeze(raw: bytes) -> np.ndarray:
-    used, at, planes = raw[0], 1, []
-    for _ in range(used):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        planes.append(np.frombuffer(zstandard.decompress(raw[at + 4 : at + 4 + n]), np.uint8))
-        at += 4 + n
-    out = np.zeros((len(planes[0]), 8), np.uint8)
-    for i, p in enumerate(planes):
-        out[:, i] = p
-    return out.view(np.uint64).ravel()
-
-
 class _Chunk:
     """Texts of a chunk: tokens are numbers of words, after the end the most frequent first; hashes of the words."""
 

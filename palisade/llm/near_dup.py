@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.components import labels
-from palisade.llm.shared import forget, materialize, small_batches, table, tidy
+from palisade.llm.shared import forget, materialize, small_batches, squeeze, table, tidy, unsqueeze
 
 #: Minwise tokens of a set; two bits of each form its sketch.
 SIGNATURE = 128
@@ -41,6 +41,8 @@ DEPTH = 3
 SMALL = 64
 #: Members of a block of a large node.
 BLOCK = 256
+#: Shingles of a chunk of sets, and of a shard of shingles, on average, while they are counted.
+CHUNK_SHINGLES, SHARD_SHINGLES = 1 << 19, 1 << 20
 #: Pairs of one set that are confirmed together; more are dealt out.
 PAIRS = 2048
 #: Distinct words whose hashes a task keeps, and letters of the longest.
@@ -250,28 +252,81 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(own, "c", "left").withColumn("label", F.coalesce("label", "c"))
 
 
-def _shingles_of(sets: DataFrame) -> DataFrame:
-    """c, shingle from (c, raw)."""
+def _set_chunks(sets: DataFrame, chunk_shingles: int) -> DataFrame:
+    """chunk, c (8 bytes each), sizes (4), raw (6 bytes a shingle), n: sets (c, raw) end to end."""
 
     def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out():
+            c, raws = zip(*held)
+            cells = [number, np.array(c, np.int64).tobytes(), np.array([len(r) // 6 for r in raws], np.uint32).tobytes(), b"".join(raws), size]
+            return pa.record_batch([pa.array([x], t) for x, t in zip(cells, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()))], ["chunk", "c", "sizes", "raw", "n"])
+
         for batch in batches:
-            wide = [_wide(raw.as_buffer()) for raw in batch.column("raw")]
-            if wide:
-                yield pa.record_batch([pa.array(np.repeat(batch.column("c").to_numpy(), [len(w) for w in wide])), pa.array(np.concatenate(wide).view(np.int64))], ["c", "shingle"])
+            for item in zip(batch.column("c").to_pylist(), batch.column("raw").to_pylist()):
+                held.append(item)
+                size += len(item[1]) // 6
+                if size >= chunk_shingles:
+                    yield out()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield out()
+
+    return sets.select("c", "raw").mapInArrow(tidy(run), "chunk long, c binary, sizes binary, raw binary, n long")
 
-    return sets.select("c", "raw").mapInArrow(tidy(run), "c long, shingle long")
 
+def _by_shard(raw: bytes, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a chunk by shard and value, how many sets of the chunk hold each, where shards begin, and the place of each shingle's."""
+    keys, number, counts = np.unique(_wide(raw), return_inverse=True, return_counts=True)
+    shard = (_mix(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return keys[order], counts[order], np.searchsorted(shard[order], np.arange(shards + 1)), rank[number]
 
-def _able(sets: DataFrame, percent: int) -> DataFrame:
-    """c, fame (mean number of sets that hold its shingles) of the sets that can be linked with another at all.
+
+def _able(sets: DataFrame, percent: int, chunk_shingles: int = CHUNK_SHINGLES, shard_shingles: int = SHARD_SHINGLES) -> DataFrame:
+    """c, fame (mean number of sets that hold its shingles) of the sets (c, raw) that can be linked with another at all.
 
     Of a linked set at least percent of a hundred shingles are in the other.
+    Shingles travel packed, in one message for each chunk of sets and shard of
+    shingles, and so do the answers.
     """
-    all_ = _shingles_of(sets)
-    common = all_.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
-    found = all_.join(common, "shingle").groupBy("c").agg(F.count("*").alias("shared"), F.sum("held").alias("fame"))
-    size = sets.select("c", (F.length("raw") / 6).cast("long").alias("size"))
-    return found.join(size, "c").filter(F.col("shared") * 100 >= F.col("size") * percent).select("c", (F.col("fame") / F.col("size")).alias("fame"))
+    chunks = materialize(_set_chunks(sets, chunk_shingles), "dup-chunks")
+    shards = max(1, -(-(chunks.agg(F.sum("n")).first()[0] or 0) // shard_shingles))
+
+    def ask(batches):
+        for batch in batches:
+            for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("raw").to_pylist()):
+                keys, counts, cuts, _ = _by_shard(raw, shards)
+                for s in np.flatnonzero(np.diff(cuts)):
+                    own = slice(cuts[s], cuts[s + 1])
+                    yield pa.record_batch([pa.array([s], pa.int32()), pa.array([chunk]), pa.array([squeeze(np.diff(keys[own], prepend=np.uint64(0)))]), pa.array([squeeze(counts[own])])], ["shard", "chunk", "keys", "counts"])
+
+    def add(key, t):
+        keys, counts = ([unsqueeze(x) for x in t[c].to_pylist()] for c in ("keys", "counts"))
+        keys = [np.cumsum(k) for k in keys]
+        _, number = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(number, np.concatenate(counts)).astype(np.uint64)
+        raws = [squeeze(total[n]) for n in np.split(number, np.cumsum([len(k) for k in keys])[:-1])]
+        return pa.table({"chunk": t["chunk"], "shard": t["shard"], "held": pa.array(raws, pa.binary())})
+
+    def judge(key, left, right):
+        if not left.num_rows:
+            return left.select(["c"]).cast(pa.schema([("c", pa.int64())])).append_column("fame", pa.array([], pa.float64()))
+        row = {c: left[c][0].as_py() for c in ("c", "sizes", "raw")}
+        size = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
+        answers = dict(zip(right["shard"].to_pylist(), right["held"].to_pylist()))
+        held = np.concatenate([unsqueeze(answers[s]) for s in sorted(answers)])[_by_shard(row["raw"], shards)[3]].astype(np.int64)
+        starts = np.cumsum(size) - size
+        shared, fame = np.add.reduceat((held > 1).astype(np.int64), starts), np.add.reduceat(held, starts) / size
+        good = shared * 100 >= size * percent
+        return pa.table({"c": pa.array(np.frombuffer(row["c"], np.int64)[good]), "fame": pa.array(fame[good])})
+
+    asked = chunks.select("chunk", "raw").mapInArrow(tidy(ask), "shard int, chunk long, keys binary, counts binary")
+    answered = asked.groupBy("shard").applyInArrow(add, "chunk long, shard int, held binary")
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(judge, "c long, fame double")
 
 
 def _dense_links(dense: DataFrame, sets: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
