@@ -110,27 +110,35 @@ def assign(docs: DataFrame, plan: Plan = Plan(), whole: bool = False, id_col: st
     one.  Prefix sums go through hash buckets of each source, so that no task
     needs a whole source.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    columns = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), key.alias("key"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep) if c != text_col]]
+    kept = [(f"_keep{i}", c) for i, c in enumerate(keep) if c != text_col]
+    columns = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _key(id_col).alias("key"), *[F.col(c).alias(k) for k, c in kept]]
     sized = materialize(docs.select(*columns), "mix-sizes")
-    rows = sized.count()
-    digits = 0
-    while 16**digits * bucket_rows < rows:
+    placed = _taken(sized, sized, plan, whole, bucket_rows, ["key", "size"])
+    position = F.when(F.col("taken") > 0, inverse_demand(F.least(F.lit(1.0), F.col("run_before") / F.col("target")), F.col("ramp")))
+    return placed.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", position.alias("position"), "passes", "run_before", "ramp", "key", *[F.col(k).alias(c) for k, c in kept])
+
+
+def _key(id_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def _taken(rows: DataFrame, sized: DataFrame, plan: Plan, whole: bool, bucket_rows: int, order: list) -> DataFrame:
+    """rows (source, size, key, others) with source_size, target, ramp, run_before, passes and taken; sized: the same rows' source, size and key, cheaply read."""
+    n, digits = sized.count(), 0
+    while 16**digits * bucket_rows < n:
         digits += 1
-    bucketed = sized.withColumn("bucket", F.substring("key", 1, digits))
-    buckets = materialize(bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    bucket = F.substring("key", 1, digits).alias("bucket")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("name")  # of a source, null too: one key for join and window
+    buckets = materialize(sized.select("source", "size", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
     per_source = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), plan)
-    starts = _starts(buckets, digits).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b").join(per_source.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2", "bucket_size")
-    placed = bucketed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-    within = W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
+    starts = _starts(buckets, digits).join(per_source.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
+    placed = rows.select("*", bucket, name).join(starts.select(name, "bucket", "bucket_before", "source_size", "target", "ramp"), ["name", "bucket"])
+    within = W.partitionBy("name", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("run_before", F.col("bucket_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     extra = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long") - F.col("run_before")
     part = F.when(2 * F.col("extra") >= F.col("size"), F.col("size")).otherwise(F.lit(0)) if whole else F.greatest(F.lit(0), F.least("size", "extra"))
-    placed = placed.withColumn("passes", passes).withColumn("extra", extra).withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long"))
-    position = F.when(F.col("taken") > 0, inverse_demand(F.least(F.lit(1.0), F.col("run_before") / F.col("target")), F.col("ramp")))
-    kept = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep) if c != text_col]
-    return placed.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", position.alias("position"), "passes", "run_before", "ramp", "key", *kept)
+    return placed.withColumn("passes", passes).withColumn("extra", extra).withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long")).drop("name", "bucket", "bucket_before", "extra")
 
 
 def copies(assigned: DataFrame) -> DataFrame:
@@ -142,19 +150,20 @@ def copies(assigned: DataFrame) -> DataFrame:
     return each.withColumn("words", words).withColumn("position", inverse_demand(share, F.col("ramp")))
 
 
-def in_training_order(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def in_training_order(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Whole documents, each as often as the mix takes it (some never), range-sorted by training position; the columns of docs.
 
     Equal rows and rows with equal or null ids are documents of their own.  An
     empty table gives an empty one.
     """
     names = [f"_{i}" for i in range(len(docs.columns))]
-    place = {c: n for c, n in zip(docs.columns, names)}
-    numbered = materialize(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "mix-texts")
-    taken = copies(assign(numbered, plan, True, place[id_col], place[text_col], place[source_col], keep=("_row",)))
-    taken = taken.select("_row", "position", "key", "copy")
-    ordered = numbered.join(taken, "_row").orderBy("position", "key", "_row", "copy")
-    return ordered.select(*[F.col(n).alias(c) for c, n in place.items()])
+    place = dict(zip(docs.columns, names))
+    source, size, key = F.col(place[source_col]).alias("source"), size_of(F.col(place[text_col])).alias("size"), _key(place[id_col]).alias("key")
+    rows = docs.toDF(*names)
+    sized = materialize(rows.select(source, size, key), "mix-sizes")
+    whole = rows.select("*", source, size, key, F.xxhash64(*names).alias("tie"))  # texts are shuffled twice, to their place in the source and to that in training
+    each = copies(_taken(whole, sized, plan, True, bucket_rows, ["key", "size", "tie"]))
+    return each.orderBy("position", "key", "tie", "copy").select(*[F.col(n).alias(c) for c, n in place.items()])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
