@@ -16,7 +16,7 @@ from palisade.llm import scan
 from palisade.llm.shared import small_batches, table, text_or_empty, tidy
 
 #: Distinct pre-tokens that a task keeps, of eight ids each on average; the cache starts afresh beyond.
-CACHE = 1 << 17
+CACHE = 1 << 18
 
 
 def merge(parts: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:

@@ -15,7 +15,7 @@ from palisade.llm import scan
 from palisade.llm.shared import small_batches, table, text_or_empty, tidy
 
 #: Distinct words that a task keeps, and letters of the longest; the cache starts afresh beyond.
-CACHE, CACHED_WORD = 1 << 17, 128
+CACHE, CACHED_WORD = 1 << 18, 128
 
 
 def byte_alphabet() -> list[str]:
