@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.operators.facts import Schema, analyse
+from palisade.operators.rules import Policies
 
 PRE, POST = ("base", "prompt", "view"), ("none", "dbms", "realign")
 
@@ -61,24 +62,31 @@ def check_queries(queries: DataFrame, denied: DataFrame, schema: Schema, known_r
     return queries.select("query_id", "role", "sql", F.lower(F.trim("role")).alias("_role")).join(sets.withColumnRenamed("role", "_role"), "_role", "left").select("query_id", "role", "sql", "denies").mapInPandas(run, "query_id string, role string, decision string, reason string, final_query string")
 
 
-def secured(df: DataFrame, table: str, role: str, policies: DataFrame, scope: str = "all") -> DataFrame | None:
+def secured(df: DataFrame, table: str, role: str, policies: DataFrame | Policies, scope: str = "all") -> DataFrame | None:
     """The rows and columns of a table that a role may see; None if the table is denied.
 
     Both are plain filters and projections: Catalyst pushes them to the scan.
-    Policies are few; their rows for one role and table come to the driver.
+    The policies of one role come to the driver.
     """
     from palisade.operators.policy import denied_entities
 
-    names = {r["level"]: set(r["names"]) for r in denied_entities(policies, role, scope).collect()}
-    table = table.lower()
+    table, role = table.lower(), role.strip().lower()
+    if isinstance(policies, DataFrame):
+        policies = Policies([r.asDict() for r in policies.filter(F.col("role") == role).collect()]) if scope == "all" else policies
+    if isinstance(policies, Policies):
+        if scope != "all":
+            raise ValueError("a scope other than all needs the policies as a DataFrame")
+        names, conditions = policies.denied(role), policies.row_conditions(role, table)
+    else:
+        names = {r["level"]: set(r["names"]) for r in denied_entities(policies, role, scope).collect()}
+        conditions = Policies([r.asDict() for r in policies.filter(F.col("role") == role).collect()]).row_conditions(role, table)
     if table in names.get("table", ()):
         return None
     gone = names.get("column", set())
     kept = [c for c in df.columns if c.lower() not in gone and f"{table}.{c.lower()}" not in gone]
     if not kept:
         return None
-    conditions = policies.filter((F.col("role") == role.strip().lower()) & (F.col("table_name") == table) & (F.col("level") == "Row") & (F.col("grant") == "Conditional")).select("condition").distinct().collect()
-    for c in sorted(r["condition"] for r in conditions if r["condition"]):
+    for c in conditions:
         df = df.filter(F.expr(c))
     return df.select(*kept)
 
@@ -92,7 +100,7 @@ def named_views(frames: dict[str, DataFrame], prefix: str) -> dict[str, str]:
     return out
 
 
-def secured_frames(frames: dict[str, DataFrame], role: str, policies: DataFrame, scope: str = "all") -> dict[str, DataFrame]:
+def secured_frames(frames: dict[str, DataFrame], role: str, policies: DataFrame | Policies, scope: str = "all") -> dict[str, DataFrame]:
     """What a role may see of each table; tables of which it may see nothing are left out."""
     shown = {t: secured(df, t, role, policies, scope) for t, df in frames.items()}
     return {t: df for t, df in shown.items() if df is not None}

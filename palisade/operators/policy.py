@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palisade.functions.names import norm_col, schema_name
+from palisade.functions.names import column_phrase_of, norm_col, table_phrase_of
 
 POLICY_FIELDS = ("id", "effect", "action", "scope", "level", "categories", "roles", "table", "column", "condition", "predicate")
 _POLICY = (
@@ -15,7 +15,7 @@ _POLICY = (
 )
 _CLASSES = "struct<`table`:map<string,array<string>>,`column`:map<string,array<string>>>"
 #: The misspelt key occurs in the wild.
-ACCESS_JSON = f"db_id string, roles array<string>, classification {_CLASSES}, classifiction {_CLASSES}, policies array<{_POLICY}>"
+ACCESS_JSON = f"db_id string, roles array<string>, classification {_CLASSES}, classifiction {_CLASSES}, policies array<{_POLICY}>, view_restriction map<string,array<string>>, process_restriction map<string,array<string>>"
 DEFAULT_ROLES = ("admin", "analyst", "staff", "public")
 #: The base matrix: id, level, scope, category, roles it is denied to.  Fixed values.
 BASE_MATRIX = [
@@ -43,7 +43,7 @@ def read_access_json(spark: SparkSession, path: str) -> DataFrame:
 def access_frame(spark: SparkSession, policies: list[dict], classes: dict, roles: list[str] | None = None, db_id: str = "db") -> DataFrame:
     """An access document from Python values."""
     fill = lambda p: {f: p.get(f) for f in POLICY_FIELDS}
-    return spark.createDataFrame([(db_id, roles, classes, None, [fill(p) for p in policies])], ACCESS_JSON)
+    return spark.createDataFrame([(db_id, roles, classes, None, [fill(p) for p in policies], None, None)], ACCESS_JSON)
 
 
 def base_policies(rows: list[tuple[str, str, str]] = ()) -> list[dict]:
@@ -148,9 +148,13 @@ def role_pools(allowed: DataFrame) -> DataFrame:
 
 
 def denied_categories(access: DataFrame) -> DataFrame:
-    """role, scope, level, categories: sorted."""
-    rows = access.select(F.explode("policies").alias("p")).filter("lower(p.effect) IN ('deny', 'denied', 'prohibit')")
+    """role, scope, level, categories: sorted; those of the older view_restriction and process_restriction hold for tables and columns."""
+    rows = access.select(F.explode("policies").alias("p")).filter("lower(p.effect) IN ('deny', 'denied', 'prohibit') AND coalesce(p.action, 'read') = 'read'")
     each = rows.select(F.explode("p.roles").alias("role"), F.lower("p.scope").alias("scope"), F.lower("p.level").alias("level"), F.explode("p.categories").alias("category"))
+    for scope in ("view", "process"):
+        old = access.select(F.explode(f"{scope}_restriction").alias("category", "roles")).select(F.explode("roles").alias("role"), F.lit(scope).alias("scope"), F.explode(F.array(F.lit("table"), F.lit("column"))).alias("level"), "category")
+        each = each.unionByName(old)
+    each = each.withColumn("role", F.lower(F.trim("role")))
     return each.groupBy("role", "scope", "level").agg(F.sort_array(F.collect_set("category")).alias("categories"))
 
 
@@ -163,19 +167,43 @@ def global_projection_pool(columns: DataFrame, access: DataFrame, allowed: DataF
     return plain.join(seen, ["table_name", "column_name"]).join(roles.agg(F.count_distinct("role").alias("all_roles")), F.col("n") == F.col("all_roles")).select("table_name", "column_name")
 
 
-#: Words that make a name sensitive; "a+b" needs both.  Own choice of words.
-KEYWORDS = {"S3": ["password", "secret", "token", "ssn", "name"], "S2": ["balance", "acctbal", "price", "salary", "amount", "birth+date"], "S1": ["id", "key", "address", "phone", "email", "segment"]}
+#: Words that make a column sensitive, the first class that has one counts; "a+b" needs both.  Fixed values.
+KEYWORDS = {
+    "S3": "password passwd pwd secret token apikey auth oauth session cookie hash salt pin ssn social sin nin passport license tax tin credit cc cvv cvc card iban swift routing account diagnosis".split(),
+    "S2": "email mail zip+code postal address phone mobile cell tel fax first+name last+name full+name surname diagnosis symptom examintation dna hgb wbc rbc glu bank dob birth birthday".split(),
+    "S1": "gender sex race nationality height weight city state country district".split(),
+}
+#: Tables of highly and of fairly sensitive matters.  Fixed values.
+HIGH_TABLES = ("client", "user", "account", "transaction", "payment", "order", "customer", "employee", "patient", "medical_record", "diagnosis", "symptom", "examination")
+FAIR_TABLES = ("card", "loan", "bank", "bond", "income", "laboratory", "transaction", "payment")
+
+
+def classify_tables(tables: DataFrame, high: tuple[str, ...] = HIGH_TABLES, fair: tuple[str, ...] = FAIR_TABLES) -> DataFrame:
+    """table_name, normal, category: S2 highly sensitive, S1 fairly, S0 not."""
+    normal = table_phrase_of("table_name")
+    named = tables.select("table_name", normal.alias("normal")).distinct()
+    return named.withColumn("category", F.when(F.col("normal").isin(*high), "S2").when(F.col("normal").isin(*fair), "S1").otherwise("S0"))
 
 
-def classify(columns: DataFrame, sensitive_tables: list[str], keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
-    """table_name, column_name, normal, category: S3 before S2 before S1; in a sensitive table, id and name are S2 at least."""
-    normal = schema_name(F.col("column_name"))
-    words = F.split(normal, " ")
+def classify(columns: DataFrame, sensitive_tables: tuple[str, ...] = HIGH_TABLES, keywords: dict[str, list[str]] = KEYWORDS) -> DataFrame:
+    """table_name, column_name, normal, category: an id is S1, in a sensitive table ids and names are S2; else S3 before S2 before S1 by the words."""
+    rows = columns.select("table_name", "column_name", column_phrase_of("column_name").alias("normal"), table_phrase_of("table_name").alias("_table"))
+    words = F.split("normal", " ")
     has = lambda w: F.forall(F.array(*map(F.lit, w.split("+"))), lambda x: F.array_contains(words, x))
-    any_of = lambda ws: F.greatest(*[has(w) for w in ws]) if len(ws) > 1 else has(ws[0])
-    found = F.when(any_of(keywords["S3"]), "S3").when(any_of(keywords["S2"]), "S2").when(any_of(keywords["S1"]), "S1").otherwise("S0")
-    raised = F.when(F.lower("table_name").isin(*sensitive_tables) & any_of(["id", "key"]) & (found < "S2"), "S2").otherwise(found)
-    return columns.select("table_name", "column_name", normal.alias("normal"), raised.alias("category"))
+    by_word = F.coalesce(*[F.when(F.greatest(F.lit(False), *[has(w) for w in ws]), c) for c, ws in keywords.items()], F.lit("S0"))
+    guarded = F.col("_table").isin(*sensitive_tables) & (has("name") | has("id"))
+    return rows.withColumn("category", F.when(guarded, "S2").when(has("id"), "S1").otherwise(by_word)).drop("_table")
+
+
+def generated_access(columns: DataFrame, db_id: str = "db") -> DataFrame:
+    """An access document for a catalog (table_name, column_name): classes by names, the base matrix, and row policies for the S1 columns of S2 tables."""
+    tables, each = classify_tables(columns), classify(columns)
+    top = each.groupBy("column_name").agg(F.max("category").alias("category"))
+    packed = lambda df, c: df.groupBy("category").agg(F.array_sort(F.collect_set(c)).alias("names")).agg(F.map_from_entries(F.collect_list(F.struct("category", "names"))).alias("m"))
+    classes = packed(tables, "table_name").select(F.col("m").alias("t")).crossJoin(packed(top, "column_name").select(F.col("m").alias("c"))).first()  # one row each
+    rows = row_policies(each, tables.select("table_name", "category")).collect()
+    policies = base_policies() + [{"id": r["policy_id"], "effect": "conditional", "action": "read", "scope": "view", "level": "row", "roles": ["public", "staff", "analyst"], "table": r["table_name"], "condition": r["condition"]} for r in rows]
+    return access_frame(columns.sparkSession, policies, {"table": classes["t"] or {}, "column": classes["c"] or {}}, list(DEFAULT_ROLES), db_id)
 
 
 def highest_class(classified: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palisade.functions.names import norm
 
@@ -42,13 +45,36 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents of each query (query_id, text); ties to the smaller id."""
-    stats = docs.agg(F.count("*").alias("n_docs")).crossJoin(index.select("doc_id", "length").distinct().agg(F.avg("length").alias("mean")))  # one row
+#: Distinct terms of all queries up to which they are looked for in place; beyond, they meet the documents' terms in a join.
+TERMS = 5000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, id_col: str = "doc_id", text_col: str = "text", most: int = TERMS) -> DataFrame:
+    """query_id, doc_id, score, rank: the k best documents of each query (query_id, text); ties to the smaller id.
+
+    Only terms that a query has leave the scan.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = [r["term"] for r in asked.select("term").distinct().limit(most + 1).collect()]
+    each = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t")).select("doc_id", "t", F.size("t").alias("length"))
+    found = each.select("doc_id", "length", F.explode(F.filter("t", lambda x: x.isin(terms)) if len(terms) <= most else F.col("t")).alias("term"))
+    if len(terms) > most:
+        found = found.join(asked.select("term").distinct(), "term", "left_semi")
+    index = found.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    return ranked(index, each.agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean")), asked, k, k1, b)
+
+
+def bm25_of_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+    """The same over stored postings()."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    stats = index.groupBy("doc_id").agg(F.first("length").alias("length")).agg(F.lit(n_docs).alias("n_docs"), F.avg("length").alias("mean"))
+    return ranked(index, stats, asked, k, k1, b)
+
+
+def ranked(index: DataFrame, stats: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     hits = index.join(asked, "term")
     df = hits.groupBy("term", "query_id").agg(F.count_distinct("doc_id").alias("df"))
-    rows = hits.join(df, ["term", "query_id"]).crossJoin(stats)
+    rows = hits.join(df, ["term", "query_id"]).crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
@@ -56,6 +82,119 @@ def bm25(index: DataFrame, docs: DataFrame, queries: DataFrame, k: int = 10, k1:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def grams(text: Column, n: int = 3) -> Column:
+    """Character n-grams of a lower-case text between blanks."""
+    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - n + 1)), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def text_vectors(items: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """keys, gram, weight: each text as a unit vector over its character n-grams, sparse."""
+    counted = items.select(*keys, F.explode(grams(F.col(text_col))).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    norm = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return counted.join(norm, list(keys)).select(*keys, "gram", (F.col("n") / F.col("norm")).alias("weight"))
+
+
+def text_search(vectors: DataFrame, asked: DataFrame, keys: list[str], k: int, below: float) -> DataFrame:
+    """query_id, keys, distance, rank: of each query (query_id, text) the k nearest texts under a squared distance, by text_vectors().
+
+    Texts without a common n-gram are 2 apart, so that below 2 only those meet
+    that share one.
+    """
+    if below > 2:
+        raise ValueError("texts that share nothing are 2 apart")
+    q = text_vectors(asked, "text", "query_id").withColumnRenamed("weight", "own")
+    near = vectors.join(q, "gram").groupBy("query_id", *keys).agg(F.sum(F.col("weight") * F.col("own")).alias("dot"))
+    scored = near.withColumn("distance", F.round(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")), 6)).filter(F.col("distance") < below)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", *keys))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", *keys, "distance", "rank")
+
+
+def literal_cells(vectors: DataFrame, literals_: DataFrame, k: int = 5, below: float = 0.8) -> DataFrame:
+    """table_name, column_name, content: cells near a literal (literal) that is no number, each once; vectors: text_vectors() of text_cells()."""
+    asked = literals_.filter(F.col("literal").isNotNull() & ~F.col("literal").rlike(r"^[0-9]+$")).select(F.col("literal").alias("query_id"), F.col("literal").alias("text")).distinct()
+    found = text_search(vectors, asked, ["table_name", "column_name", "value"], k, below)
+    return found.select("table_name", "column_name", F.col("value").alias("content")).distinct()
+
+
+def skeletons(examples: DataFrame, asked: DataFrame, k: int = 15, below: float = 1.5) -> DataFrame:
+    """query_id, rank, example: worked examples (skeleton, question, evidence, sql) whose skeleton is near the question's (query_id, text)."""
+    near = text_search(text_vectors(examples.select("skeleton").distinct(), "skeleton", "skeleton"), asked, ["skeleton"], k, below)
+    text = F.concat(F.lit("Question: "), "question", F.lit("\nEvidence: "), F.coalesce("evidence", F.lit("")), F.lit("\nSQL: "), "sql")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "skeleton", "question", "sql"))
+    return near.drop("rank").join(examples, "skeleton").select("query_id", rank.alias("rank"), text.alias("example")).filter(F.col("rank") <= k)
+
+
+def write_vectors(vectors: DataFrame, path: str, mode: str = "append") -> None:
+    """Store an index of vectors (table_name, ...), a folder for each table, so that a search reads only those it asks for."""
+    vectors.write.mode(mode).partitionBy("table_name").parquet(path)
+
+
+def matched_text(cells: DataFrame) -> DataFrame:
+    """query_id, text: one line per matched cell (query_id, table_name, column_name, values)."""
+    name = F.when(F.col("column_name").contains(" "), F.concat(F.lit("`"), "column_name", F.lit("`"))).otherwise(F.col("column_name"))
+    each = cells.select("query_id", "table_name", name.alias("name"), F.explode("values").alias("value"))
+    each = each.select("query_id", F.concat(F.lit("- "), "table_name", F.lit("."), "name", F.lit(": "), "value", F.lit("\n")).alias("line"))
+    return each.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "").alias("text"))
+
+
+def examples_text(examples: list[dict]) -> str:
+    return "".join(f"## Example {i}:\n" + "".join(f"{k}: {v}\n" for k, v in e.items()) + "\n" for i, e in enumerate(examples))
+
+
+def markdown(names: list[str], rows: list[tuple]) -> str:
+    """A few rows as a table."""
+    if not rows:
+        return "(no rows)"
+    line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
+    return "\n".join([line(names), line(["---"] * len(names)), *map(line, rows)])
+
+
+#: Characters of a query that are kept, and to which parts of a prompt are cut when it is too long.  Fixed values.
+QUERY_CHARS = 10_000
+SHORT = {"schema": 7000, "descriptions": 2500, "evidence": 2000, "question": 1500}
+
+
+def with_retry(generate, parts: dict[str, str]) -> dict[str, str | None]:
+    """sql, error of generate(parts): a failure that tells of too long a context is followed by one attempt with shortened parts."""
+    def shortened(text: str | None, most: int) -> str:
+        return (text or "")[:most]
+
+    error = None
+    for attempt in (parts, {k: shortened(v, SHORT.get(k, QUERY_CHARS)) for k, v in parts.items() if k in SHORT}):
+        try:
+            sql = generate(attempt) or ""
+            if len(sql) > QUERY_CHARS:
+                return {"sql": sql[:QUERY_CHARS], "error": f"query clipped to {QUERY_CHARS} characters"}
+            return {"sql": sql, "error": error and f"retried with a short prompt: {error}"}
+        except Exception as e:
+            error = f"{error} | {e}" if error else str(e)
+            if "context" not in str(e).lower() and "too long" not in str(e).lower() and "token" not in str(e).lower():
+                break
+    return {"sql": "", "error": error}
+
+
+def stepwise(question: str, schema_text: str, generate) -> dict[str, str]:
+    """links, label, sql of step-wise generation: link the schema, tell how hard the question is, write a query that fits that, correct it.
+
+    generate(step, question, context) answers each step with text as
+    prompt_fields() reads it.
+    """
+    import re
+
+    def field(name: str, text: str, default: str = "") -> str:
+        m = re.search(rf"{name}:\s*([^\n]*)", text or "")
+        return m[1].strip() if m else default
+
+    links = field("Schema_links", generate("link", question, schema_text), "[]")
+    said = generate("classify", question, links)
+    label = field("Label", said, '"NESTED"').strip("\"' ").upper()
+    asked = field("sub_questions", said) if label not in ("EASY", "NON-NESTED") else ""
+    sql = field("SQL", generate({"EASY": "easy", "NON-NESTED": "medium"}.get(label, "hard"), question, "\n".join(x for x in (links, asked) if x)), "SELECT")
+    revised = field("Revised_SQL", generate("correct", question, sql))
+    return {"links": links, "label": label, "sql": revised or sql}
+
+
 def ngrams(words: Column, most: int = 8) -> Column:
     """All n-grams up to `most` words, joined by blanks, by length and then place."""
     one = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
@@ -135,8 +274,22 @@ def literals(text: Column, most: int = 20) -> Column:
     return F.slice(first, 1, most)
 
 
-def json_object(text: Column) -> Column:
-    return F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+@F.pandas_udf(T.StringType())
+def json_object(text: pd.Series) -> pd.Series:
+    """The first JSON object in a text, null if there is none; what follows it does not count."""
+    decoder = json.JSONDecoder()
+
+    def first(x: str | None) -> str | None:
+        at = (x or "").find("{")
+        while at >= 0:
+            try:
+                _, end = decoder.raw_decode(x, at)
+                return x[at:end]
+            except ValueError:
+                at = x.find("{", at + 1)
+        return None
+
+    return text.map(first)
 
 
 def prompt_fields(text: Column) -> dict[str, Column]:

@@ -38,22 +38,88 @@ def references(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("kind").isin("TableRef", "ColumnRef")).withColumn("ref", F.explode("refs")).withColumn("ref_table", F.col("ref.table")).withColumn("ref_column", F.col("ref.column")).drop("ref", "refs")
 
 
-def _conditions() -> dict[str, tuple[str, object]]:
-    """rule: (status, condition on a reference and a policy that meets it by role and name)."""
-    is_ = lambda c, v: F.col(c) == v
-    table, column, read = is_("kind", "TableRef"), is_("kind", "ColumnRef") & is_("action", "Read"), is_("action", "Read")
-    policy = lambda grant, action, level: is_("p_grant", grant) & is_("p_action", action) & is_("p_level", level)
-    viewed, view, process = F.array_contains("eff_scopes", "View"), is_("p_scope", "View"), is_("p_scope", "Process")
-    deny_table, deny_column, rows = policy("Prohibited", "Read", "Table"), policy("Prohibited", "Read", "Column"), policy("Conditional", "Read", "Row") & view
-    return {
-        "rtm": ("Violated", table & is_("action", "Modify") & policy("Prohibited", "Modify", "Table") & F.array_contains("stmt_scopes", F.col("p_scope"))),
-        "rtr": ("Violated", table & read & deny_table),
-        "rtv": ("Violated", table & read & viewed & deny_table & view),
-        "rcp": ("Violated", column & deny_column & process),
-        "rcv": ("Violated", column & viewed & F.array_contains("clause_scopes", "View") & ~F.col("shielded") & deny_column & view),
-        "rrp": ("RowTag", table & read & rows),
-        "rrv": ("RowTag", table & read & viewed & rows),
-    }
+#: What a rule asks of a reference and a policy that meets it by role and name, beside equal values.
+_FLAGS = {
+    "viewed": (lambda: F.array_contains("eff_scopes", "View"), lambda node, p: "View" in node["eff_scopes"]),
+    "in_view_clause": (lambda: F.array_contains("clause_scopes", "View"), lambda node, p: "View" in node["clause_scopes"]),
+    "bare": (lambda: ~F.col("shielded"), lambda node, p: not node["shielded"]),
+    "statement_does_it": (lambda: F.array_contains("stmt_scopes", F.col("p_scope")), lambda node, p: p["p_scope"] in node["stmt_scopes"]),
+}
+_READ_TABLE = {"kind": "TableRef", "action": "Read"}
+_DENY_TABLE = {"p_grant": "Prohibited", "p_action": "Read", "p_level": "Table"}
+_DENY_COLUMN = {"kind": "ColumnRef", "action": "Read", "p_grant": "Prohibited", "p_action": "Read", "p_level": "Column"}
+_ROWS = {"p_grant": "Conditional", "p_action": "Read", "p_level": "Row", "p_scope": "View"}
+#: rule: (status, values that must be equal, flags).
+RULES: dict[str, tuple[str, dict[str, str], tuple[str, ...]]] = {
+    "rtm": ("Violated", {"kind": "TableRef", "action": "Modify", "p_grant": "Prohibited", "p_action": "Modify", "p_level": "Table"}, ("statement_does_it",)),
+    "rtr": ("Violated", _READ_TABLE | _DENY_TABLE, ()),
+    "rtv": ("Violated", _READ_TABLE | _DENY_TABLE | {"p_scope": "View"}, ("viewed",)),
+    "rcp": ("Violated", _DENY_COLUMN | {"p_scope": "Process"}, ()),
+    "rcv": ("Violated", _DENY_COLUMN | {"p_scope": "View"}, ("viewed", "in_view_clause", "bare")),
+    "rrp": ("RowTag", _READ_TABLE | _ROWS, ()),
+    "rrv": ("RowTag", _READ_TABLE | _ROWS, ("viewed",)),
+}
+
+
+def _condition(equal: dict[str, str], flags: tuple[str, ...]):
+    out = F.lit(True)
+    for c, v in equal.items():
+        out = out & (F.col(c) == v)
+    for f in flags:
+        out = out & _FLAGS[f][0]()
+    return out
+
+
+class Policies:
+    """Compiled policies on one machine, by role and name: those of a database, a few rows for each name of its schema."""
+
+    #: Rows up to which policies are sent to every task; beyond, references meet them in a join.
+    MOST = 200_000
+
+    def __init__(self, rows: list[dict]):
+        self.by_name: dict[tuple[str, str], list[dict]] = {}
+        self.rows = [{"p_" + k: v for k, v in r.items()} for r in rows]
+        for p in self.rows:
+            name = ("c", p["p_column_name"]) if p["p_level"] == "Column" else ("t", p["p_table_name"])
+            self.by_name.setdefault(((p["p_role"] or "").strip().lower(), *name), []).append(p)
+
+    @staticmethod
+    def of(policies: DataFrame) -> "Policies | None":
+        """None if there are more than MOST."""
+        rows = policies.limit(Policies.MOST + 1).collect()
+        return Policies([r.asDict() for r in rows]) if len(rows) <= Policies.MOST else None
+
+    def statuses(self, facts: list[tuple]) -> list[dict]:
+        """What node_status() says of the facts of one query."""
+        names = [f.strip().split(" ")[0] for f in FACTS.replace("array<struct<table:string,column:string>>", "x").split(",")]
+        out: dict[tuple, dict] = {}
+        for row in facts:
+            node = dict(zip(names, row))
+            if node["kind"] not in ("TableRef", "ColumnRef"):
+                continue
+            on_column, role = node["kind"] == "ColumnRef", (node["role"] or "").strip().lower()
+            for table, column in node["refs"]:
+                for p in self.by_name.get((role, "c", column) if on_column else (role, "t", table), ()):
+                    if on_column and p["p_table_name"] not in (None, table):
+                        continue
+                    values = node | p
+                    for rule, (status, equal, flags) in RULES.items():
+                        if all(values[k] == v for k, v in equal.items()) and all(_FLAGS[f][1](node, p) for f in flags):
+                            key = (node["query_id"], node["node_id"], node["kind"], table, column, status, p["p_policy_id"], rule, p["p_scope"], p["p_condition"])
+                            out[key] = dict(zip(STATUS, key))
+        return list(out.values())
+
+    def denied(self, role: str) -> dict[str, set[str]]:
+        """Names of tables and columns that the role may not view or not process, by level."""
+        out: dict[str, set[str]] = {"table": set(), "column": set()}
+        for p in self.rows:
+            if p["p_role"] == role and p["p_grant"] == "Prohibited" and p["p_action"] == "Read" and p["p_level"] in ("Table", "Column"):
+                name = ".".join(x for x in (p["p_table_name"], p["p_column_name"]) if x) if p["p_level"] == "Column" else p["p_table_name"]
+                out[p["p_level"].lower()].add(name)
+        return out
+
+    def row_conditions(self, role: str, table: str) -> list[str]:
+        return sorted({p["p_condition"] for p in self.rows if p["p_role"] == role and p["p_table_name"] == table and p["p_level"] == "Row" and p["p_grant"] == "Conditional" and p["p_condition"]})
 
 
 def node_status(facts: DataFrame, policies: DataFrame) -> DataFrame:
@@ -67,7 +133,7 @@ def node_status(facts: DataFrame, policies: DataFrame) -> DataFrame:
     p = policies.select(*[F.col(c).alias("p_" + c) for c in policies.columns])
     p = p.withColumn("name_key", F.when(F.col("p_level") == "Column", F.concat(F.lit("c "), "p_column_name")).otherwise(F.concat(F.lit("t "), "p_table_name"))).withColumn("role_key", F.lower(F.trim("p_role")))
     pairs = refs.join(p, ["role_key", "name_key"]).filter(~on_column | F.col("p_table_name").isNull() | (F.col("p_table_name") == F.col("ref_table")))
-    found = F.filter(F.array(*[F.when(c, F.struct(F.lit(s).alias("status"), F.lit(r).alias("rule"))) for r, (s, c) in _conditions().items()]), lambda x: x.isNotNull())
+    found = F.filter(F.array(*[F.when(_condition(equal, flags), F.struct(F.lit(s).alias("status"), F.lit(r).alias("rule"))) for r, (s, equal, flags) in RULES.items()]), lambda x: x.isNotNull())
     each = pairs.withColumn("hit", F.explode(found))
     return each.select("query_id", "node_id", "kind", F.col("ref_table").alias("table_name"), F.col("ref_column").alias("column_name"), F.col("hit.status").alias("status"), F.col("p_policy_id").alias("policy_id"), F.col("hit.rule").alias("rule"), F.col("p_scope").alias("scope"), F.col("p_condition").alias("condition")).distinct()
 

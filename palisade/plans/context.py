@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.engine import AccessEngine
+from palisade.engine import AccessEngine, ContextCache
 from palisade.operators import policy
 from palisade.sources import catalog
 
@@ -24,8 +26,13 @@ def access(spark: SparkSession) -> DataFrame:
     return policy.access_frame(spark, policy.base_policies(policy.TPCH_ROWS) + extra, policy.TPCH_CLASSES, ROLES, "tpch")
 
 
+_engines = ContextCache()
+
+
 def engine(spark: SparkSession, sf_dir: str, **options) -> AccessEngine:
-    return AccessEngine(spark, **options).load_frames(frames(spark, sf_dir), access(spark))
+    """The tables' engine, made once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(options.items()))
+    return _engines.get(key, lambda: AccessEngine(spark, **options).load_frames(frames(spark, sf_dir), access(spark)))
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +46,29 @@ def foreign_keys(spark: SparkSession) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palisade-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    base, master = conf.get("spark.checkpoint.dir", None), conf.get("spark.master", "")
+    if not base:
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="palisade-"))
+            atexit.register(shutil.rmtree, _own_folder[0].removeprefix("file://"), True)
+        base = _own_folder[0]
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+_own_folder: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone at exit
+        pass
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> str:

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from palisade.engine import AccessEngine
 from palisade.functions.sql_text import render, try_parse
 from palisade.operators import enforce, generate, policy, rules
 from palisade.plans.context import PRELUDE, ROLES, access, columns, engine, foreign_keys, frames, put_text, schema_document, scratch, values
@@ -271,11 +272,34 @@ def pol_compile(spark, sf_dir):
     return policy.compile_policies(policy.access_frame(spark, rows, {"table": {}, "column": {"S1": ["s1col"]}}, ["r"])).drop("role")
 
 
-@query(values([("customer", "c_acctbal", "c acctbal", "S2"), ("customer", "c_custkey", "c custkey", "S0"), ("customer", "c_mktsegment", "c mktsegment", "S0"), ("customer", "c_name", "c name", "S3"), ("customer", "c_nationkey", "c nationkey", "S0"), ("nation", "n_name", "n name", "S3"), ("nation", "n_nationkey", "n nationkey", "S0"), ("nation", "n_regionkey", "n regionkey", "S0"), ("demo", "BirthDates", "birth date", "S2"), ("demo", "CustomerIDs", "customer id", "S2"), ("demo", "Email Addresses", "email address", "S1"), ("demo", "élan_status", "elan status", "S0")], "table_name, column_name, normal, category"))
+_NAMED = [
+    ("customer", "c_acctbal", "c acctbal", "S0"), ("customer", "c_name", "c name", "S2"), ("nation", "n_name", "n name", "S0"), ("lineitem", "l_tax", "l tax", "S3"), ("Patients", "PatientID", "patient id", "S2"), ("Patients", "SSN", "ssn", "S3"), ("Patients", "First Name", "first name", "S2"),
+    ("demo", "BirthDates", "birth date", "S2"), ("demo", "CustomerID", "customer id", "S1"), ("demo", "Email Addresses", "email address", "S2"), ("demo", "élan_status", "elan status", "S0"), ("demo", "zip_code", "zip code", "S2"), ("demo", "the Countries", "country", "S1"), ("demo", "Q2", "q2", "S0"), ("demo", "HGB", "hgb", "S2"), ("demo", "Charles XIV", "charle xiv", "S0"), ("demo", "analysis", "analysis", "S0"),
+]
+
+
+@query(values(_NAMED, "table_name, column_name, normal, category"))
 def pol_classify(spark, sf_dir):
-    own = columns(spark, sf_dir).filter("table_name IN ('customer', 'nation')").select("table_name", "column_name")
-    more = spark.createDataFrame([("demo", c) for c in ("BirthDates", "CustomerIDs", "Email Addresses", "élan_status")], "table_name string, column_name string")
-    return policy.classify(own.unionByName(more), ["demo"])
+    return policy.classify(spark.createDataFrame([x[:2] for x in _NAMED], "table_name string, column_name string"))
+
+
+@query(values([("medical_records", "medical record", "S0"), ("Orders", "order", "S2"), ("lapTimes", "lap time", "S0"), ("Cards", "card", "S1"), ("transactions_1k", "transaction 1k", "S0"), ("zip_code", "zip code", "S0"), ("Diagnosis", "diagnosis", "S2")], "table_name, normal, category"))
+def pol_classify_tables(spark, sf_dir):
+    return policy.classify_tables(spark.createDataFrame([(t,) for t in ("medical_records", "Orders", "lapTimes", "Cards", "transactions_1k", "zip_code", "Diagnosis")], "table_name string"))
+
+
+@query(pre("SELECT 'table' AS level, CASE WHEN table_name IN ('customer', 'orders') THEN 'S2' ELSE 'S0' END AS category, table_name AS name FROM catalog GROUP BY table_name UNION ALL SELECT 'column', CASE column_name WHEN 'c_name' THEN 'S2' WHEN 'l_tax' THEN 'S3' ELSE 'S0' END, column_name FROM catalog"))
+def pol_generated(spark, sf_dir):
+    """An access document written for a catalog: what it classifies."""
+    return policy.members(policy.generated_access(columns(spark, sf_dir), "tpch")).select("level", "category", "name")
+
+
+@query(values([("analyst", "view", "column", "S3"), ("analyst", "view", "table", "S3"), ("staff", "process", "column", "S2"), ("staff", "process", "table", "S2"), ("staff", "view", "column", "S1")], "role, scope, level, categories"))
+def pol_denied_categories_old_form(spark, sf_dir):
+    """Restrictions of the older form beside policies."""
+    made = policy.access_frame(spark, [{"id": "p", "effect": "deny", "action": "read", "scope": "view", "level": "column", "categories": ["S1"], "roles": ["Staff"]}], {"table": {}, "column": {}}, ["staff"])
+    old = made.withColumn("view_restriction", F.create_map(F.lit("S3"), F.array(F.lit("analyst")))).withColumn("process_restriction", F.create_map(F.lit("S2"), F.array(F.lit("staff"))))
+    return policy.denied_categories(old).withColumn("categories", F.array_join("categories", ","))
 
 
 @query(values([("a", "S2"), ("b", "S0")], "column_name, category"))
@@ -358,7 +382,6 @@ def enf_closed(spark, sf_dir):
     e.frames["customer"].createOrReplaceTempView("everything")
     rows = [(n, *(e.answer(sql.replace("{dir}", sf_dir), role, how)["status"] for how in ("realign", "dbms", "view"))) for n, role, sql, *_ in _HOLES]
     spark.catalog.dropTempView("everything")
-    e.close()
     return spark.createDataFrame(rows, "attempt string, realign string, dbms string, view string")
 
 
@@ -431,14 +454,17 @@ def gen_join_plan(spark, sf_dir):
     return spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step int, a string, a_column string, b string, b_column string")
 
 
-_TEMPLATE = generate.Template([("nation", "n_name"), ("supplier", "s_name")], [("supplier", "s_acctbal"), ("supplier", "s_suppkey")], frozenset({("supplier", "s_acctbal"), ("supplier", "s_suppkey")}))
+_PLACES = [("nation", "n_name"), ("supplier", "s_name")]
+_NUMBERS = frozenset({("supplier", "s_acctbal"), ("supplier", "s_suppkey"), ("supplier", "s_nationkey"), ("nation", "n_regionkey")})
+_TEMPLATE = generate.Template(_PLACES, [("supplier", "s_acctbal"), ("supplier", "s_suppkey")], _NUMBERS)
+_WIDE = generate.Template(_PLACES[:1], [("supplier", "s_nationkey"), ("supplier", "s_suppkey"), ("nation", "n_regionkey"), ("supplier", "s_acctbal")], _NUMBERS)
+_SHOWN = generate.Template([("supplier", "s_name"), ("supplier", "s_suppkey")], [("supplier", "s_suppkey")], _NUMBERS)
 
 
-def _generated(mode: str, filter_only: bool = False):
+def _generated(mode: str, template: generate.Template = _TEMPLATE, filter_only: bool = False):
     def run(spark, sf_dir):
-        for name, df in frames(spark, sf_dir).items():
-            df.createOrReplaceTempView(name)
-        return spark.sql(generate.build(mode, _TEMPLATE, _graph(), filter_only).replace('"', "`"))
+        e = engine(spark, sf_dir)
+        return e.execute_query(generate.build(mode, template, _graph(), filter_only).replace('"', ""), "admin", "dbms")
 
     return run
 
@@ -446,17 +472,51 @@ def _generated(mode: str, filter_only: bool = False):
 QUERIES["gen_where"] = _generated("where")
 ORACLES["gen_where"] = "SELECT n_name, s_name FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE s_acctbal >= 0 AND s_suppkey >= 0"
 QUERIES["gen_aggregate"] = _generated("aggregate")
-ORACLES["gen_aggregate"] = "SELECT n_name, s_name, avg(s_acctbal) AS agg_supplier_s_acctbal, sum(s_suppkey)::BIGINT AS agg_supplier_s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL"
+ORACLES["gen_aggregate"] = "SELECT n_name, s_name, avg(s_acctbal) AS avg_supplier_s_acctbal, sum(s_suppkey)::BIGINT AS sum_supplier_s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL"
 QUERIES["gen_group_by"] = _generated("group_by")
-ORACLES["gen_group_by"] = ORACLES["gen_aggregate"]
+ORACLES["gen_group_by"] = "SELECT n_name, s_name, avg(s_acctbal) AS avg_supplier_s_acctbal, sum(s_suppkey)::BIGINT AS sum_supplier_s_suppkey FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY s_acctbal, s_suppkey, n_name, s_name"
+QUERIES["gen_group_by_unshown"] = _generated("group_by", _WIDE)
+ORACLES["gen_group_by_unshown"] = "SELECT n_name, avg(s_acctbal) AS avg_supplier_s_acctbal FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY s_nationkey, s_suppkey, n_regionkey, n_name"
+QUERIES["gen_filter_only_group"] = _generated("group_by", _SHOWN, True)
+ORACLES["gen_filter_only_group"] = "SELECT any_value(s_name) AS s_name, avg(s_suppkey) AS avg_supplier_s_suppkey FROM supplier GROUP BY s_suppkey"
+
+
+@query(
+    values(
+        [
+            ("aggregate", "SELECT ANY_VALUE(t1.\"n_name\") AS \"n_name\", ANY_VALUE(t2.\"s_name\") AS \"s_name\", AVG(t2.\"s_acctbal\") AS \"avg_supplier_s_acctbal\", SUM(t2.\"s_suppkey\") AS \"sum_supplier_s_suppkey\" FROM \"nation\" AS t1 JOIN \"supplier\" AS t2 ON t1.\"n_nationkey\" = t2.\"s_nationkey\""),
+            ("group_by", "SELECT ANY_VALUE(t1.\"n_name\") AS \"n_name\", ANY_VALUE(t2.\"s_name\") AS \"s_name\", AVG(t2.\"s_acctbal\") AS \"avg_supplier_s_acctbal\", SUM(t2.\"s_suppkey\") AS \"sum_supplier_s_suppkey\" FROM \"nation\" AS t1 JOIN \"supplier\" AS t2 ON t1.\"n_nationkey\" = t2.\"s_nationkey\" GROUP BY t2.\"s_acctbal\", t2.\"s_suppkey\""),
+        ],
+        "mode, query",
+    )
+)
+def gen_filter_only_texts(spark, sf_dir):
+    return spark.createDataFrame([(m, generate.build(m, _TEMPLATE, _graph(), True)) for m in ("aggregate", "group_by")], "mode string, query string")
+
+
+@query(pre("SELECT role, 12 AS n, 'view_and_filter' AS question_type FROM roles UNION ALL SELECT role, 12, 'filter_only' FROM roles"))
+def gen_benchmark(spark, sf_dir):
+    """A benchmark from end to end, of both kinds: for every role a row of each of 4 templates in each of 3 modes."""
+    cols, doc = columns(spark, sf_dir), access(spark)
+    roles = policy.roles_of(doc)
+    allowed = policy.allowed_columns(cols, _policies(spark), roles)
+    make = lambda f: generate.benchmark(cols, foreign_keys(spark), policy.role_pools(allowed), policy.global_projection_pool(cols, doc, allowed, roles), "tpch", 4, 13, f)
+    return make(False).unionByName(make(True)).groupBy("role", "question_type").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(pre("SELECT t.template_id, r.role, CASE WHEN EXISTS (SELECT 1 FROM allowed a WHERE a.role = r.role AND a.kind = 'view' AND a.table_name || '.' || a.column_name = t.order_by) THEN t.order_by WHEN t.template_id = 'v1' THEN 'nation.n_nationkey' END AS order_by_column FROM (SELECT * FROM (VALUES ('v1', 'customer.c_name'), ('v2', 'nation.n_name')) v(template_id, order_by)) t CROSS JOIN roles r"))
+def gen_view_copies(spark, sf_dir):
+    """Where a role may not see the order column, its first plain column takes its place."""
+    pools = policy.role_pools(policy.allowed_columns(columns(spark, sf_dir), _policies(spark), policy.roles_of(access(spark))))
+    made = spark.createDataFrame([("v1", ["customer.c_name", "customer.c_mktsegment", "nation.n_nationkey"], "customer.c_name"), ("v2", ["nation.n_name"], "nation.n_name")], "template_id string, projection array<string>, order_by string")
+    plain = spark.createDataFrame([("nation.n_nationkey", "S0"), ("nation.n_name", "S0"), ("customer.c_mktsegment", "S1")], "column string, category string")
+    return generate.view_copies(made, pools, plain).select("template_id", "role", "order_by_column")
 
 
 @query("SELECT DISTINCT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_name DESC LIMIT 7")
 def gen_view_ops(spark, sf_dir):
-    for name, df in frames(spark, sf_dir).items():
-        df.createOrReplaceTempView(name)
     sql = generate.view_query([("nation", "n_name"), ("region", "r_name")], _graph(), True, (("nation", "n_name"), "DESC"), 7)
-    return spark.sql(sql.replace('"', "`"))
+    return engine(spark, sf_dir).execute_query(sql.replace('"', ""), "admin", "dbms")
 
 
 def _templates(spark):
@@ -493,27 +553,138 @@ def gen_templates(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    copies = _copies(spark, sf_dir)
-    base = _templates(spark).select("template_id", F.lit("where").alias("mode"), F.lit(None).cast("string").alias("role"), F.lit("SELECT 1").alias("query"))
-    own = copies.select("template_id", F.lit("where").alias("mode"), "role", F.when(F.col("is_usable"), F.concat(F.lit("SELECT "), F.array_join(F.array_sort("projection_columns"), ", "))).alias("query"))
-    return generate.case_records(copies, base.unionByName(own))
+    copies, made = _copies(spark, sf_dir), _templates(spark).withColumn("role", F.lit(None).cast("string"))
+    own = copies.select("template_id", F.col("projection_columns").alias("projection"), F.col("process_columns").alias("process"), "role")
+    links = [(r["a"], r["b"], r["a_column"], r["b_column"]) for r in generate.edges(foreign_keys(spark)).collect()]
+    queries = generate.queries_of(made.unionByName(own), links, {"customer.c_acctbal", "nation.n_nationkey", "part.p_size"})
+    return generate.case_records(copies, queries)
 
 
-@query(values([("t1", "where", 4, 4), ("t2", "where", 4, 2), ("t3", "where", 4, 4)], "template_id, mode, roles, usable"))
+_MODES3 = ("aggregate", "group_by", "where")
+
+
+@query(values([(t, m, 4, n) for t, n in (("t1", 4), ("t2", 2), ("t3", 4)) for m in _MODES3], "template_id, mode, roles, usable"))
 def gen_case_records(spark, sf_dir):
     usable = F.size(F.filter(F.map_values("role_expected"), lambda e: e["is_usable"]))
     return _records(spark, sf_dir).select("template_id", "mode", F.size("role_expected").alias("roles"), usable.alias("usable"))
 
 
-@query("SELECT i::INTEGER AS question_id, ['admin','analyst','public','staff'][(i - 1) % 4 + 1] AS role, 't' || ((i - 1) // 4 + 1) AS template_id, 'view_and_filter' AS question_type FROM generate_series(1, 12) g(i)")
+@query(values([("t1", "analyst", "customer.c_name", "", "", ""), ("t1", "staff", "customer.c_name", "", "", ""), ("t1", "public", "customer.c_name", "customer.c_acctbal", "", ""), ("t1", "admin", "", "", "", ""), ("t3", "admin", "", "", "supplier", "supplier.s_acctbal"), ("t3", "public", "", "", "", "")], "template_id, role, dropped_projection, dropped_process, lost_tables, lost_columns"))
+def gen_case_drops(spark, sf_dir):
+    """What a role's query lacks: what policies take, and what can't be joined."""
+    each = _records(spark, sf_dir).filter("mode = 'where'").select("template_id", F.explode("role_expected").alias("role", "e"))
+    text = lambda c: F.array_join(F.col("e." + c), ",")
+    rows = each.select("template_id", "role", text("dropped_restricted_projection").alias("dropped_projection"), text("dropped_restricted_process").alias("dropped_process"), text("dropped_disconnected_tables").alias("lost_tables"), text("dropped_disconnected_columns").alias("lost_columns"))
+    return rows.filter("template_id = 't1' OR template_id = 't3' AND role IN ('admin', 'public')")
+
+
+@query("SELECT i::INTEGER AS question_id, ['admin','analyst','public','staff'][(i - 1) % 4 + 1] AS role, 't' || ((i - 1) // 12 + 1) AS template_id, ['aggregate', 'group_by', 'where'][((i - 1) // 4) % 3 + 1] AS mode, 'view_and_filter' AS question_type FROM generate_series(1, 36) g(i)")
 def gen_flat_rows(spark, sf_dir):
     records = _records(spark, sf_dir).select(F.lit("tpch").alias("db_id"), "*", F.lit("q").alias("question"), F.lit("qa_view_and_filter_pairs.json").alias("source_file"))
-    return generate.flat_rows(records).select("question_id", "role", "template_id", "question_type")
+    return generate.flat_rows(records).select("question_id", "role", "template_id", "mode", "question_type")
 
 
-@query(values([("where", "Show a, b where c are known."), ("view_ops", "List a, b.")], "mode, question"))
+@query(values([("where", "Show a, b where c are known."), ("view_ops", "List a, b."), ("group_by", "Group the rows by c, show a, b and summarise."), ("aggregate", "Summarise c for each a, b.")], "mode, question"))
 def gen_questions(spark, sf_dir):
-    return spark.createDataFrame([(m, generate.question(m, ["a", "b"], ["c"])) for m in ("where", "view_ops")], "mode string, question string")
+    return spark.createDataFrame([(m, generate.question(m, ["a", "b"], ["c"])) for m in ("where", "view_ops", "group_by", "aggregate")], "mode string, question string")
+
+
+@query(values([("ok", "OK?"), ("fails", "fails")], "question, question_naturalized"))
+def gen_naturalized(spark, sf_dir):
+    """Questions put in other words where that works."""
+    def other(q):
+        if q == "fails":
+            raise ValueError(q)
+        return q.upper() + "?"
+
+    return generate.naturalized(spark.createDataFrame([("ok",), ("fails",)], "question string"), other)
+
+
+# --- what a role's generator is told ------------------------------------------
+
+
+@query(values([("nation", "n_name", "Its name"), ("region", "r_name", "A continent")], "table_name, column_name, description"))
+def enf_filtered_descriptions(spark, sf_dir):
+    told = [("nation", "n_name", "Its name"), ("region", "r_name", "A continent"), ("customer", "c_name", "Who buys"), ("supplier", "s_acctbal", "What it owes")]
+    return enforce.filtered_descriptions(spark.createDataFrame(told, "table_name string, column_name string, description string"), policy.denied_sets(_policies(spark)), "Staff")
+
+
+@query(values([("base", "admin", True, False), ("view", "analyst", False, False), ("prompt", "analyst", True, True), ("prompt", "admin", True, False)], "how, role, names_denied, hinted"))
+def enf_contexts(spark, sf_dir):
+    """Whether a role's context names a column that it may not see, and tells it so in words."""
+    out = None
+    for how, role in (("base", "admin"), ("view", "analyst"), ("prompt", "analyst"), ("prompt", "admin")):
+        one = enforce.contexts(columns(spark, sf_dir), foreign_keys(spark), policy.denied_sets(_policies(spark)), role, how)
+        one = one.select(F.lit(how).alias("how"), F.lit(role).alias("role"), F.col("schema_text").contains("c_name").alias("names_denied"), F.col("hint").isNotNull().alias("hinted"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(values([("s1", "prompt", "SELECT 1 -- asked: a", True), ("s2", "prompt", None, True)], "sample_id, method, sql, told"))
+def enf_generated(spark, sf_dir):
+    """A generator that is told of the role's limits; what it fails on is null."""
+    def generate_(question, schema_text, hint):
+        if question == "b" or "do not view" not in hint or "# customer" not in schema_text:
+            raise ValueError("no answer")
+        return "SELECT 1 -- asked: " + question
+
+    cases = spark.createDataFrame([("s1", "analyst", "a", None), ("s2", "analyst", "b", "x")], "sample_id string, role string, question string, evidence string")
+    context = enforce.contexts(columns(spark, sf_dir), foreign_keys(spark), policy.denied_sets(_policies(spark)), "analyst", "prompt")
+    return enforce.generate_queries(cases, context, generate_, "prompt").select("sample_id", "method", "sql", (F.col("prompt_chars") > 100).alias("told"))
+
+
+@query(values([("nation", 'CREATE TABLE nation (\n  n_nationkey INT,\n  n_name STRING, -- its name; examples: ALGERIA, CHINA\n  n_regionkey INT,\n  PRIMARY KEY (n_nationkey),\n  FOREIGN KEY (n_regionkey) REFERENCES region (r_regionkey)\n)')], "table_name, text").replace("\\n", "\n"))
+def enf_ddl_with_comments(spark, sf_dir):
+    told = spark.createDataFrame([("nation", "n_name", "its   name")], "table_name string, column_name string, description string")
+    some = spark.createDataFrame([("nation", "n_name", "CHINA"), ("nation", "n_name", "ALGERIA")], "table_name string, column_name string, value string")
+    return catalog.ddl(columns(spark, sf_dir).filter("table_name = 'nation'"), foreign_keys(spark), told, some)
+
+
+@query("SELECT 'nation' AS table_name, column_name FROM information_schema.columns WHERE table_name = 'nation'")
+def src_session(spark, sf_dir):
+    """Columns of a view of the session."""
+    frames(spark, sf_dir)["nation"].createOrReplaceTempView("nation_of_session")
+    found = catalog.from_session(spark, tables=["nation_of_session"]).select(F.lit("nation").alias("table_name"), "column_name")
+    spark.catalog.dropTempView("nation_of_session")
+    return found
+
+
+@query(values([("a", "x", True, False), ("a", "Y z", False, False), ("b", "x", False, True)], "table_name, column_name, is_pk, is_fk"))
+def src_schema_document(spark, sf_dir):
+    made = catalog.schema_document(spark, "d", {"a": [("x", "INT"), ("Y z", "TEXT")], "b": [("x", "INT")]}, [("a", "x")], [("b", "x", "a", "x")])
+    return catalog.columns_of(made).select("table_name", "column_name", "is_pk", "is_fk")
+
+
+@query(pre("SELECT count(DISTINCT table_name) AS tables, count(*) AS columns, 4 AS roles, 12 AS policies FROM catalog"))
+def src_saved(spark, sf_dir):
+    """An engine stored and loaded again knows as much, and decides alike."""
+    e, path = engine(spark, sf_dir), scratch(spark, "engine")
+    e.save(path)
+    again = AccessEngine(spark).load_saved(path, e.frames)
+    assert again.refine_query("SELECT c_name, c_custkey FROM customer", "analyst") == e.refine_query("SELECT c_name, c_custkey FROM customer", "analyst")
+    return spark.createDataFrame([tuple(again.statistics().values())], "tables int, columns int, roles int, policies int")
+
+
+@query(values([("n1", 0), ("n2", 1)], "sample_id, row_index"))
+def src_datasets(spark, sf_dir):
+    """Datasets of databases: the first of the known names counts, a database without one is left out."""
+    root = scratch(spark, "datasets")
+    row = lambda s, i: {"db_id": s, "question": "q", "role": "r", "intent_preserving_expected_query": "SELECT 1", "sample_id": s, "row_index": i}
+    put_text(spark, f"{root}/n1/qa.json", json.dumps([row("n1", 0)]))
+    put_text(spark, f"{root}/n1/bird_style_dataset.json", json.dumps([row("old", 9)]))
+    put_text(spark, f"{root}/n2/bird_style_dataset.json", json.dumps([row("n2", 1)]))
+    return io.read_datasets(spark, root, ["n1", "n2", "n3"]).select("sample_id", F.col("row_index").cast("int").alias("row_index"))
+
+
+@query(values([("list", 2), ("map", 2), ("predictions", 2), ("records", 2), ("rows with other fields", 2)], "form, n"))
+def src_prediction_forms(spark, sf_dir):
+    rows = [{"sample_id": "a", "sql": "SELECT 1"}, {"sample_id": "b", "sql": "SELECT 2"}]
+    forms = {"list": rows, "records": {"records": rows}, "predictions": {"predictions": rows}, "map": {"a": "SELECT 1", "b": "SELECT 2"}, "rows with other fields": [rows[0], {"sample_id": "b", "output_query": "SELECT 2"}]}
+    out = []
+    for name, form in forms.items():
+        found = io.normalize_predictions(spark.read.json(put_text(spark, scratch(spark, "forms.json"), json.dumps(form)), multiLine=True))
+        out.append((name, found.filter("sample_id IN ('a', 'b') AND query IN ('SELECT 1', 'SELECT 2')").count()))
+    return spark.createDataFrame(out, "form string, n int")
 
 
 __all__ = ["ORACLES", "QUERIES", "ROLES"]

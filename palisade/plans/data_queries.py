@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palisade.operators import retrieve
-from palisade.plans.context import frames, values
+from palisade.plans.context import frames, scratch, values
+from palisade.sources import catalog
 from palisade.sources.catalog import TPCH_KEYS
 
 QUERIES: dict = {}
@@ -50,8 +51,71 @@ _ASK = [("q1", "the thing with of"), ("q2", "und der nicht"), ("q3", "idiot lice
 )
 def ret_bm25(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    index = retrieve.postings(docs, "doc_id", "text")
-    return retrieve.bm25(index, docs, spark.createDataFrame(_ASK, "query_id string, text string"))
+    return retrieve.bm25(docs, spark.createDataFrame(_ASK, "query_id string, text string"))
+
+
+ORACLES["ret_bm25_index"] = ORACLES["ret_bm25"]
+
+
+@query()
+def ret_bm25_index(spark, sf_dir):
+    """The same from a stored index."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = scratch(spark, "postings")
+    retrieve.postings(docs, "doc_id", "text").write.parquet(path)
+    return retrieve.bm25_of_index(spark.read.parquet(path), docs.count(), spark.createDataFrame(_ASK, "query_id string, text string"))
+
+
+_LITERAL_ASK = ["united kingdom", "LARGE BRUSHED BRAS", "Brand#1", "building", "zzqqxx", "12345", "Saudi", "MIDDLE EASTERN"]
+_GRAMS3 = "list_transform(range(1, greatest(2, length({c}) + 1)), lambda i: substr(' ' || lower({c}) || ' ', i, 3))"
+
+
+@query(
+    f"""WITH cells AS ({_CELLS}), asked AS ({values([(x,) for x in _LITERAL_ASK if not x.isdigit()], 'literal')}),
+    cg AS (SELECT table_name, column_name, value, unnest({_GRAMS3.format(c='value')}) AS gram FROM cells), cn AS (SELECT *, count(*) AS n FROM cg GROUP BY ALL),
+    cv AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY table_name, column_name, value)) AS w FROM cn),
+    ag AS (SELECT literal, unnest({_GRAMS3.format(c='literal')}) AS gram FROM asked), an AS (SELECT *, count(*) AS n FROM ag GROUP BY ALL), av AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY literal)) AS w FROM an),
+    near AS (SELECT literal, table_name, column_name, value, round(greatest(0, 2 - 2 * sum(cv.w * av.w)), 6) AS distance FROM cv JOIN av USING (gram) GROUP BY ALL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY literal ORDER BY distance, table_name, column_name, value) AS place FROM near WHERE distance < 0.8)
+    SELECT DISTINCT table_name, column_name, value AS content FROM top WHERE place <= 5"""
+)
+def ret_literal_cells(spark, sf_dir):
+    """Cells near the literals of a question, from a stored index of vectors."""
+    cells = retrieve.text_cells(frames(spark, sf_dir), TPCH_KEYS["pk"])
+    path = scratch(spark, "vectors")
+    retrieve.write_vectors(retrieve.text_vectors(cells, "value", "table_name", "column_name", "value"), path)
+    return retrieve.literal_cells(spark.read.parquet(path), spark.createDataFrame([(x,) for x in _LITERAL_ASK], "literal string"))
+
+
+_EXAMPLES = [("how many _ are in _", "How many customers are in France?", None, "SELECT COUNT(*) FROM customer"), ("list the _ of _", "List the parts of brand 12", "brand is p_brand", "SELECT p_name FROM part"), ("zzz", "z?", None, "SELECT 1")]
+
+
+@query(values([("q1", 1, "Question: How many customers are in France?\nEvidence: \nSQL: SELECT COUNT(*) FROM customer"), ("q2", 1, "Question: List the parts of brand 12\nEvidence: brand is p_brand\nSQL: SELECT p_name FROM part")], "query_id, rank, example"))
+def ret_skeletons(spark, sf_dir):
+    examples = spark.createDataFrame(_EXAMPLES, "skeleton string, question string, evidence string, sql string")
+    asked = spark.createDataFrame([("q1", "how many _ are there in _"), ("q2", "list the _ of each _"), ("q3", "0000")], "query_id string, text string")
+    return retrieve.skeletons(examples, asked).filter("rank = 1")
+
+
+@query("SELECT 'p' || n_regionkey AS query_id, string_agg('- nation.n_name: ' || n_name || chr(10), '' ORDER BY n_name) AS text FROM nation GROUP BY 1")
+def ret_matched_text(spark, sf_dir):
+    nation = frames(spark, sf_dir)["nation"]
+    cells = nation.groupBy(F.concat(F.lit("p"), "n_regionkey").alias("query_id")).agg(F.collect_list("n_name").alias("values")).select("query_id", F.lit("nation").alias("table_name"), F.lit("n_name").alias("column_name"), "values")
+    return retrieve.matched_text(cells)
+
+
+_JSONS = [('x {"a": {"b": 1}} y {"c": 2}', '{"a": {"b": 1}}'), ("{broken {\"k\": [1, 2]}", '{"k": [1, 2]}'), ("none", None)]
+
+
+@query(values(_JSONS, "text, found"))
+def ret_json_object(spark, sf_dir):
+    return spark.createDataFrame([x[:1] for x in _JSONS], "text string").select("text", retrieve.json_object("text").alias("found"))
+
+
+@query("SELECT 'region' AS table_name, 'r_name' AS column_name, count(*) AS n_rows, count(*) - count(r_name) AS n_nulls, count(DISTINCT r_name) AS n_distinct FROM region UNION ALL SELECT 'region', 'r_regionkey', count(*), count(*) - count(r_regionkey), count(DISTINCT r_regionkey) FROM region UNION ALL SELECT 'nation', 'n_regionkey', count(*), 0, count(DISTINCT n_regionkey) FROM nation")
+def src_statistics(spark, sf_dir):
+    fs = frames(spark, sf_dir)
+    return catalog.statistics({"region": fs["region"], "nation": fs["nation"].select("n_regionkey")})
 
 
 @query("SELECT 'a b c' AS text, 'a;b;c;a b;b c;a b c' AS grams UNION ALL SELECT 'x', 'x' UNION ALL SELECT '', ''")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palisade.operators import evaluate
-from palisade.plans.context import values
+from palisade.operators import evaluate, retrieve
+from palisade.plans.context import engine, scratch, values
 from palisade.plans.workload import WORKLOAD
+from palisade.sources import io
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +85,126 @@ def ev_failures(spark, sf_dir):
     return evaluate.failures(contributions(spark, sf_dir)).select("sample_id")
 
 
+@query(
+    f"WITH {_ROWS}, good AS (SELECT DISTINCT question_id FROM c WHERE mode = 'base_none' AND it >= 1 AND sy = 1), r AS (SELECT mode AS m, {_select('relative_')} FROM c WHERE question_id IN (FROM good) GROUP BY mode), a AS (SELECT CASE mode WHEN 'base_none' THEN 'base' ELSE mode END AS mode, mode AS n, {_select()} FROM c GROUP BY ALL) SELECT * EXCLUDE (m, n), (SELECT count(*) FROM good) AS relative_questions FROM a LEFT JOIN r ON a.n = r.m"
+)
+def ev_mode_summary_v1(spark, sf_dir):
+    rows = contributions(spark, sf_dir)
+    return evaluate.mode_summary_v1(rows.withColumn("mode", F.when(F.col("mode") == "base_none", "base").otherwise(F.col("mode"))))
+
+
+@query(f"WITH {_ROWS} SELECT row_number() OVER (ORDER BY CASE mode WHEN 'base_none' THEN 1 WHEN 'base_realign' THEN 3 ELSE 7 END) AS place, mode FROM (SELECT DISTINCT mode FROM c)")
+def ev_modes_in_order(spark, sf_dir):
+    """Modes as the summary lists them: by method, then layer."""
+    found = [r["mode"] for r in evaluate.ordered_modes(evaluate.mode_summary(contributions(spark, sf_dir))).select("mode").collect()]  # nine at most
+    return spark.createDataFrame(list(enumerate(found, 1)), "place long, mode string")
+
+
+@query("SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS db_id, 'Staff' AS role FROM orders WHERE o_orderkey % 2 = 0 ORDER BY o_orderkey LIMIT 20 OFFSET 10")
+def ev_chosen(spark, sf_dir):
+    """A slice of the questions of one database and role."""
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("question_id"), F.when(k % 2 == 0, "a").otherwise("b").alias("db_id"), F.lit("Staff").alias("role"))
+    return evaluate.chosen(rows, ["a"], ["staff"], 10, 30)
+
+
+@query("SELECT l_orderkey AS question_id, 'm' || (l_linenumber % 2) AS mode, l_linenumber AS policy_viol_count, (l_linenumber > 0)::INT AS policy_viol_binary_count, CASE WHEN l_linenumber % 3 > 0 THEN (l_returnflag = 'R')::INT ELSE 0 END AS exec_success, (l_linenumber % 3 > 0)::INT AS exec_total, l_discount AS expected_query_match_sum, 1.0::DOUBLE AS expected_query_match_total, l_tax AS intent_sum, 0 AS prompt_char_size_sum, 1 AS syntax_total FROM lineitem")
+def ev_contributions(spark, sf_dir):
+    """Contributions of stored rows that have the older fields only, and some of none."""
+    c, n = F.col, F.col("l_linenumber")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        c("l_orderkey").alias("question_id"), F.concat(F.lit("m"), n % 2).alias("access_control_mode"), n.cast("string").alias("policy_violation_count"), F.when(c("l_returnflag") == "R", "Yes").otherwise("no").alias("execution_success"),
+        (n % 3 > 0).alias("execution_scored"), c("l_discount").alias("minimal_distortion_match_count"), F.lit(True).alias("minimal_distortion_scored"), c("l_tax").alias("intent_preservation_match_count"), F.lit(9).alias("prompt_char_size"),
+    )
+    names = ("policy_viol_count", "policy_viol_binary_count", "exec_success", "exec_total", "expected_query_match_sum", "expected_query_match_total", "intent_sum", "prompt_char_size_sum", "syntax_total")
+    return evaluate.contributions(rows).select("question_id", "mode", *names)
+
+
+_OLD = [
+    ("o1", "SELECT n_name FROM nation WHERE n_regionkey = 1", "SELECT n_name FROM nation WHERE n_regionkey = 1", "SELECT n_name FROM nation", True, ["nation.n_name"], ["nation.n_regionkey"], True),
+    ("o2", "SELECT n_name, n_nationkey FROM nation", "SELECT n_name FROM nation", None, True, ["nation.n_name"], [], False),
+    ("o3", "Sorry, no", "SELECT n_name FROM nation", "SELECT n_name FROM nation", True, ["nation.n_name"], [], None),
+    ("o4", "SELECT n_name FROM nation", None, "SELECT n_name FROM nation", False, [], [], True),
+]
+_OLD_COLUMNS = "sample_id string, generated string, expected string, base string, usable boolean, expected_projection array<string>, expected_process array<string>, executes boolean"
+
+
+@query(values([("o1", 0, 2, 0, 1, 1, 1, 1, 1), ("o2", 1, 1, 1, 1, 0, 1, 0, 0), ("o3", 0, 1, 0, 1, 0, 0, 0, 1), ("o4", 1, 0, 1, 0, 0, 1, 1, 1)], "sample_id, policy_violation_count, policy_total_columns, direct_disclosure_count, direct_total_columns, answer_agreement, syntactic_correct, execution_success, intent_preservation_scored"))
+def ev_evaluate_v1(spark, sf_dir):
+    found = evaluate.evaluate_v1(spark.createDataFrame(_OLD, _OLD_COLUMNS))
+    return found.select("sample_id", *[F.col(c).cast("int").alias(c) for c in ("policy_violation_count", "policy_total_columns", "direct_disclosure_count", "direct_total_columns", "answer_agreement", "syntactic_correct", "execution_success", "intent_preservation_scored")])
+
+
+@query("SELECT 4 AS samples, 0.5 AS policy_violation_rate, 0.666667 AS direct_disclosure_rate, 0.333333 AS answer_agreement, 0.5 AS execution_success_rate, 0.75 AS syntactic_correctness_rate")
+def ev_summary_v1(spark, sf_dir):
+    found = evaluate.summary_v1(evaluate.evaluate_v1(spark.createDataFrame(_OLD, _OLD_COLUMNS)))
+    return found.select(F.col("samples").cast("int").alias("samples"), "policy_violation_rate", "direct_disclosure_rate", "answer_agreement", "execution_success_rate", "syntactic_correctness_rate")
+
+
+_RUN = [("x1", "SELECT n_name FROM nation", True), ("x2", "```sql\nSELECT no_such FROM nation\n```", False), ("x3", "I cannot", False), ("x4", "SELECT COUNT(*) FROM region", True), ("x5", "SELECT * FROM nowhere", False), ("x6", "DROP VIEW nation", False)]
+
+
+@query(values([(a, c) for a, _, c in _RUN], "sample_id, executes"))
+def ev_execution(spark, sf_dir):
+    """Whether generated queries run over the tables, under a time limit."""
+    e = engine(spark, sf_dir)
+    return evaluate.with_execution(spark.createDataFrame([x[:2] for x in _RUN], "sample_id string, generated string"), e.runs).select("sample_id", "executes")
+
+
+@query(values([("Candidate 0", True), ("Candidate 1", False), ("Candidate 2", False), ("| n_name |", True)], "part, shown"))
+def ev_previews(spark, sf_dir):
+    """First rows of the candidates that a role may run."""
+    text = engine(spark, sf_dir).previews(["SELECT n_name FROM nation ORDER BY n_name LIMIT 1", "SELECT c_name FROM customer", "SELECT nothing FROM nation"], "staff")
+    return spark.createDataFrame([(p, p in text) for p in ("Candidate 0", "Candidate 1", "Candidate 2", "| n_name |")], "part string, shown boolean")
+
+
+@query("SELECT sample_id, 'd' AS db_id, '' AS generated_query FROM (SELECT 'd::t::where::' || r_name AS sample_id FROM region)")
+def ev_template(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("d::t::where::"), "r_name").alias("sample_id"), F.lit("d").alias("db_id"), F.lit("t").alias("template_id"), F.lit("where").alias("mode"), F.col("r_name").alias("role"))
+    return evaluate.prediction_template(rows).select("sample_id", "db_id", "generated_query")
+
+
+@query(f"WITH {_ROWS} SELECT 'breakdown' AS part, count(*) AS n FROM (SELECT DISTINCT mode, question_type FROM c) UNION ALL SELECT 'eval', count(*) FROM c UNION ALL SELECT 'failures', count(*) FROM c WHERE mode = 'base_realign' AND pv > 0 UNION ALL SELECT 'meta', 1 UNION ALL SELECT 'pending', 0 UNION ALL SELECT 'raw', count(*) FROM c UNION ALL SELECT 'summary', count(DISTINCT mode) FROM c")
+def snk_run(spark, sf_dir):
+    """What a run leaves behind; writing it twice changes nothing."""
+    rows, path = contributions(spark, sf_dir), scratch(spark, "run")
+    for _ in range(2):
+        io.persist_run(rows, rows.select("sample_id", "mode"), path, "one", {"note": "test"})
+    counts = [(n, spark.read.parquet(f"{path}/{n}").count()) for n in ("breakdown", "eval", "failures", "meta", "raw", "summary")]
+    counts.append(("pending", io.pending(rows, io.finished(spark, path)).count()))
+    return spark.createDataFrame(counts, "part string, n long")
+
+
+@query(values([("easy", "EASY", "SELECT 2"), ("hard", "NESTED", "SELECT 1")], "question, label, sql"))
+def ret_stepwise(spark, sf_dir):
+    """Steps of a generator that links, classifies, writes and corrects."""
+    said = {"link": "Schema_links: [a.b]", "easy": "SQL: SELECT 1", "hard": "SQL: SELECT 1"}
+
+    def generate_(step, question, context):
+        if step == "classify":
+            return 'Label: "EASY"' if question == "easy" else 'Label: "NESTED"\nsub_questions: [x?]'
+        return ("Revised_SQL: SELECT 2" if question == "easy" else "") if step == "correct" else said[step]
+
+    found = [(q, retrieve.stepwise(q, "# t", generate_)) for q in ("easy", "hard")]
+    return spark.createDataFrame([(q, r["label"], r["sql"]) for q, r in found], "question string, label string, sql string")
+
+
+@query(values([("clipped", 10000, "query clipped to 10000 characters"), ("fails", 0, "broken"), ("long", 9, "retried with a short prompt: context overflow"), ("plain", 8, None)], "attempt, length, error"))
+def ret_retries(spark, sf_dir):
+    """A generator whose context is too long is asked once more with less."""
+    def long_(parts):
+        if len(parts["schema"]) > 7000:
+            raise ValueError("context overflow")
+        return "SELECT 10"
+
+    def fails(parts):
+        raise ValueError("broken")
+
+    attempts = {"plain": lambda parts: "SELECT 1", "clipped": lambda parts: "x" * 20_000, "long": long_, "fails": fails}
+    found = [(n, retrieve.with_retry(f, {"schema": "s" * 9000, "question": "q"})) for n, f in attempts.items()]
+    return spark.createDataFrame([(n, len(r["sql"]), r["error"]) for n, r in found], "attempt string, length int, error string")
+
+
 _TEXTS = [
     ("Here:\n```sql\nSELECT a FROM t;\n```\nDone", "SELECT a FROM t", False), ("select x from y", "select x from y", False), ("I cannot answer that.", "", True), ("", "", True), ("The query is WITH a AS (SELECT 1) SELECT * FROM a;", "WITH a AS (SELECT 1) SELECT * FROM a", False), ("no query at all", "", True),
 ]
@@ -179,8 +300,10 @@ def ev_flatten(spark, sf_dir):
     return evaluate.flatten(records).select("sample_id", "expected_query", "is_usable")
 
 
+#: Written out: what is counted in each statement.
+_PATTERNS = {"where": r"\bWHERE\b", "join": r"\bJOIN\b", "group by": r"\bGROUP BY\b", "order by": r"\bORDER BY\b", "having": r"\bHAVING\b", "limit": r"\bLIMIT\b", "union": r"\bUNION\b", "intersect": r"\bINTERSECT\b", "except": r"\bEXCEPT\b", "subquery": r"\(SELECT"}
 _CORPUS = [(i, sql) for i, (_, sql, _) in enumerate(WORKLOAD.values())]
-_COUNTED = " UNION ALL ".join(f"SELECT 'SELECT' AS statement, '{n}' AS clause, sum(len(regexp_extract_all(upper(sql), '{p}'))) AS matches, count(*) AS statements FROM w" for n, p in evaluate._CLAUSES.items())
+_COUNTED = " UNION ALL ".join(f"SELECT 'SELECT' AS statement, '{n}' AS clause, sum(len(regexp_extract_all(upper(sql), '{p}'))) AS matches, count(*) AS statements FROM w WHERE upper(sql) LIKE 'SELECT%'" for n, p in _PATTERNS.items())
 
 
 @query(f"WITH w AS ({values(_CORPUS, 'id, sql')}), x AS ({_COUNTED}) SELECT statement, clause, matches::BIGINT AS matches, statements, round(100.0 * matches::DOUBLE / statements, 4) AS percentage FROM x")

@@ -81,6 +81,11 @@ WORKLOAD: dict[str, tuple[str, str, str]] = {
         "analyst", "SELECT o_custkey, o_orderkey, COUNT(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'",
         "SELECT o_custkey, o_orderkey, COUNT(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'",
     ),
+    "bare_column": ("admin", "SELECT r_name, COUNT(*) AS n, UPPER(r_name) AS u FROM region WHERE r_regionkey = 1", "SELECT any_value(r_name) AS r_name, COUNT(*) AS n, upper(any_value(r_name)) AS u FROM region WHERE r_regionkey = 1"),
+    "bare_column_in_group": (
+        "analyst", "SELECT c_nationkey, n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_nationkey",
+        "SELECT c_nationkey, any_value(n_name) AS n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey",
+    ),
     "grouping_sets": (
         "staff", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_quantity > 25) AS many FROM lineitem WHERE (l_tax > 0.02) IS TRUE GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())",
         "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, COUNT(*) FILTER (WHERE l_quantity > 25) AS many FROM lineitem WHERE l_tax > 0.02 AND l_returnflag <> 'R' GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())",

@@ -102,15 +102,68 @@ def light_schema(columns: DataFrame, foreign: DataFrame, samples: DataFrame | No
     return lines.select("table_name", F.concat(F.lit("# "), "table_name", F.lit("\n"), F.array_join(F.col("lines.line"), "\n")).alias("text"))
 
 
-def ddl(columns: DataFrame, foreign: DataFrame) -> DataFrame:
-    """table_name, text: CREATE TABLE with key constraints; names that are not plain identifiers are quoted."""
-    name = lambda c: F.when(c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), c).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
+#: Words that a column can't be called without quotes.  Fixed values.
+RESERVED = ("order", "group", "select", "from", "where", "table", "index", "by", "join", "on", "as", "and", "or", "not", "in", "case", "when", "then", "else", "end", "union", "values", "set", "primary", "key", "references", "default", "check", "transaction", "limit", "having", "distinct", "create", "date", "to", "all")
+#: Sample values that a column's comment shows, at most.
+EXAMPLES = 6
+
+
+def ddl(columns: DataFrame, foreign: DataFrame, descriptions: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """table_name, text: CREATE TABLE with key constraints; names that are reserved or not plain are quoted.
+
+    With descriptions (table_name, column_name, description) and samples
+    (table_name, column_name, value), a comment follows each column.
+    """
+    name = lambda c: F.when(c.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$") & ~F.lower(c).isin(*RESERVED), c).otherwise(F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
+    key = ["table_name", "column_name"]
+    said, shown = F.lit(None).cast("string"), F.lit(None).cast("string")
+    if descriptions is not None:
+        columns, said = columns.join(descriptions.select(*key, F.col("description").alias("_said")), key, "left"), F.col("_said")
+    if samples is not None:
+        some = samples.groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("value")), 1, EXAMPLES).alias("_shown"))
+        columns, shown = columns.join(some, key, "left"), F.concat(F.lit("examples: "), F.array_join("_shown", ", "))
+    note = F.concat_ws("; ", said, shown)
+    text = F.concat_ws(" ", name(F.col("column_name")), F.upper("data_type"))
     body = columns.groupBy("table_name").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", F.concat_ws(" ", name(F.col("column_name")), F.upper("data_type")).alias("line")))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct("ordinal", text.alias("line"), F.when(note != "", F.concat(F.lit(" -- "), F.regexp_replace(note, r"\s+", " "))).otherwise(F.lit("")).alias("note")))).alias("lines"),
         F.array_sort(F.collect_list(F.when(F.col("is_pk"), name(F.col("column_name"))))).alias("pk"),
     )
     keys = foreign.groupBy(F.col("from_table").alias("table_name")).agg(F.array_sort(F.collect_list(F.concat(F.lit("FOREIGN KEY ("), name(F.col("from_column")), F.lit(") REFERENCES "), name(F.col("to_table")), F.lit(" ("), name(F.col("to_column")), F.lit(")")))).alias("fks"))
     rows = body.join(keys, "table_name", "left")
+    plain = lambda xs: F.transform(xs, lambda x: F.struct(x.alias("line"), F.lit("").alias("note")))
     pk = F.when(F.size("pk") > 0, F.array(F.concat(F.lit("PRIMARY KEY ("), F.array_join("pk", ", "), F.lit(")")))).otherwise(F.array().cast("array<string>"))
-    parts = F.concat(F.col("lines.line"), pk, F.coalesce("fks", F.array().cast("array<string>")))
-    return rows.select("table_name", F.concat(F.lit("CREATE TABLE "), name(F.col("table_name")), F.lit(" (\n  "), F.array_join(parts, ",\n  "), F.lit("\n)")).alias("text"))
+    parts = F.concat(F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["note"].alias("note"))), plain(pk), plain(F.coalesce("fks", F.array().cast("array<string>"))))
+    last = F.size(parts)
+    lines = F.transform(parts, lambda x, i: F.concat(x["line"], F.when(i + 1 < last, ",").otherwise(""), x["note"]))  # the comma before the comment
+    return rows.select("table_name", F.concat(F.lit("CREATE TABLE "), name(F.col("table_name")), F.lit(" (\n  "), F.array_join(lines, "\n  "), F.lit("\n)")).alias("text"))
+
+
+def schema_document(spark: SparkSession, db_id: str, tables: dict[str, list[tuple[str, str]]], pk: list[tuple[str, str]] = (), fk: list[tuple[str, str, str, str]] = (), first_key: int = 1) -> DataFrame:
+    """A schema document from Python values: tables with (column, type), primary keys, foreign keys."""
+    cells = [(i, c, t) for i, cs in enumerate(tables.values()) for c, t in cs]
+    names = list(tables)
+    place = {(names[i], c): n for n, (i, c, _) in enumerate(cells, first_key)}
+    row = (db_id, names, [[str(i), c] for i, c, _ in cells], [t for *_, t in cells], [place[x] for x in pk], [[place[a, b], place[c, d]] for a, b, c, d in fk])
+    return spark.createDataFrame([row], SCHEMA_JSON)
+
+
+def from_session(spark: SparkSession, database: str | None = None, tables: list[str] | None = None) -> DataFrame:
+    """db_id, table_name, ordinal, column_name, data_type of the session's tables and views."""
+    rows = []
+    for t in spark.catalog.listTables(database):
+        if tables is None or t.name in tables:
+            fields = spark.table(f"`{t.name}`" if t.isTemporary else f"`{t.namespace[0]}`.`{t.name}`").schema.fields
+            rows += [(database or spark.catalog.currentDatabase(), t.name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "db_id string, table_name string, ordinal int, column_name string, data_type string")
+
+
+def statistics(frames: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, n_rows, n_nulls, n_distinct (approximate): one pass over each table, all columns at once."""
+    out = None
+    for table, df in sorted(frames.items()):
+        plain = [f.name for f in df.schema.fields]
+        measures = [F.count("*").alias("n_rows"), *[F.struct(F.count_if(F.col(f"`{c}`").isNull()).alias("n_nulls"), F.approx_count_distinct(F.col(f"`{c}`").cast("string")).alias("n_distinct")).alias(f"_{i}") for i, c in enumerate(plain)]]
+        each = df.agg(*measures).select("n_rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{i}.n_nulls").alias("n_nulls"), F.col(f"_{i}.n_distinct").alias("n_distinct")) for i, c in enumerate(plain)])).alias("x"))
+        rows = each.select(F.lit(table).alias("table_name"), "x.column_name", "n_rows", "x.n_nulls", "x.n_distinct")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -8,7 +8,7 @@ from palisade.functions.sql_text import parse, render, try_parse
 from palisade.operators import enforce, evaluate, policy, retrieve, rewrite, rules
 from palisade.operators.facts import Schema, analyse
 from palisade.plans import context, registry
-from palisade.plans.workload import WORKLOAD
+from palisade.plans.workload import DECISIONS, WORKLOAD
 
 SF = "/root/testdata/sf0.001"
 FINANCE = {
@@ -140,6 +140,20 @@ def test_secured_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == e.frames["part"].filter("p_size < 25").count()
 
 
+def test_rules_by_join_and_by_lookup(spark, monkeypatch):
+    """Both ways to ask the policies say the same of every query."""
+    e = context.engine(spark, SF)
+    rows = [(f"{k}{r}", r, sql) for k, (_, sql, _) in WORKLOAD.items() for r in context.ROLES] + [(k, r, q) for k, (r, q, *_) in DECISIONS.items()]
+    queries = spark.createDataFrame(rows, "query_id string, role string, sql string")
+    joined = rules.node_status(rules.query_facts(queries, e.schema), e.policies).collect()
+    looked = [tuple(s.values()) for q, r, sql in rows for s in e.local.statuses(analyse(q, r, sql, e.schema)[1])]
+    assert set(map(tuple, joined)) == set(looked) and len(joined) == len(looked)
+    by_lookup = rewrite.refine_queries(queries, e.policies, e.schema, e.roles).collect()
+    monkeypatch.setattr(rules.Policies, "MOST", 1)
+    by_join = rewrite.refine_queries(queries, e.policies, e.schema, e.roles).collect()
+    assert sorted(by_lookup) == sorted(by_join)
+
+
 def test_no_status_for_aligned(spark):
     e = context.engine(spark, SF)
     q = spark.createDataFrame([("q", "admin", "SELECT c_name FROM customer")], "query_id string, role string, sql string")
