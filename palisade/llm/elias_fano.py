@@ -36,10 +36,14 @@ def restore(code: np.ndarray) -> np.ndarray:
     return table[code]
 
 
-#: Every how manieth one and zero of the unary code has its position kept.
-SAMPLE = 16
 _ONE = np.uint64(1)
-_HALVES = tuple(np.uint64(k) for k in (32, 16, 8, 4, 2, 1))
+_L8, _H8 = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_M5, _M3, _M0 = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F))
+#: Place of the r-th one of a byte, by byte and r.
+_IN_BYTE = np.zeros((256, 8), np.uint8)
+for _byte in range(256):
+    _places = [i for i in range(8) if _byte >> i & 1]
+    _IN_BYTE[_byte, : len(_places)] = _places
 
 
 def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -50,15 +54,14 @@ def _window(words: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _in_word(v: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th one (from 0) of each word."""
-    place = np.zeros(len(v), np.int64)
-    for k in _HALVES:
-        below = np.bitwise_count(v & ((_ONE << k) - _ONE)).astype(np.int64)
-        go = below <= r
-        r = np.where(go, r - below, r)
-        v = np.where(go, v >> k, v)
-        place += np.where(go, int(k), 0)
-    return place
+    """Place of the r-th one (from 0) of each word: its byte by the bytes' running counts, then a table."""
+    s = v - (v >> _ONE & _M5)
+    s = (s & _M3) + (s >> np.uint64(2) & _M3)
+    s = (s + (s >> np.uint64(4)) & _M0) * _L8
+    r = r.astype(np.uint64)
+    byte = np.bitwise_count((r * _L8 | _H8) - s & _H8).astype(np.uint64) << np.uint64(3)
+    r -= s << np.uint64(8) >> byte & np.uint64(255)
+    return byte.astype(np.int64) + _IN_BYTE[(v >> byte & np.uint64(255)).astype(np.int64), r.astype(np.int64)]
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,14 +75,16 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class EliasFano:
-    """Monotone non-decreasing unsigned integers: packed low bits, and high parts in unary as packed bits with sampled positions.
+    """Monotone non-decreasing unsigned integers: packed low bits, and high parts in unary as packed bits, with the number of ones before each word.
 
     The unary code begins with a zero: zero t stands before the values whose
     high part is t, one i is value i.
     """
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray, ones: np.ndarray, tops: int):
-        self.n, self.width, self.low, self.high, self.zeros, self.ones, self.tops = n, width, low, high, zeros, ones, tops
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray, tops: int):
+        self.n, self.width, self.low, self.high, self.rank, self.tops = n, width, low, high, rank, tops
+        ones = rank.astype(np.int64)
+        self.before = ones, 64 * np.arange(len(rank)) - ones  # of ones, of zeros
 
     @classmethod
     def encode(cls, values: np.ndarray) -> "EliasFano":
@@ -91,34 +96,26 @@ class EliasFano:
         tops = int(top[-1] if n else 0) + 2  # high parts with a zero before and a zero behind
         bits = np.zeros(n + tops + 1 + 63 & ~63, np.uint8)
         bits[top + np.arange(n) + 1] = 1
-        kind = np.uint32 if len(bits) < 1 << 32 else np.uint64
-        zeros, ones = (np.flatnonzero(bits[: n + tops + 1] == x)[::SAMPLE].astype(kind) for x in (0, 1))
         high = np.concatenate([np.packbits(bits, bitorder="little").view(np.uint64), np.zeros(2, np.uint64)])
-        return cls(n, width, _packed(values, width), high, zeros, ones, tops)
+        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
+        rank = np.concatenate([[0], ones[:-1]]).astype(np.uint32 if n < 1 << 32 else np.uint64)
+        return cls(n, width, _packed(values, width), high, rank, tops)
 
-    def _select(self, k: np.ndarray, sample: np.ndarray, flip: bool) -> np.ndarray:
+    def _select(self, k: np.ndarray, flip: bool) -> np.ndarray:
         """Position of the k-th one (flip: zero) of the unary code."""
-        at, r = sample[k // SAMPLE].astype(np.int64), k % SAMPLE
-        out, open_ = np.empty(len(k), np.int64), np.arange(len(k))
-        while len(open_):
-            v = _window(self.high, at)
-            v = ~v if flip else v
-            inside = np.bitwise_count(v).astype(np.int64)
-            hit = inside > r
-            out[open_[hit]] = at[hit] + _in_word(v[hit], r[hit])
-            open_, at, r = open_[~hit], at[~hit] + 64, (r - inside)[~hit]
-        return out
+        before = self.before[flip]
+        word = np.searchsorted(before, k, side="right") - 1
+        v = self.high[word]
+        return 64 * word + _in_word(~v if flip else v, k - before[word])
 
     def _range(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the values with each high part begin and end."""
-        zero = self._select(top, self.zeros, True)
-        end, open_, at = np.empty(len(top), np.int64), np.arange(len(top)), zero + 1
-        while len(open_):  # the next zero
-            v = ~_window(self.high, at)
-            hit = v != 0
-            w = v[hit]
-            end[open_[hit]] = at[hit] + np.bitwise_count((w & (~w + _ONE)) - _ONE)
-            open_, at = open_[~hit], at[~hit] + 64
+        zero = self._select(top, True)
+        v = ~_window(self.high, zero + 1)
+        end = zero + 1 + np.bitwise_count((v & (~v + _ONE)) - _ONE)  # the next zero
+        far = np.flatnonzero(v == 0)
+        if len(far):
+            end[far] = self._select(top[far] + 1, True)
         return zero - top, end - top - 1
 
     def _low(self, at: np.ndarray) -> np.ndarray:
@@ -127,7 +124,7 @@ class EliasFano:
         return _window(self.low, at * self.width) & np.uint64((1 << self.width) - 1)
 
     def access(self, at: np.ndarray) -> np.ndarray:
-        top = self._select(at.astype(np.int64), self.ones, False) - at - 1
+        top = self._select(at.astype(np.int64), False) - at - 1
         return (top.astype(np.uint64) << np.uint64(self.width)) | self._low(at)
 
     def successor(self, values: np.ndarray) -> np.ndarray:
@@ -170,7 +167,7 @@ class Trie:
         self.parts = parts
         for name in self.LEVELS:
             n, width, tops = (int(x) for x in parts[name + ".head"])
-            setattr(self, name, EliasFano(n, width, *(parts[f"{name}.{x}"] for x in ("low", "high", "zeros", "ones")), tops))
+            setattr(self, name, EliasFano(n, width, *(parts[f"{name}.{x}"] for x in ("low", "high", "rank")), tops))
         self.vocabulary, self.universe = parts["vocabulary"], np.uint64(max(1, len(parts["vocabulary"])))
         for name in ("follow_p", "word_rest", "pair_p", "pair_rest"):
             setattr(self, name, parts[name])
@@ -223,7 +220,7 @@ class Trie:
         parts = {"vocabulary": vocabulary, "widest": np.array([widest]), "follow_p": quantise(follow_p), "word_rest": quantise(word_rest), "pair_p": quantise(pair_p), "pair_rest": quantise(pair_rest)}
         for name, values in levels.items():
             coded = EliasFano.encode(values)
-            parts |= {name + ".head": np.array([coded.n, coded.width, coded.tops])} | {f"{name}.{x}": getattr(coded, x) for x in ("low", "high", "zeros", "ones")}
+            parts |= {name + ".head": np.array([coded.n, coded.width, coded.tops])} | {f"{name}.{x}": getattr(coded, x) for x in ("low", "high", "rank")}
         return cls(parts)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
@@ -234,32 +231,46 @@ class Trie:
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
     def lookup(self, b: np.ndarray, w: np.ndarray, a: np.ndarray, pairs_only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(A, B): P(a | b w) = A + B * P(a), for words by their number; where pairs_only, P(a | b w) = A + B * P(a | w)."""
+        """(A, B): P(a | b w) = A + B * P(a), for words by their number; where pairs_only, P(a | b w) = A + B * P(a | w).
+
+        What follows the same word, or the same pair, is looked up once for
+        each run of it.
+        """
         given, rest = np.zeros(len(w)), np.ones(len(w))
+        if not len(w):
+            return given, rest
         w, b, a = (x.astype(np.int64) for x in (w, b, a))
-        head = self.words.find(np.maximum(w, 0).astype(np.uint64))
-        head[w < 0] = -1
+        new = np.append(True, w[1:] != w[:-1])
+        run = np.cumsum(new) - 1
+        heads = self.words.find(np.maximum(w[new], 0).astype(np.uint64))
+        heads[w[new] < 0] = -1
+        begins = np.zeros(len(heads), np.int64)
+        later = heads > 0
+        begins[later] = self.follow_end.access(heads[later] - 1).astype(np.int64)
+        head = heads[run]
         seen = np.flatnonzero(head >= 0)
-        h = head[seen]
-        follow = self.follow.find(h.astype(np.uint64) * self.universe + np.maximum(a[seen], 0).astype(np.uint64))
-        follow[a[seen] < 0] = -1
+        h, after, before = head[seen], a[seen], b[seen]
+        follow = self.follow.find(h.astype(np.uint64) * self.universe + np.maximum(after, 0).astype(np.uint64))
+        follow[after < 0] = -1
         rest[seen] = restore(self.word_rest[h])
         hit = follow >= 0
         given[seen[hit]] = restore(self.follow_p[follow[hit]])
         if pairs_only is not None:
             given[pairs_only], rest[pairs_only] = 0.0, 1.0
-        pair = self.before.find(h.astype(np.uint64) * self.universe + np.maximum(b[seen], 0).astype(np.uint64))
-        pair[b[seen] < 0] = -1
+        if not len(seen):
+            return given, rest
+        key = h.astype(np.uint64) * self.universe + np.maximum(before, 0).astype(np.uint64)
+        new = np.append(True, (key[1:] != key[:-1]) | (before[1:] != before[:-1]))
+        pair = self.before.find(key[new])
+        pair[before[new] < 0] = -1
+        pair = pair[np.cumsum(new) - 1]
         in_pair = np.flatnonzero(pair >= 0)
         at, k = seen[in_pair], pair[in_pair]
         share = restore(self.pair_rest[k])
         given[at] *= share
         rest[at] *= share
         both = np.flatnonzero(follow[in_pair] >= 0)
-        begin = np.zeros(len(both), np.int64)
-        later = h[in_pair[both]] > 0
-        begin[later] = self.follow_end.access(h[in_pair[both]][later] - 1).astype(np.int64)
-        place = follow[in_pair[both]] - begin
+        place = follow[in_pair[both]] - begins[run[at[both]]]
         third = self.pair.find(k[both].astype(np.uint64) * np.uint64(int(self.parts["widest"][0])) + place.astype(np.uint64))
         good = third >= 0
         given[at[both[good]]] += restore(self.pair_p[third[good]])

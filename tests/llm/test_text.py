@@ -313,7 +313,7 @@ def test_elias_fano_of_any_density(n, below):
     assert coded.successor(asked).tolist() == np.searchsorted(values, asked).tolist()
     assert [i >= 0 for i in coded.find(asked)] == np.isin(asked, values).tolist()
     if n == 20_000:
-        assert sum(x.nbytes for x in (coded.low, coded.high, coded.zeros, coded.ones)) <= 2 * n  # 16 bits a value, the directory included
+        assert sum(x.nbytes for x in (coded.low, coded.high, coded.rank)) <= 2 * n  # 16 bits a value, the directory included
 
 
 def test_language_model_does_not_depend_on_sizes(spark):
