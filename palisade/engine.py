@@ -157,7 +157,7 @@ class AccessEngine:
 
     def save(self, path: str) -> None:
         """Schema, compiled policies and roles as tables below path."""
-        rows = [(t, i, c, self.schema.shown(t), self.schema.shown(c)) for t, cs in self.schema.tables.items() for i, c in enumerate(cs)]
+        rows = [(t, i, c, self.schema.title(t), self.schema.shown(c)) for t, cs in self.schema.tables.items() for i, c in enumerate(cs)]
         self.spark.createDataFrame(rows, "table_key string, ordinal int, column_key string, table_name string, column_name string").write.mode("overwrite").parquet(f"{path}/schema")
         self.policies.write.mode("overwrite").parquet(f"{path}/policies")
         self.spark.createDataFrame([(r,) for r in self.roles], "role string").write.mode("overwrite").parquet(f"{path}/roles")

@@ -46,17 +46,21 @@ class Schema:
     """Tables and their columns, by lower-case name, in order; small, as it describes tables and holds none."""
 
     tables: dict[str, list[str]]
-    names: dict[str, str] = field(default_factory=dict)  # lower case to the name as given
+    names: dict[str, str] = field(default_factory=dict)  # of columns, lower case to the name as given
+    titles: dict[str, str] = field(default_factory=dict)  # the same of tables
     databases: frozenset[str] = frozenset()  # qualifiers that tables may carry
 
     @staticmethod
     def of(tables: dict[str, list[str]]) -> "Schema":
-        names = {norm(t): t for t in tables} | {norm(c): c for cs in tables.values() for c in cs}
-        return Schema({norm(t): [norm(c) for c in cs] for t, cs in tables.items()}, names)
+        names = {norm(c): c for cs in tables.values() for c in cs}
+        return Schema({norm(t): [norm(c) for c in cs] for t, cs in tables.items()}, names, {norm(t): t for t in tables})
 
     def shown(self, name: str) -> str:
         return self.names.get(name, name)
 
+    def title(self, name: str) -> str:
+        return self.titles.get(name, name)
+
 
 class Resolver:
     """Expands stars, numbers nodes by path, and tells for every table and column node what it stands for."""
@@ -135,7 +139,7 @@ class Resolver:
             part.children = [part.children[0], pairs[0] if len(pairs) == 1 else Node("And", "", pairs)]
 
     def qualified(self, column: str, source: Source) -> Node:
-        return Node("Column", self.schema.shown(column), [], {"table": self.schema.shown(source.alias)})
+        return Node("Column", self.schema.shown(column), [], {"table": self.schema.title(source.alias)})
 
     def query(self, n: Node, ctes: dict, outer: list[list[Source]]) -> dict[str, list]:
         """Lineage of the outputs by name."""
@@ -198,7 +202,7 @@ class Resolver:
                 if c in s.merged and not x.extra.get("table"):
                     out.append(Node("Alias", self.schema.shown(c), [Node("Column", self.schema.shown(c), [], {"table": ""})]))
                 else:
-                    out.append(Node("Column", self.schema.shown(c), [], {"table": self.schema.shown(s.alias) if many or s.table else "", "star": True}))
+                    out.append(Node("Column", self.schema.shown(c), [], {"table": self.schema.title(s.alias) if many or s.table else "", "star": True}))
         return out
 
     def expression(self, n: Node, sources: list[Source], outer: list[list[Source]], ctes: dict, aliases: dict | None = None) -> None:
@@ -222,7 +226,7 @@ class Resolver:
                         n.children = [self.qualified(name, x) for x in s.merged[name]]
                         return  # the walk goes on with the two
                     if not table and shared:
-                        n.extra["table"] = self.schema.shown(s.alias)
+                        n.extra["table"] = self.schema.title(s.alias)
                     n.extra |= {"refs": s.outputs[name], "owner": s}
                     return
         if not table and name in aliases:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.plans import context, control_queries, data_queries, score_queries
+from palisade.plans import context, control_queries, data_queries, finance, score_queries
 from palisade.plans.workload import DECISIONS, WORKLOAD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,13 @@ def _run(role: str, sql: str) -> Query:
 def queries() -> dict[str, Query]:
     own: dict[str, Query] = {"flagship": flagship}
     own |= {f"run_{name}": _run(role, sql) for name, (role, sql, _) in WORKLOAD.items()}
-    return own | control_queries.QUERIES | data_queries.QUERIES | score_queries.QUERIES
+    return own | control_queries.QUERIES | finance.QUERIES | data_queries.QUERIES | score_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     own = {"flagship": "SELECT c_acctbal, COUNT(o_orderkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_name, c_acctbal"}
     own |= {f"run_{name}": want for name, (_, _, want) in WORKLOAD.items()}
-    return own | control_queries.ORACLES | data_queries.ORACLES | score_queries.ORACLES
+    return own | control_queries.ORACLES | finance.ORACLES | data_queries.ORACLES | score_queries.ORACLES
 
 
 __all__ = ["DECISIONS", "flagship", "oracle_sql", "queries"]

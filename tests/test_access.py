@@ -7,34 +7,10 @@ import pytest
 from palisade.functions.sql_text import parse, render, try_parse
 from palisade.operators import enforce, evaluate, policy, retrieve, rewrite, rules
 from palisade.operators.facts import Schema, analyse
-from palisade.plans import context, registry
+from palisade.plans import context, finance, registry
 from palisade.plans.workload import DECISIONS, WORKLOAD
 
 SF = "/root/testdata/sf0.001"
-FINANCE = {
-    "Order": "order_id account_id bank_to account_to amount k_symbol", "Transaction": "trans_id account_id date type operation balance bank account amount k_symbol", "Account": "account_id district_id frequency date",
-    "Loan": "loan_id account_id duration payments status date amount", "Disposition": "disp_id client_id account_id type", "Client": "client_id district_id account_id gender birth_date", "Card": "card_id disp_id type issued", "District": "district_id name",
-}
-
-
-def finance_policies():
-    role, out = ["Manager"], []
-    for t in ("Disposition", "District"):
-        out.append({"id": "p001", "effect": "deny", "action": "read", "scope": "process", "level": "table", "roles": role, "table": t})
-    for scope, pid, missing in (("insert", "p002", "District"), ("update", "p003", "Card"), ("delete", "p004", "Client")):
-        out += [{"id": pid, "effect": "deny", "action": "modify", "scope": scope, "level": "table", "roles": role, "table": t} for t in FINANCE if t != missing]
-    for pid, scope, names in (
-        ("p005", "process", "order_id Order.account_to Order.k_symbol trans_id loan_id disp_id client_id card_id Transaction.k_symbol"),
-        ("p006", "view", "account_id Order.amount Transaction.date Transaction.type district_id Transaction.amount Account.date Loan.date Loan.amount"),
-    ):
-        for n in names.split():
-            table, _, column = n.rpartition(".")
-            out.append({"id": pid, "effect": "deny", "action": "read", "scope": scope, "level": "column", "roles": role, "table": table or None, "column": column})
-    out.append({"id": "p007", "effect": "conditional", "action": "read", "scope": "view", "level": "row", "roles": role, "table": "Client", "condition": "gender = 'male'"})
-    out.append({"id": "p008", "effect": "deny", "action": "read", "scope": "view", "level": "table", "roles": role, "table": "Order"})
-    return out
-
-
 CASES = [  # query, permitted query (None: denied), rules
     ('INSERT INTO "Order" (order_id, account_id) VALUES (1, 1)', None, {"rtm"}),
     ("UPDATE Card SET disp_id = 5 WHERE card_id = 10", "UPDATE Card SET disp_id = 5 WHERE card_id = 10", set()),
@@ -55,8 +31,8 @@ CASES = [  # query, permitted query (None: denied), rules
 
 
 def test_finance_cases(spark):
-    access = policy.access_frame(spark, finance_policies(), {"table": {}, "column": {}}, ["Manager"])
-    schema = Schema.of({t: c.split() for t, c in FINANCE.items()})
+    access = policy.access_frame(spark, finance.finance_policies(), {"table": {}, "column": {}}, ["Manager"])
+    schema = Schema.of({t: c.split() for t, c in finance.FINANCE.items()})
     queries = spark.createDataFrame([(str(i), "Manager", c[0]) for i, c in enumerate(CASES)], "query_id string, role string, sql string")
     found = {r["query_id"]: r for r in rewrite.refine_queries(queries, policy.compile_policies(access), schema, None, strict=False).collect()}
     for i, (sql, want, names) in enumerate(CASES):
@@ -93,7 +69,7 @@ def cells(frame):
     return sorted(tuple(map(show, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["flagship", "run_where", "run_cte", "run_self_join", "run_broken_on", "run_left_join", "run_right_join", "run_full_join", "run_using", "run_natural_star", "run_full_using", "run_window_frame", "run_grouping_sets", "enf_closed", "src_columns", "rule_status", "refine_decisions", "refine_idempotent", "pol_denied_sets", "pol_allowed", "pol_compile", "enf_check", "enf_secured_part_public", "gen_role_copies", "gen_where", "ret_bm25", "ev_mode_summary", "ev_predictions", "ev_corpus_profile"])
+@pytest.mark.parametrize("name", ["flagship", "run_where", "run_cte", "run_self_join", "run_broken_on", "run_left_join", "run_right_join", "run_full_join", "run_using", "run_natural_star", "run_full_using", "run_window_frame", "run_grouping_sets", "enf_closed", "src_columns", "rule_status", "refine_decisions", "refine_idempotent", "refine_finance", "refine_finance_agrees", "pol_denied_sets", "pol_allowed", "pol_compile", "enf_check", "enf_secured_part_public", "gen_role_copies", "gen_where", "ret_bm25", "ev_mode_summary", "ev_predictions", "ev_corpus_profile"])
 def test_query_against_sql(spark, oracle, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), oracle.execute(registry.oracle_sql()[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
@@ -180,3 +156,66 @@ def test_retrieval_over_tables_against_sql(spark, oracle, name):
         oracle.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     got, want = registry.queries()[name](spark, SF).toPandas(), oracle.execute(registry.oracle_sql()[name]).fetchdf()
     assert len(got) and sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from palisade.__main__ import main
+
+    access = {"db_id": "d", "roles": ["staff"], "classification": {"table": {}, "column": {"S3": ["b"]}}, "policies": [{"id": "p", "effect": "deny", "action": "read", "scope": "view", "level": "column", "categories": ["S3"], "roles": ["staff"]}]}
+    schema = {"db_id": "d", "table_names": ["t"], "column_names": [["-1", "*"], ["0", "a"], ["0", "b"]], "column_types": ["TEXT"] * 3, "primary_keys": [], "foreign_keys": []}
+    for name, document in (("schema", schema), ("access", access)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(document))
+    common = ["--schema", str(tmp_path / "schema.json"), "--access", str(tmp_path / "access.json"), "--role", "Staff", "--sql", "SELECT a, b FROM t"]
+    assert main(["refine", *common]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["refined_query"] == "SELECT a FROM t"
+    assert main(["check", *common]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["decision"] == "deny"
+    samples = [{"sample_id": f"s{i}", "question_id": f"q{i}", "mode": "base_none", "question_type": "view_only", "usable": True, "expected": "SELECT a FROM t", "base": "SELECT a FROM t", "allowed_view": ["t.a"], "allowed_process": ["t.a"], "role": "staff"} for i in range(3)]
+    (tmp_path / "samples.json").write_text(json.dumps(samples))
+    (tmp_path / "predictions.json").write_text(json.dumps({"s0": "SELECT a FROM t", "s1": "SELECT b FROM t", "s2": "sorry"}))
+    out = str(tmp_path / "run")
+    assert main(["evaluate", "--samples", str(tmp_path / "samples.json"), "--predictions", str(tmp_path / "predictions.json"), "--out", out]) == 0
+    row = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert row["mode"] == "base_none" and row["samples"] == 3 and row["answer_agreement"] == pytest.approx(0.333333)
+    assert main(["evaluate", "--samples", str(tmp_path / "samples.json"), "--use-expected", "--out", out, "--run-id", "two", "--resume"]) == 0
+    assert main(["summarize", "--run", out, "--by-type"]) == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["samples"] == 3
+
+
+def test_views_of_engines_stay_apart(spark):
+    """Two engines and the session's own view of a table's name do not disturb each other."""
+    spark.createDataFrame([(1,)], "mine int").createOrReplaceTempView("nation")
+    one, two = (context.AccessEngine(spark).load_frames({"nation": context.frames(spark, SF)["nation"].limit(n)}, context.access(spark)) for n in (2, 3))
+    a, b = (e.execute_query("SELECT COUNT(*) AS n FROM nation", "admin", how) for e, how in ((one, "view"), (two, "realign")))
+    assert (a.first()[0], b.first()[0], spark.table("nation").columns) == (2, 3, ["mine"])
+    one.close()
+    two.close()
+    assert spark.table("nation").columns == ["mine"]
+    spark.catalog.dropTempView("nation")
+
+
+def test_realigned_as_over_views(spark):
+    """Where a role may use all that a query names, rewriting and secured views give the same rows."""
+    e, compared = context.engine(spark, SF), 0
+    for name, (role, sql, _) in WORKLOAD.items():
+        if role == "admin" or "LIMIT" in sql:
+            continue
+        found = e.answer(sql, role, "view")
+        refined = e.refine_query(sql, role)
+        if found["status"] == "allow" and not {"rcp", "rcv", "rtr", "rtv"} & set(refined["rules"]):
+            rows = [sorted(map(str, df.collect())) for df in (found["result"], e.execute_query(sql, role))]
+            assert rows[0] == rows[1], name
+            compared += 1
+    assert compared >= 10
+
+
+def test_large_join_without_a_condition_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(enforce, "CROSS_BYTES", 10)
+    e = context.engine(spark, SF)
+    with pytest.raises(PermissionError):
+        enforce.no_explosion(spark.range(10**6).crossJoin(spark.range(10**6).withColumnRenamed("id", "k")), 1000)
+    assert e.answer("SELECT COUNT(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey", "public")["status"] == "allow"
+
+
+def test_time_limit(spark):
+    e = context.engine(spark, SF)
+    assert e.runs("SELECT n_name FROM nation") and not e.runs("SELECT COUNT(*) FROM lineitem AS a, lineitem AS b, lineitem AS c WHERE a.l_tax * b.l_tax * c.l_tax < 0", 1.0)
