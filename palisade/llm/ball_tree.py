@@ -23,9 +23,15 @@ def build(ids: np.ndarray, points: np.ndarray) -> bytes:
     return vectors.pack(nodes=nodes, centre=centre, radius=radius, points=points[order], begin=np.concatenate([[0], ends]), ids=ids[at])
 
 
+#: Sums of whole numbers up to which doubles are exact, and 64-bit integers.
+EXACT, LONGEST = float(1 << 53), float(1 << 63)
+
+
 class _Look:
-    def __init__(self, k: int, whole: bool):
-        self.k, self.whole = k, whole
+    """whole: scores are integers; large: their sums may be beyond what doubles hold."""
+
+    def __init__(self, k: int, whole: bool, large: bool = False):
+        self.k, self.whole, self.large = k, whole, large
 
     def load(self, arrays: dict) -> dict:
         return arrays | {"tree": vectors.Tree(arrays["nodes"])}
@@ -38,7 +44,7 @@ class _Look:
         bound += 1e-9 * (np.abs(bound) + norm)
         for slices, left in index["tree"].walk((-bound).tolist()):
             rows = np.concatenate([np.arange(a, b) for a, b in slices]) if len(slices) > 1 else np.arange(*slices[0])
-            score = points[rows] @ vector
+            score = points[rows].astype(np.int64) @ vector.astype(np.int64) if self.large else points[rows] @ vector
             good = score >= best.floor[q]
             if good.any():
                 chosen, score = rows[good], score[good]
@@ -51,11 +57,11 @@ class _Look:
                 return
 
 
-def exact_top_k(df: DataFrame, k: int = 20, every: int | None = 20, scale: float | None = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+def exact_top_k(df: DataFrame, k: int = 20, every: int | None = 20, scale: float | None = 64.0, id_col: str = "vec_id", vec_col: str = "embedding", queries: DataFrame | None = None, shard_rows: int | None = None, block_queries: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest inner products over all other rows.
 
-    With scale, components become floor(scale * x) and scores are integers;
-    sums stay exact below 2^53.  Queries are the rows whose id is divisible by
+    With scale, components become floor(scale * x) and scores are integers,
+    exact as far as 64 bits reach (ValueError where they might not).  Queries are the rows whose id is divisible by
     `every`, or a table of the same columns.  Null vectors, vectors that hold
     null or non-finite components, null ids and odd lengths take no part; zero
     vectors do.  Ties go to the smaller id.  An empty table, or a single row,
@@ -66,8 +72,14 @@ def exact_top_k(df: DataFrame, k: int = 20, every: int | None = 20, scale: float
     to_grid = lambda f: f.withColumn("vec", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("double"))) if scale else f
     asked = vectors.usable(queries, id_col, vec_col)[0].filter(F.size("vec") == dim) if queries is not None else rows.filter(F.col("id") % every == 0)
     asked = asked.dropDuplicates(["id"])
-    kind = "long" if scale else "double"
-    return vectors.search(to_grid(rows), n, dim, to_grid(asked), asked.count(), k, build, _Look(k, bool(scale)), kind)
+    kind, large = "long" if scale else "double", False
+    if scale:
+        norm = lambda f: to_grid(f).agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
+        sums = (norm(rows) * norm(asked)) ** 0.5  # no inner product is larger
+        if sums >= LONGEST / 2:
+            raise ValueError("scores may be beyond 64 bits")
+        large = sums >= EXACT / 2
+    return vectors.search(to_grid(rows), n, dim, to_grid(asked), asked.count(), k, build, _Look(k, bool(scale), large), kind, shard_rows, block_queries)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

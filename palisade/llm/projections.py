@@ -96,7 +96,7 @@ class _Look:
                 return
 
 
-def nearest(df: DataFrame, k: int = 20, every: int | None = 20, confidence: float = CONFIDENCE, id_col: str = "vec_id", vec_col: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+def nearest(df: DataFrame, k: int = 20, every: int | None = 20, confidence: float = CONFIDENCE, id_col: str = "vec_id", vec_col: str = "embedding", queries: DataFrame | None = None, shard_rows: int | None = None, block_queries: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: about the k largest inner products of each query over all other rows.
 
     Scores are those of the original vectors in double precision; every row is
@@ -112,7 +112,7 @@ def nearest(df: DataFrame, k: int = 20, every: int | None = 20, confidence: floa
     length2 *= 1 + 1e-12
     asked = vectors.usable(queries, id_col, vec_col, nonzero)[0].filter(F.size("vec") == dim) if queries is not None else rows.filter(F.col("id") % every == 0)
     asked = asked.dropDuplicates(["id"])
-    return vectors.search(rows, n, dim, asked, asked.count(), k, _Build(length2), _Look(k, length2, confidence), "double")
+    return vectors.search(rows, n, dim, asked, asked.count(), k, _Build(length2), _Look(k, length2, confidence), "double", shard_rows, block_queries)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

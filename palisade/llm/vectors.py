@@ -1,6 +1,6 @@
 """Sharded nearest-vector search: what the projection index and the ball tree have in common.
 
-Rows are dealt to shards of bounded size by a hash of their id; each shard gets
+Rows are dealt to shards of bounded size by a hash of id and vector; each shard gets
 one tree, stored as a blob.  Queries come in blocks of bounded size, which are
 broadcast one after the other; every task searches its shards for a block and
 hands on one short list per query.  A first round visits only the most
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.shared import forget, materialize
+from palisade.llm.shared import materialize, small_batches, tidy
 
 #: Rows of a shard, on average.
 SHARD_ROWS = 16_384
@@ -142,22 +142,23 @@ def expand(chosen: np.ndarray, score: np.ndarray, begin: np.ndarray, ids: np.nda
     return score[other], got[other]
 
 
-def search(rows: DataFrame, n: int, dim: int, queries: DataFrame, n_queries: int, k: int, build, look, score_type: str) -> DataFrame:
+def search(rows: DataFrame, n: int, dim: int, queries: DataFrame, n_queries: int, k: int, build, look, score_type: str, shard_rows: int | None = None, block_queries: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score.
 
     build(ids, points) -> blob; look(index, q, vector, id, best, seed): search
     one unpacked shard for one query, only its best leaf if seed.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     dtype = np.int64 if score_type == "long" else np.float64
-    shards = max(1, -(-n // SHARD_ROWS))
+    shards = max(1, -(-n // (shard_rows or SHARD_ROWS)))
 
     def built(key, group):
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([build(group["id"].to_numpy(), matrix(group["vec"], dim))], pa.binary())})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int"))
     index = materialize(dealt.groupBy("shard").applyInArrow(built, "shard int, blob binary"), "vector-shards")
-    blocks = max(1, -(-n_queries // BLOCK_QUERIES))
+    blocks = max(1, -(-n_queries // (block_queries or BLOCK_QUERIES)))
     lists = f"query_id long, found array<struct<less:{'long' if score_type == 'long' else 'double'},vec_id:long>>"
     kind = pa.list_(pa.struct([("less", pa.int64() if score_type == "long" else pa.float64()), ("vec_id", pa.int64())]))
 
@@ -181,7 +182,7 @@ def search(rows: DataFrame, n: int, dim: int, queries: DataFrame, n_queries: int
                 offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
                 yield pa.record_batch([pa.array(ids[full]), pa.ListArray.from_arrays(offsets, flat).cast(kind)], ["query_id", "found"])
 
-        parts = index.select("blob").mapInArrow(run, lists)
+        parts = index.select("blob").mapInArrow(tidy(run), lists)
         return parts.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
     out = []

@@ -88,6 +88,28 @@ def test_nearest_recall_over_many_shards(spark, monkeypatch):
     assert hits >= 0.9 * sum(map(len, wanted.values()))
 
 
+def test_exact_top_k_over_shards_and_blocks(spark):
+    """Several shards and query blocks, columns whose names clash, a repeated id; integers beyond what doubles hold."""
+    from pyspark.sql import functions as F
+
+    rows = odd_vectors() + [(60, [3.0, -1.0, 0.5, 2.0])]
+    df = vectors(spark, rows).select("*", *[F.lit(0).alias(c) for c in ("id", "vec", "score", "rank", "shard", "block", "query_id", "blob")])
+    wanted = brute_top(rows, 20, scaled, lambda v: True)
+    wanted.pop(60)  # two rows of one id: which of them asks is not said
+    got = by_query(ball_tree.exact_top_k(df, shard_rows=9, block_queries=2).collect())
+    got.pop(60)
+    assert got == wanted
+    many = by_query(projections.nearest(df, shard_rows=9, block_queries=2).collect())
+    assert set(many) == {q for q in [*wanted, 60] if q != 220} and all(len(x) == 20 for x in many.values())
+    pick = random.Random(9)
+    big = [(i, [float(pick.randrange(1 << 28) * 2 + 1) for _ in range(4)]) for i in range(60)]
+    frame = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    exact = {q: sorted((-sum(int(a) * int(b) for a, b in zip(x, y)), i) for i, y in big if i != q)[:20] for q, x in big if q % 20 == 0}
+    assert by_query(ball_tree.exact_top_k(frame, scale=1.0, shard_rows=20).collect()) == exact
+    with pytest.raises(ValueError):
+        ball_tree.exact_top_k(frame, scale=float(1 << 20))
+
+
 @pytest.mark.parametrize("search", [ball_tree.exact_top_k, projections.nearest])
 def test_few_vectors(spark, search):
     assert search(vectors(spark, [])).count() == 0
