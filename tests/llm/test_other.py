@@ -1,5 +1,6 @@
 """Vectors, mixing, chat formatting, SQL and the pipeline against brute force."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from palisade.llm import ball_tree, chat_template, mixing, projections, registry
+from palisade.llm import ball_tree, chat_template, mixing, projections, registry, toxicity
 from palisade.llm import vectors as vectors_module
 
 from .conftest import TRICKY
@@ -242,21 +243,62 @@ def test_query_against_sql(spark, name):
 # --- pipeline
 
 
+def brute_mix(rows, weights=(5.0, 2.0, 1.0), ramps=(-0.5, 0.0, 0.5)):
+    """How often each (id, text, source) is taken whole, and the ids in training order."""
+    size = [len(words_of(t)) for _, t, _ in rows]
+    order = sorted({s for *_, s in rows if s is not None}) + ([None] if any(s is None for *_, s in rows) else [])
+    total = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in order}
+    weight, target, free = {s: weights[i % 3] for i, s in enumerate(order)}, {}, set(order)
+    while True:
+        level = (1.5 * sum(total.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        above = {s for s in free if level * weight[s] >= 2 * total[s]}
+        if not above:
+            break
+        target |= {s: 2.0 * total[s] for s in above}
+        free -= above
+    target |= {s: level * weight[s] for s in free}
+    taken, placed = Counter(), []
+    for i, s in enumerate(order):
+        ramp, passes = ramps[i % 3], int(target[s] // total[s]) if total[s] else 0
+        run = 0
+        for key, n, r in sorted((hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), n, r) for n, r in zip(size, rows) if r[2] == s):
+            extra = math.floor(target[s] - passes * total[s] + 0.5) - run
+            times = (passes + (2 * extra >= n)) if n else 0
+            taken[r] += times
+            for k in range(times):
+                share = min(1.0, (k * total[s] + run) / target[s])
+                placed.append((share if not ramp else (math.sqrt(max(0, (1 - ramp) ** 2 + 4 * ramp * share)) - (1 - ramp)) / (2 * ramp), key, r[0]))
+            run += n
+    return +taken, placed
+
+
 def test_pipeline_stage_by_stage(spark):
     docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         before = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        sources = [(r.doc_id, r.text, r.source) for r in docs.collect()]
         after = stage(spark, docs, SF)
         after = spark.createDataFrame(after.collect(), after.schema)
         rows = after.collect()
         if name == "toxicity":
-            assert {(r.doc_id, r.text) for r in rows} <= set(before) and len(rows) >= 0.8 * len(before)
+            detector = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), held_out=None)
+            good = [p == 0 for p in (detector.scores([t or "" for _, t in before]) >= 0.3).astype(int)]
+            assert Counter((r.doc_id, r.text) for r in rows) == Counter(x for x, g in zip(before, good) if g) and len(rows) >= 0.8 * len(before)
         elif name == "line dedup":
             assert Counter((r.doc_id, r.text or "") for r in rows) == Counter({(k[0], k[3]): n for k, n in brute_lines(before, 10).items()})
         elif name == "near duplicates":
             assert {r.doc_id for r in rows} == {x[0] for x in brute_near(before, 5, 80) if x[3]}
         elif name == "mixing":
-            assert set((r.doc_id, r.text) for r in rows) <= set(before) and max(Counter(r.doc_id for r in rows).values()) <= 2
+            taken, placed = brute_mix(sources)
+            assert Counter((r.doc_id, r.text, r.source) for r in rows) == taken
+            position = {}
+            for at, _, i in placed:
+                position.setdefault(i, []).append(at)
+            seen, order = Counter(), []
+            for r in rows:
+                order.append(sorted(position[r.doc_id])[seen[r.doc_id]])
+                seen[r.doc_id] += 1
+            assert all(a <= b + 1e-12 for a, b in zip(order, order[1:]))
         else:
             assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in before) and all(r.n_tokens == len(r.ids) for r in rows)
         if name != "byte-level BPE":
