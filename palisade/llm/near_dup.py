@@ -389,10 +389,10 @@ def connecting(first: list[bytes], label: np.ndarray, second: list[bytes], other
 
 
 def _parted(level: DataFrame, own: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Members of small and of large nodes of a level (path, c), with what own says of each c; nodes of one member are gone."""
+    """Members (path, c) of small nodes of a level, with what own says of each c, and of large nodes; nodes of one member are gone."""
     sizes = level.groupBy("path").agg(F.count("*").alias("members")).filter("members > 1")
-    live = materialize(level.join(sizes, "path").join(own, "c"), "dup-live")
-    return live.filter(F.col("members") <= small), live.filter(F.col("members") > small)
+    live = materialize(level.join(sizes, "path"), "dup-live")
+    return live.filter(F.col("members") <= small).join(own, "c"), live.filter(F.col("members") > small).select("path", "c")
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -513,9 +513,9 @@ def _grouped(rows: DataFrame, words: int, percent: int, small: int, block: int)
         if not more.take(1):
             break
         if depth < DEPTH:
-            level = materialize(_children(more.select("path", "c").join(classes.select("c", "sig"), "c"), similarity), "dup-nodes")
+            level = materialize(_children(more.join(classes.select("c", "sig"), "c"), similarity), "dup-nodes")
         else:
-            dense = more.select("path", "c")
+            dense = more
     all_pairs = pairs[0]
     for more_pairs in pairs[1:]:
         all_pairs = all_pairs.unionByName(more_pairs)
