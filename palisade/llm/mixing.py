@@ -106,14 +106,15 @@ def assign(docs: DataFrame, plan: Plan = Plan(), whole: bool = False, id_col: st
     that of the first words taken, null for a document not taken.
 
     Null texts have size 0; a null source is a source; rows with equal or null
-    ids are separate documents with a place each; an empty table gives an empty
-    one.  Prefix sums go through hash buckets of each source, so that no task
-    needs a whole source.
+    ids are separate documents with a place each, those of one id by size and
+    hash of the text; an empty table gives an empty one.  Prefix sums go through
+    hash buckets of each source, and of an id of very many rows, so that no
+    task needs a whole source.
     """
     kept = [(f"_keep{i}", c) for i, c in enumerate(keep) if c != text_col]
-    columns = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _key(id_col).alias("key"), *[F.col(c).alias(k) for k, c in kept]]
+    columns = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), _key(id_col).alias("key"), F.xxhash64(text_col).alias("tie"), *[F.col(c).alias(k) for k, c in kept]]
     sized = materialize(docs.select(*columns), "mix-sizes")
-    placed = _taken(sized, sized, plan, whole, bucket_rows, ["key", "size"])
+    placed = _taken(sized, sized, plan, whole, bucket_rows, ["key", "size", "tie"])
     position = F.when(F.col("taken") > 0, inverse_demand(F.least(F.lit(1.0), F.col("run_before") / F.col("target")), F.col("ramp")))
     return placed.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", position.alias("position"), "passes", "run_before", "ramp", "key", *[F.col(k).alias(c) for k, c in kept])
 
@@ -122,14 +123,41 @@ def _key(id_col: str) -> Column:
     return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows of one id, in buckets, from which they are dealt to further ones.
+CROWD = 8
+
+
+def _crowded(sized: DataFrame, bucket: Column, buckets: DataFrame, bucket_rows: int) -> dict[str, int]:
+    """Keys that CROWD buckets' rows and more have in common, and into how many parts each goes: at most one for every CROWD * bucket_rows rows.
+
+    Only buckets that hold as many are looked into.
+    """
+    most = CROWD * bucket_rows
+    full = buckets.filter(F.col("n") >= most).select("bucket").distinct()
+    if not full.take(1):
+        return {}
+    keys = sized.select("key", bucket).join(full, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
+    return {r["key"]: -(-r["n"] // bucket_rows) for r in keys.orderBy(F.desc("n"), "key").limit(MOST_CROWDS).collect()}
+
+
+#: Ids that are dealt to further buckets, at most; others of CROWD buckets' rows keep one.
+MOST_CROWDS = 200
+
+
 def _taken(rows: DataFrame, sized: DataFrame, plan: Plan, whole: bool, bucket_rows: int, order: list) -> DataFrame:
-    """rows (source, size, key, others) with source_size, target, ramp, run_before, passes and taken; sized: the same rows' source, size and key, cheaply read."""
+    """rows (source, size, key, tie, others) with source_size, target, ramp, run_before, passes and taken; sized: the same rows' source, size, key and tie, cheaply read."""
     n, digits = sized.count(), 0
     while 16**digits * bucket_rows < n:
         digits += 1
     bucket = F.substring("key", 1, digits).alias("bucket")
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("name")  # of a source, null too: one key for join and window
-    buckets = materialize(sized.select("source", "size", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-buckets")
+    summed = lambda b: materialize(sized.select("source", "size", b).groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"), F.count("*").alias("n")), "mix-buckets")
+    buckets = summed(bucket)
+    crowds = _crowded(sized, bucket, buckets, bucket_rows)
+    for k, parts in crowds.items():  # one id of very many rows: further buckets, by the rows' hash
+        own = F.concat(F.lit(k), F.lpad(F.hex(F.pmod("tie", F.lit(parts))), 8, "0"))
+        bucket = F.when(F.col("key") == k, own).otherwise(bucket).alias("bucket")
+    buckets = summed(bucket) if crowds else buckets
     per_source = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), plan)
     starts = _starts(buckets, digits).join(per_source.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")))
     placed = rows.select("*", bucket, name).join(starts.select(name, "bucket", "bucket_before", "source_size", "target", "ramp"), ["name", "bucket"])
@@ -160,8 +188,9 @@ def in_training_order(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_i
     place = dict(zip(docs.columns, names))
     source, size, key = F.col(place[source_col]).alias("source"), size_of(F.col(place[text_col])).alias("size"), _key(place[id_col]).alias("key")
     rows = docs.toDF(*names)
-    sized = materialize(rows.select(source, size, key), "mix-sizes")
-    whole = rows.select("*", source, size, key, F.xxhash64(*names).alias("tie"))  # texts are shuffled twice, to their place in the source and to that in training
+    tie = F.xxhash64(*names).alias("tie")
+    sized = materialize(rows.select(source, size, key, tie), "mix-sizes")
+    whole = rows.select("*", source, size, key, tie)  # texts are shuffled twice, to their place in the source and to that in training
     each = copies(_taken(whole, sized, plan, True, bucket_rows, ["key", "size", "tie"]))
     return each.orderBy("position", "key", "tie", "copy").select(*[F.col(n).alias(c) for c, n in place.items()])
 

@@ -168,6 +168,14 @@ def test_mixing_of_many_sources_and_null_ids(spark):
         taken[r.source] += r.taken
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
     assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+    crowded = [mixing.assign(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n), keep=("source",), bucket_rows=4).collect() for n in (2, 5)]  # ids of very many rows
+    again = [Counter((r.doc_id, r.size, r.source, r.taken) for r in x) for x in crowded]
+    for x in crowded:
+        taken = Counter()
+        for r in x:
+            taken[r.source] += r.taken
+        assert len(x) == len(rows) and all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert again[0] == again[1]
 
 
 def test_training_order(docs_of, tricky, empty):
