@@ -29,10 +29,18 @@ def text_cells(frames: dict[str, DataFrame], keys: dict[str, str] = {}, longest:
 
 
 def content_index(cells: DataFrame, longest: int = 40) -> DataFrame:
-    """doc_id (table-**-column-**-n), content: short texts that are not numbers."""
-    kept = cells.filter((F.length("value").between(1, longest)) & F.expr("try_cast(value AS double)").isNull())
-    n = F.row_number().over(W.partitionBy("table_name", "column_name").orderBy("value")) - 1
-    return kept.select(F.concat_ws("-**-", "table_name", "column_name", n.cast("string")).alias("doc_id"), F.col("value").alias("content"))
+    """doc_id (table-**-column-**-n), content: short texts that are not numbers, numbered in order within their column.
+
+    Values are numbered among those that begin alike, and what begins with less
+    is added: no task holds a whole column.
+    """
+    column, begin = ["table_name", "column_name"], F.substring("value", 1, 3).alias("begin")
+    kept = cells.filter((F.length("value").between(1, longest)) & F.expr("try_cast(value AS double)").isNull()).select(*column, "value", begin)
+    sizes = kept.groupBy(*column, "begin").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(*column).orderBy("begin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    n = F.row_number().over(W.partitionBy(*column, "begin").orderBy("value")) - 1 + F.col("before")
+    placed = kept.join(sizes.select(*column, "begin", before.alias("before")), [*column, "begin"])
+    return placed.select(F.concat_ws("-**-", *column, n.cast("string")).alias("doc_id"), F.col("value").alias("content"))
 
 
 def tokens(c: Column) -> Column:
