@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,6 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="palisade-"))
+        atexit.register(shutil.rmtree, _own_folder[0], True)
     return "file://" + _own_folder[0]
 
 
@@ -78,7 +80,7 @@ def _forget(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes of rows that cross to a Python worker at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
