@@ -230,6 +230,15 @@ def test_conversations_come_back(spark):
     assert chat_template.read_back(df.limit(0)).count() == 0 and chat_template.format_conversations(df.limit(0)).count() == 0
 
 
+def test_long_conversations_and_clashing_names(spark):
+    long = "x#<:\\" * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), *((2, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(5000))]
+    df = spark.createDataFrame(rows, "conv_id int, turn long, role string, text string").selectExpr("*", "0 AS n_turns", "0 AS loss_chars", "0 AS formatted", "0 AS start", "0 AS conv")
+    got = {r.conv_id: r for r in chat_template.read_back(df).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[2].n_turns) == (2, len(long), 5000)
+    assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+
+
 # --- SQL
 
 

@@ -316,6 +316,15 @@ def test_elias_fano_of_any_density(n, below):
         assert sum(x.nbytes for x in (coded.low, coded.high, coded.rank)) <= 2 * n  # 16 bits a value, the directory included
 
 
+def test_language_model_of_long_texts(docs_of):
+    """A text far longer than a chunk is scored whole, and counts as all others do."""
+    pick = random.Random(10)
+    rows = [(1, " ".join(pick.choices([f"w{i}" for i in range(300)], k=60_000)))] + [(2 + i, f"w{i} w{i + 1} once{i}") for i in range(20)]
+    got = {r.doc_id: r for r in lm.score(docs_of(rows), chunk_tokens=1000, shard_tokens=5000).collect()}
+    wanted = {w[0]: w for w in brute_base(rows)}
+    assert all((r.n_tokens, r.n_known) == wanted[i][2:4] and r.base_score == pytest.approx(wanted[i][5]) for i, r in got.items()) and len(got) == len(rows)
+
+
 def test_language_model_does_not_depend_on_sizes(spark):
     """Neither shards, nor chunks, nor partitions change a score."""
     df = documents(spark)
