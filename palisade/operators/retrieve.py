@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,6 +52,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def spaced_tokens(c: Column) -> Column:
+    """tokens() joined by blanks, without an array."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """term, doc_id, tf, length."""
     each = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
@@ -209,6 +219,67 @@ def ngrams(words: Column, most: int = 8) -> Column:
     return F.concat(*[one(n) for n in range(1, most + 1)])
 
 
+#: Bytes of texts whose n-grams are made together, and bytes of text whose n-grams are made at a time.
+TOGETHER, BLOCK = 1 << 16, 1 << 17
+
+
+def _digests(texts: list[bytes], most: int, block: int) -> list[tuple[int, str]]:
+    """Number and MD5 of the n-grams of each text, its words between single blanks.
+
+    The words of all texts lie in a row.  An n-gram is its first word after ;
+    and further words after blanks, so that a block of them is one stretch of
+    bytes; of it each text takes its part.
+    """
+    counts = [t.count(b" ") + 1 if t else 0 for t in texts]
+    first = np.cumsum([0, *counts])
+    blank = np.frombuffer(b"".join(b" " + t for t in texts if t), np.uint8)
+    places = np.flatnonzero(blank == ord(" "))
+    begin = blank.copy()
+    begin[places] = ord(";")
+    offsets = pa.py_buffer(np.append(places, len(blank)).astype(np.int64))
+    begin, blank = (pa.Array.from_buffers(pa.large_binary(), len(places), [None, offsets, pa.py_buffer(x)]) for x in (begin, blank))
+    hashes, n_grams = [hashlib.md5(usedforsecurity=False) for _ in texts], [0] * len(texts)
+    for n in range(1, min(most, max(counts, default=0)) + 1):
+        low, last = 0, len(places) - n + 1
+        while low < last:
+            high = min(max(low + 1, int(np.searchsorted(places, places[low] + block))), last)
+            size = high - low
+            grams = pc.binary_join_element_wise(begin.slice(low, size), *(blank.slice(low + i, size) for i in range(1, n)), pa.scalar(b"", pa.large_binary()))
+            ends, raw = np.frombuffer(grams.buffers()[1], np.int64)[grams.offset :], memoryview(grams.buffers()[2])
+            for d in range(int(np.searchsorted(first, low, "right")) - 1, int(np.searchsorted(first, high))):
+                a, b = max(int(first[d]), low), min(int(first[d + 1]) - n + 1, high)
+                if a < b:
+                    hashes[d].update(raw[ends[a - low] + (n_grams[d] == 0) : ends[b - low]])
+                    n_grams[d] += b - a
+            low = high
+    return [(n, h.hexdigest()) for n, h in zip(n_grams, hashes)]
+
+
+def _groups(texts: pa.Array, together: int) -> Iterator[list[bytes]]:
+    """The texts in groups of so many bytes at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+    low = 0
+    for high in [*(np.flatnonzero(np.diff(np.cumsum(sizes) // together)) + 1), len(texts)]:
+        if low < high:
+            yield [t or b"" for t in texts.slice(low, high - low).to_pylist()]
+        low = high
+
+
+def ngrams_md5(text: Column, most: int = 8, together: int = TOGETHER, block: int = BLOCK) -> Column:
+    """n_grams and grams_md5 of a text: size(g) and md5(array_join(g, ";")) of g = ngrams(tokens(text)); of a null as of an empty text.
+
+    The n-grams are many times the text.  They are never held at once, and no
+    lambda is asked about each.
+    """
+
+    @F.arrow_udf("n_grams int, grams_md5 string")
+    def digest(texts: pa.Array) -> pa.Array:
+        found = [x for group in _groups(texts.cast(pa.large_binary()), together) for x in _digests(group, most, block)]
+        return pa.StructArray.from_arrays([pa.array([n for n, _ in found], pa.int32()), pa.array([h for _, h in found], pa.string())], ["n_grams", "grams_md5"])
+
+    return digest(spaced_tokens(text))
+
+
 def substring_share(query: Column, target: Column) -> Column:
     """Length of the query's longest substring that the target holds, as a share of the query; case does not count."""
     q, t, n = F.lower(query), F.lower(target), F.length(query)

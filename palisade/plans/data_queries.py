@@ -130,9 +130,8 @@ _GRAMS = "list_concat(" * 7 + ", ".join(f"list_transform(range(1, len(t) - {n} +
 @query(f"""WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS t FROM documents), grams AS (SELECT doc_id, {_GRAMS} AS g FROM docs)
     SELECT doc_id, len(g)::INTEGER AS n_grams, md5(array_to_string(g, ';')) AS grams_md5 FROM grams""")
 def ret_document_ngrams(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", retrieve.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    docs = docs.select("doc_id", retrieve.ngrams(F.col("t")).alias("g"))  # from a column: words are split once, not for every n-gram
-    return docs.select("doc_id", F.size("g").alias("n_grams"), F.md5(F.array_join("g", ";").cast("binary")).alias("grams_md5"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", retrieve.ngrams_md5("text").alias("x")).select("doc_id", "x.n_grams", "x.grams_md5")
 
 
 _PAIRS = [("brass", "LARGE BRASS", 1.0), ("brasses", "BRASS", 0.714286), ("abc", "xyz", 0.0), ("tin cup", "a tin c", 0.714286), ("ab", "ba", 0.5)]

@@ -1,8 +1,11 @@
 """The access engine: finance cases with known answers, rules one by one, queries against their SQL, invariants."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.functions.sql_text import parse, render, try_parse
 from palisade.operators import enforce, evaluate, policy, retrieve, rewrite, rules
@@ -158,6 +161,22 @@ def test_retrieval_over_tables_against_sql(spark, oracle, name):
     assert len(got) and sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
 
 
+def test_ngrams_md5_as_ngrams(spark):
+    """Digests of n-grams that are never held at once are those of the whole list, for any blocks, also of a text whose list exceeds 2 GB."""
+    texts = [None, "", " ;-, ", "one", "Zwei  Wörter", "a b c d e f g h i; a b", "İzmir ß 北京 x²", "the cat " * 400, "0"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    g = docs.select("doc_id", retrieve.ngrams(retrieve.tokens(F.coalesce("text", F.lit("")))).alias("g"))
+    want = sorted(g.select("doc_id", F.size("g"), F.md5(F.array_join("g", ";").cast("binary"))).collect())
+    for sizes in ({}, {"block": 1}, {"together": 1, "block": 40}):
+        assert sorted(docs.select("doc_id", retrieve.ngrams_md5("text", **sizes).alias("x")).select("doc_id", "x.*").collect()) == want
+    words, whole = [str(i % 10) * 10_000 for i in range(6_100)], hashlib.md5()
+    for n in range(1, 9):
+        for i in range(len(words) - n + 1):
+            whole.update((";" if n > 1 or i else "").encode() + " ".join(words[i : i + n]).encode())
+    one = spark.range(1).select(F.concat_ws(", ", F.transform(F.sequence(F.lit(0), F.lit(len(words) - 1)), lambda i: F.repeat((i % 10).cast("string"), F.lit(10_000)))).alias("text"))
+    assert tuple(one.select(retrieve.ngrams_md5("text").alias("x")).select("x.*").first()) == (8 * len(words) - 28, whole.hexdigest())
+
+
 def test_command_line(spark, tmp_path, capsys):
     import json
 
