@@ -58,9 +58,16 @@ def spaced_tokens(c: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """term, doc_id, tf, length."""
-    each = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
-    return each.select("doc_id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+    """term, doc_id, tf, length: one row for each term of each row of docs.
+
+    Words are counted within their row, sorted, by where another word begins:
+    nothing is shuffled.  Rows of the same id are added up by bm25_of_index().
+    """
+    each = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(tokens(F.col(text_col))).alias("t")).filter(F.size("t") > 0)
+    begin = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    each = each.select("doc_id", "t", F.size("t").alias("length"), begin.alias("begin"))
+    counted = F.transform("begin", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("begin", k + 1), F.col("length")) - i).cast("long").alias("tf")))
+    return each.select("doc_id", "length", F.explode(counted).alias("x")).select("x.term", "doc_id", "length", "x.tf")
 
 
 #: Distinct terms of all queries up to which they are looked for in place; beyond, they meet the documents' terms in a join.
@@ -82,11 +89,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 0.9, b: f
     return ranked(index, each.agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean")), asked, k, k1, b)
 
 
-def bm25_of_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """The same over stored postings()."""
+def bm25_of_index(index: DataFrame, n_docs: int, queries: DataFrame, k: int = 10, k1: float = 0.9, b: float = 0.4, most: int = TERMS) -> DataFrame:
+    """The same over stored postings(); rows of the same id and length are one document."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = index.groupBy("doc_id").agg(F.first("length").alias("length")).agg(F.lit(n_docs).alias("n_docs"), F.avg("length").alias("mean"))
-    return ranked(index, stats, asked, k, k1, b)
+    terms = [r["term"] for r in asked.select("term").distinct().limit(most + 1).collect()]
+    found = index.filter(F.col("term").isin(terms)) if len(terms) <= most else index.join(asked.select("term").distinct(), "term", "left_semi")
+    found = found.groupBy("term", "doc_id", "length").agg(F.sum("tf").alias("tf"))
+    stats = index.select("doc_id", "length").distinct().agg(F.lit(n_docs).alias("n_docs"), F.avg("length").alias("mean"))
+    return ranked(found, stats, asked, k, k1, b)
 
 
 def ranked(index: DataFrame, stats: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:

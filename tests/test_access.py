@@ -1,16 +1,18 @@
 """The access engine: finance cases with known answers, rules one by one, queries against their SQL, invariants."""
 
 import hashlib
+import re
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from palisade.functions.sql_text import parse, render, try_parse
 from palisade.operators import enforce, evaluate, policy, retrieve, rewrite, rules
 from palisade.operators.facts import Schema, analyse
-from palisade.plans import context, finance, registry
+from palisade.plans import context, data_queries, finance, registry
 from palisade.plans.workload import DECISIONS, WORKLOAD
 
 SF = "/root/testdata/sf0.001"
@@ -161,6 +163,24 @@ def test_retrieval_over_tables_against_sql(spark, oracle, name):
     assert len(got) and sorted(got.columns) == sorted(want.columns) and cells(got) == cells(want)
 
 
+def test_postings_are_counted_in_their_row(spark, tmp_path):
+    """An index is written without a shuffle; ids that occur again, with other texts or the same, and null ids rank as in SQL."""
+    texts = [(1, "the thing the"), (1, "of the thing und"), (1, "the thing the"), (1, "nicht und und und x y z"), (2, None), (3, ""), (4, " ;- "), (5, "Idiot license LICENSE, der; dér"), (6, "the"), (None, "the nicht idiot idiot"), (None, "with of a"), (7, "zzz with " * 50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    index = retrieve.postings(docs, "doc_id", "text")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    counted = [(w, i, len(t), t.count(w)) for i, text in texts if text for t in [[w for w in re.split(r"\W+", text.lower()) if w]] for w in set(t)]
+    assert sorted(map(str, index.select("term", "doc_id", "length", "tf").collect())) == sorted(str(Row(term=w, doc_id=i, length=n, tf=k)) for w, i, n, k in counted)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["ret_bm25_index"]).fetchdf()
+    assert len(want) and cells(registry.queries()["ret_bm25_index"](spark, str(tmp_path)).toPandas()) == cells(want)
+    index.write.parquet(str(tmp_path / "index"))
+    asked = spark.createDataFrame(data_queries._ASK, "query_id string, text string")
+    assert cells(retrieve.bm25_of_index(spark.read.parquet(str(tmp_path / "index")), len(texts), asked, most=1).toPandas()) == cells(want)
+
+
 def test_ngrams_md5_as_ngrams(spark):
     """Digests of n-grams that are never held at once are those of the whole list, for any blocks, also of a text whose list exceeds 2 GB."""
     texts = [None, "", " ;-, ", "one", "Zwei  Wörter", "a b c d e f g h i; a b", "İzmir ß 北京 x²", "the cat " * 400, "0"]
